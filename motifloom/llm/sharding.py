@@ -32,34 +32,30 @@ def propagate(counts: DataFrame, n_shards: int, cap: int, max_rounds: int) -> Da
     """Moves linked rows, given as (group, shard, n), for at most ``max_rounds`` rounds; nothing lies above ``cap``
     but for chance."""
     spark = counts.sparkSession
-    state = checkpoint(counts)
+    state, joined = checkpoint(counts), 0.0
     for step in range(max_rounds):
         full = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # n_shards rows
         room = spark.createDataFrame([(s, max(0, cap - full.get(s, 0))) for s in range(n_shards)], "shard int, room long")
         seen = state.join(F.broadcast(room), "shard")
         # a group's label: of its shards with room the one with most of its rows
-        best = seen.where("room > 0").groupBy("group").agg(F.max(F.struct(F.col("n"), _unit(F.concat_ws(":", "group", "shard")).alias("u"), F.col("shard"))).alias("x")).select("group", F.col("x.shard").alias("label"))
-        wish = seen.join(best, "group").where("shard <> label and (room > 0 or n < 1)")
+        best = seen.where("room > 0").groupBy("group").agg(F.max(F.struct(F.col("n"), _unit(F.concat_ws(":", "group", "shard")).alias("u"), F.col("shard"))).alias("x"), F.sum("n").alias("open")).select("group", F.col("x.shard").alias("label"), "open")
+        wish = seen.join(best, "group").where("shard <> label and room > 0")
         asked = {r["label"]: r["n"] for r in wish.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         if not asked:
             break
         rows = [(s, min(1.0, max(0, cap - full.get(s, 0)) / n), max(0, cap - full.get(s, 0))) for s, n in asked.items()]
         quota = spark.createDataFrame(rows, "label int, part double, quota long")
-        moved = F.when(F.col("part") >= 1, F.col("n")).when(F.col("n") * 8 >= F.col("quota"), F.floor(F.col("n") * F.col("part"))).when(_unit(F.col("group"), f"{step}:") < F.col("part"), F.col("n")).otherwise(0).cast("long")
+        moved = F.when(F.col("part") >= 1, F.col("n")).when(F.col("open") * 8 >= F.col("quota"), F.floor(F.col("n") * F.col("part") + _unit(F.concat_ws(":", "group", "shard"), f"{step}:"))).when(_unit(F.col("group"), f"{step}:") < F.col("part"), F.col("n")).otherwise(0).cast("long")
         moves = wish.join(F.broadcast(quota), "label").withColumn("moved", moved).where("moved > 0")
         new = state.unionByName(moves.select("group", "shard", (-F.col("moved")).alias("n"))).unionByName(moves.select("group", F.col("label").alias("shard"), F.col("moved").alias("n")))
-        before = state
         state = checkpoint(new.groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-        if not moves_left(before, state):
+        together = state.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0]
+        if together <= joined:
             break
+        joined = together
     return state
 
 
-def moves_left(before: DataFrame, after: DataFrame) -> bool:
-    """Whether a round has joined any groups further."""
-    return after.count() < before.count()
-
-
 def shard(docs: DataFrame, n_shards: int = 40, *, max_rounds: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard`` of every row, and
     ``linked``: whether its text occurs again."""
