@@ -13,7 +13,7 @@ empty table gives no rows.  Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.llm.shared import checkpoint
@@ -23,7 +23,12 @@ ROWS_PER_SLICE = 20_000
 OVERHEAD = 16
 
 
-def _unit(column, salt: str = ""):
+def _of(values: list, shard: str) -> Column:
+    """The value of a shard."""
+    return F.lit(values)[F.col(shard)]
+
+
+def _unit(column: Column, salt: str = "") -> Column:
     """A number in [0, 1) from a hash."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), column)), 1, 8), 16, 10).cast("double") / F.lit(16.0**8)
 
@@ -31,22 +36,22 @@ def _unit(column, salt: str = ""):
 def propagate(counts: DataFrame, n_shards: int, cap: int, max_rounds: int) -> DataFrame:
     """Moves linked rows, given as (group, shard, n), for at most ``max_rounds`` rounds; nothing lies above ``cap``
     but for chance."""
-    spark = counts.sparkSession
     state, joined = checkpoint(counts), 0.0
     for step in range(max_rounds):
         full = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # n_shards rows
-        room = spark.createDataFrame([(s, max(0, cap - full.get(s, 0))) for s in range(n_shards)], "shard int, room long")
-        seen = state.join(F.broadcast(room), "shard")
+        room = [max(0, cap - full.get(s, 0)) for s in range(n_shards)]
+        salt = F.lit(f"{step}:")
+        open_ = state.where(_of(room, "shard") > 0)
         # a group's label: of its shards with room the one with most of its rows
-        best = seen.where("room > 0").groupBy("group").agg(F.max(F.struct(F.col("n"), _unit(F.concat_ws(":", "group", "shard")).alias("u"), F.col("shard"))).alias("x"), F.sum("n").alias("open")).select("group", F.col("x.shard").alias("label"), "open")
-        wish = seen.join(best, "group").where("shard <> label and room > 0")
+        best = open_.groupBy("group").agg(F.max(F.struct(F.col("n"), _unit(F.concat_ws(":", "group", "shard")).alias("u"), F.col("shard"))).alias("x"), F.sum("n").alias("open")).select("group", F.col("x.shard").alias("label"), "open")
+        wish = checkpoint(open_.join(best, "group").where("shard <> label"))
         asked = {r["label"]: r["n"] for r in wish.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         if not asked:
             break
-        rows = [(s, min(1.0, max(0, cap - full.get(s, 0)) / n), max(0, cap - full.get(s, 0))) for s, n in asked.items()]
-        quota = spark.createDataFrame(rows, "label int, part double, quota long")
-        moved = F.when(F.col("part") >= 1, F.col("n")).when(F.col("open") * 8 >= F.col("quota"), F.floor(F.col("n") * F.col("part") + _unit(F.concat_ws(":", "group", "shard"), f"{step}:"))).when(_unit(F.col("group"), f"{step}:") < F.col("part"), F.col("n")).otherwise(0).cast("long")
-        moves = wish.join(F.broadcast(quota), "label").withColumn("moved", moved).where("moved > 0")
+        part = _of([min(1.0, room[s] / asked[s]) if s in asked else 0.0 for s in range(n_shards)], "label")
+        some = F.floor(F.col("n") * part + _unit(F.concat(salt, F.concat_ws(":", "group", "shard"))))
+        moved = F.when(part >= 1, F.col("n")).when(F.col("open") * 8 >= _of(room, "label"), some).when(_unit(F.concat(salt, "group")) < part, F.col("n")).otherwise(0).cast("long")
+        moves = wish.withColumn("moved", moved).where("moved > 0")
         new = state.unionByName(moves.select("group", "shard", (-F.col("moved")).alias("n"))).unionByName(moves.select("group", F.col("label").alias("shard"), F.col("moved").alias("n")))
         state = checkpoint(new.groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
         together = state.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0]
@@ -95,7 +100,6 @@ def shard(docs: DataFrame, n_shards: int = 40, *, max_rounds: int = 16, seed: in
 def _number(placed: DataFrame, n_shards: int, total: int, id_col: str) -> DataFrame:
     """Final shards and slots: linked rows first, by group, then the others; rows beyond a shard's count fill the
     shards that lack rows."""
-    spark = placed.sparkSession
     slices = int(total / n_shards / ROWS_PER_SLICE) + 1
     linked = F.col("m").isNotNull()
     many = F.coalesce(F.col("m"), F.lit(0)) > ROWS_PER_SLICE
@@ -108,16 +112,16 @@ def _number(placed: DataFrame, n_shards: int, total: int, id_col: str) -> DataFr
     ranked = rows.withColumn("number", number).join(before, ["shard", "at"]).withColumn("number", (F.col("number") + F.col("before")).cast("long"))
     have = {r["shard"]: r["k"] for r in sizes.groupBy("shard").agg(F.sum("k").alias("k")).collect()}  # n_shards rows
     want = {s: total // n_shards + (s < total % n_shards) for s in range(n_shards)}
-    over, lack, o, d = [], [], 0, 0
+    first, lack, o, d = [], [], 0, 0
     for s in range(n_shards):
         k = have.get(s, 0)
-        over.append((s, want[s], o))
+        first.append(o)
         o += max(0, k - want[s])
         if k < want[s]:
             lack.append((s, k, d, d + want[s] - k))
             d += want[s] - k
-    ranked = ranked.join(F.broadcast(spark.createDataFrame(over, "shard int, want long, first long")), "shard")
-    gaps = F.array(*(F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(g, ("shard", "have", "lo", "hi")))) for g in lack)) if lack else F.array(F.struct(*(F.lit(0).cast("long").alias(n) for n in ("shard", "have", "lo", "hi"))))
+    ranked = ranked.withColumn("want", _of([want[s] for s in range(n_shards)], "shard")).withColumn("first", _of(first, "shard"))
+    gaps = F.transform(F.lit([list(g) for g in lack or [(0, 0, 0, 0)]]), lambda g: F.struct(*(g[i].cast("long").alias(n) for i, n in enumerate(("shard", "have", "lo", "hi")))))
     surplus = F.col("first") + F.col("number") - F.col("want")
     gap = F.when(F.col("number") >= F.col("want"), F.element_at(F.filter(gaps, lambda g: (g["lo"] <= surplus) & (surplus < g["hi"])), 1))
     ranked = ranked.withColumn("gap", gap)
