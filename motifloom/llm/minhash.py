@@ -278,3 +278,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Da
     """``id_col``, ``class_id`` and ``kept`` of every row."""
     found = classes(docs, id_col=id_col, **options)
     return found.select(F.col("id").alias(id_col), "class_id", "kept")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", few: int = 2_000_000, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, one for each; null texts stay, each on its own."""
+    found = checkpoint(classes(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select("id", "name"))
+    # most rows are kept, so what goes is the smaller side: ids and hashes, 60 bytes a row
+    gone = found.distinct().withColumnRenamed("id", "gone id").withColumnRenamed("name", "gone name")
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.md5(docs[text_col].cast("binary")).alias("name"), docs[id_col].alias("id"))
+    on = (F.col("name") == F.col("gone name")) & F.col("id").eqNullSafe(F.col("gone id"))
+    rest = named.join(F.broadcast(gone) if found.count() * 60 <= few else gone, on, "left_anti")
+    # rows that repeat both id and text are one; texts move for that only where there are such rows
+    again = named.where("name is not null").groupBy("id", "name").count().where("count > 1").limit(1).count()
+    if again:
+        rest = rest.where("name is not null").dropDuplicates(["id", "name"]).unionByName(rest.where("name is null"))
+    return rest.select("row.*")

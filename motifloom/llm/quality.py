@@ -158,24 +158,24 @@ LINES = ("lost_chars", "failed_punctuation", "failed_navigation", "failed_boiler
 SCHEMA = pa.schema([*((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()), ("kept", pa.bool_()), *((c, pa.int64()) for c in LINES), ("clean_text", pa.string())])
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = True) -> DataFrame:
+def judge(docs: DataFrame, rules: Rules = Rules(), *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = True, renamed: bool = False) -> DataFrame:
     """The columns ``keep`` of every row, its counts, ``base_failed``, ``kept``, lines failed by rule and, if asked
-    for, ``clean_text``: the text without the lines that failed."""
+    for, ``clean_text``: the text without the lines that failed.  ``renamed``: kept columns get the prefix ``kept_``,
+    so that none can clash with these; the text, if among them, is not carried."""
     names = [f.name for f in SCHEMA if with_text or f.name != "clean_text"]
+    carried = [c for c in keep if not (renamed and c == text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Judge(rules).document
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [of(t or "") for t in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array([x[c] for x in found], SCHEMA.field(c).type) for c in names)], names=[*keep, *names])
+                found = [of(t or "") for t in part.column(len(carried)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carried))), *(pa.array([x[c] for x in found], SCHEMA.field(c).type) for c in names)], names=[*given, *names])
 
     kinds = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string"}
-    given = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    schema = ", ".join([*given, *(f"{c} {kinds[SCHEMA.field(c).type]}" for c in names)])
+    given = [f"kept_{c}" if renamed else c for c in carried]
+    types = [f"`{g}` {docs.schema[c].dataType.simpleString()}" for g, c in zip(given, carried)]
+    schema = ", ".join([*types, *(f"{c} {kinds[SCHEMA.field(c).type]}" for c in names)])
     # the text once more, under a name that no kept column has
-    spare = "text"
-    while spare in keep:
-        spare += "_"
-    return docs.select(*keep, docs[text_col].alias(spare)).mapInArrow(run, schema)
+    return docs.select(*(docs[c].alias(g) for c, g in zip(carried, given)), docs[text_col].alias("judged text")).mapInArrow(run, schema)
