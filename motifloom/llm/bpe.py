@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHIFT = 32
 NONE = np.iinfo(np.int64).max
 BATCHED = 64  # bytes of a pre-token whose tree shares arrays with others
-CACHED = 500_000  # pre-tokens remembered by a Python worker
+CACHED = 100_000  # pre-tokens remembered by a Python worker, in two generations
 CHUNK = 1 << 20  # characters split into pre-tokens at a time
 
 
@@ -70,7 +70,8 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         names = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # what recent chunks used
+        self.older: dict[str, bytes] = {}  # what those before used
 
     # -- trees -------------------------------------------------------------------------------------------------------
 
@@ -196,10 +197,13 @@ class Encoder:
                 end += 1
             parts = [[(p, None) if p not in self.added else (None, p) for p in self.cut(t)] if self.cut else [(t, None)] for t in texts[start:end]]
             split = [[self.split(p) if p is not None else struct.pack("<I", self.added[a]) for p, a in own] for own in parts]
-            if len(self.known) > CACHED:
-                self.known.clear()
+            if len(self.known) > CACHED // 2:
+                self.known, self.older = {}, self.known
             words = {w for own in split for p in own if isinstance(p, list) for w in p}
-            self._learn(words - self.known.keys())
+            new = words - self.known.keys()
+            again = new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            self._learn(new - again)
             ids = self.known.__getitem__
             out += [b"".join(b"".join(map(ids, p)) if isinstance(p, list) else p for p in own) for own in split]
             for w in words:

@@ -35,7 +35,8 @@ WORDS = 5
 BANDS, ROWS = 32, 6
 BLOCK = 256  # documents
 COLUMNS = 4096  # shingles compared at a time
-CHUNK = 150_000  # words hashed at a time
+CHUNK = 900_000  # characters hashed at a time, where a document counts as PER_DOCUMENT more for its darts
+PER_DOCUMENT = 4_000
 
 #: Poisson(1): cumulative probabilities of 0, 1, 2, ... darts in a cell.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
@@ -127,13 +128,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: list[str]) -> Iterator[slice]:
-    """Ranges of texts of about ``CHUNK`` words."""
+    """Ranges of texts of about ``CHUNK`` characters, or of a bounded number of documents."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size > CHUNK * 6:
+        if size > CHUNK:
             yield slice(start, i)
             start, size = i, 0
-        size += len(t) + 200
+        size += len(t) + PER_DOCUMENT
     if start < len(texts):
         yield slice(start, len(texts))
 
