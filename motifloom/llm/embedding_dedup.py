@@ -31,17 +31,23 @@ BLOCK = 1024
 SMALL = 48  # buckets up to this size are compared many at a time
 
 
-def learn(x: np.ndarray, bits: int, rounds: int = 50, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) of iterative quantisation: principal axes, rotated to minimise the error of their signs."""
-    mean = x.mean(0)
-    _, axes = np.linalg.eigh(np.cov(x - mean, rowvar=False) + 1e-12 * np.eye(x.shape[1]))
+def learn(x: np.ndarray, bits: int, rounds: int = 50, seed: int = 17) -> np.ndarray:
+    """The projection to ``bits`` numbers by iterative quantisation: principal axes, rotated to minimise the error of
+    their signs.  Vectors of fewer dimensions than bits get several rotations.
+
+    Axes are those about the origin, as cosines are: whatever the mean of the vectors, a small angle is a small
+    difference of codes."""
+    _, axes = np.linalg.eigh(x.T @ x / len(x) + 1e-12 * np.eye(x.shape[1]))
     axes = axes[:, ::-1][:, :bits]
-    v = (x - mean) @ axes
-    rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0]
-    for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.where(v @ rotation >= 0, 1.0, -1.0).T @ v)
-        rotation = (u @ w).T
-    return mean, axes @ rotation
+    v, n = x @ axes, axes.shape[1]
+    out = []
+    for turn in range(-(-bits // n)):
+        rotation = np.linalg.qr(np.random.default_rng(seed + turn).standard_normal((n, n)))[0]
+        for _ in range(rounds):
+            u, _, w = np.linalg.svd(np.where(v @ rotation >= 0, 1.0, -1.0).T @ v)
+            rotation = (u @ w).T
+        out.append(axes @ rotation)
+    return np.hstack(out)[:, :bits]
 
 
 def choices(bits: int, tables: int, key_bits: int, seed: int = 17) -> list[np.ndarray]:
@@ -54,9 +60,9 @@ def choices(bits: int, tables: int, key_bits: int, seed: int = 17) -> list[np.nd
     return out[:tables]
 
 
-def keys_of(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
+def keys_of(x: np.ndarray, projection: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
     """The key of every vector in every table."""
-    signs = ((x - mean) @ projection >= 0).astype(np.int64)
+    signs = (x @ projection >= 0).astype(np.int64)
     return np.stack([signs[:, c] @ (1 << np.arange(len(c), dtype=np.int64)) for c in chosen], 1)
 
 
@@ -77,14 +83,13 @@ def link(vectors: DataFrame, *, threshold: float = 0.95, bits: int = 64, tables:
     chosen_rows = classes.orderBy("name").limit(sample).select("x").toPandas()  # at most ``sample`` vectors
     fit = np.stack(chosen_rows["x"].to_numpy())
     fit = fit / np.linalg.norm(fit, axis=1, keepdims=True)
-    bits = min(bits, fit.shape[1])
-    mean, projection = learn(fit, bits) if len(fit) > 1 else (np.zeros(fit.shape[1]), np.eye(fit.shape[1])[:, :bits])
+    projection = learn(fit, bits)
     chosen = choices(bits, tables, key_bits)
 
     def enter(batches):
         for b in batches:
             x = np.stack(b["x"].to_numpy())
-            keys = keys_of(x / np.linalg.norm(x, axis=1, keepdims=True), mean, projection, chosen)
+            keys = keys_of(x / np.linalg.norm(x, axis=1, keepdims=True), projection, chosen)
             n = len(b)
             yield pd.DataFrame({"tab": np.tile(np.arange(len(chosen)), n), "key": keys.ravel(), "name": np.repeat(b["name"].to_numpy(), len(chosen))})
 
@@ -98,7 +103,7 @@ def link(vectors: DataFrame, *, threshold: float = 0.95, bits: int = 64, tables:
     full = dealt.join(classes.select("name", "copies", "x"), "name")
     together = ["tab", "key", "a", "b"]
     full = full.select(*together, "mine", "name", "copies", "x").repartition(*together).sortWithinPartitions(*together)
-    comparison = Comparison(mean, projection, chosen, threshold)
+    comparison = Comparison(projection, chosen, threshold)
     found = checkpoint(full.mapInArrow(comparison, "name string, n long, root string"))
     counts = found.groupBy("name").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("name").alias("u"), F.col("root").alias("v")))
@@ -116,8 +121,8 @@ def link(vectors: DataFrame, *, threshold: float = 0.95, bits: int = 64, tables:
 class Comparison:
     """Compares the vectors of each block of a bucket, or of two blocks of one; the rows come sorted by these."""
 
-    def __init__(self, mean: np.ndarray, projection: np.ndarray, chosen: list[np.ndarray], threshold: float) -> None:
-        self.mean, self.projection, self.chosen, self.threshold = mean, projection, chosen, threshold
+    def __init__(self, projection: np.ndarray, chosen: list[np.ndarray], threshold: float) -> None:
+        self.projection, self.chosen, self.threshold = projection, chosen, threshold
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -144,19 +149,19 @@ class Comparison:
         n = rows.num_rows
         x = rows["x"].combine_chunks()
         x = np.asarray(x.flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         end = np.append(start[1:], n)
         of = np.repeat(np.arange(len(start)), end - start)
+        a, b, mine = rows["a"].to_numpy(), rows["b"].to_numpy(), rows["mine"].to_numpy()
         left, right = [], []
         small = end - start <= SMALL
         for d in range(1, SMALL):  # pairs at each distance within the small groups, all groups at once
             i = np.flatnonzero(small[of[: n - d]] & (of[: n - d] == of[d:])) if n > d else np.empty(0, int)
             if not len(i):
                 break
-            near = np.einsum("ij,ij->i", x[i], x[i + d]) >= self.threshold
+            near = (np.einsum("ij,ij->i", x[i], x[i + d]) >= self.threshold) & ((a[i] == b[i]) | (mine[i] != mine[i + d]))
             left.append(i[near])
             right.append(i[near] + d)
-        a, b, mine = rows["a"].to_numpy(), rows["b"].to_numpy(), rows["mine"].to_numpy()
         for s, e in zip(start[~small], end[~small]):
             for at in range(s, e, BLOCK // 2):
                 stop = min(e, at + BLOCK // 2)
@@ -170,7 +175,7 @@ class Comparison:
             return
         linked, place = np.unique(np.concatenate([i, j]), return_inverse=True)
         p, q = place[: len(i)], place[len(i) :]
-        keys, tab = keys_of(x[linked], self.mean, self.projection, self.chosen), rows["tab"].to_numpy()[i]
+        keys, tab = keys_of(x[linked], self.projection, self.chosen), rows["tab"].to_numpy()[i]
         active = np.arange(len(i))  # pairs that share no key in an earlier table
         first = np.ones(len(i), bool)
         for t in range(int(tab.max())):
