@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motifloom.functions import physics, sequence
 from motifloom.operators import catalog, coverage, intervals, labels, metrics, models, motif, sampling, selex, stats
-from motifloom.plans import views
+from motifloom.plans import programs, views
 from motifloom.plans.views import sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -562,6 +562,69 @@ def weighted_resample(s, d):
     return sampling.resampled(table(s, d, "supplier").withColumn("w", F.col("s_acctbal") + 1000), "s_suppkey", "w", 250).select("s_suppkey", "copies")
 
 
+# -- lookups and programs ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 42")
+def point_lookup(s, d):
+    return catalog.where_all(table(s, d, "orders"), o_orderkey=42).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT n_nationkey, upper(n_name) AS name FROM nation WHERE upper(n_name) IN (SELECT upper(n_name) FROM nation WHERE n_nationkey IN (1, 5, 7))")
+def upper_name_lookup(s, d):
+    n = table(s, d, "nation").withColumn("name", F.upper("n_name"))
+    return n.join(catalog.where_all(n, n_nationkey=[1, 5, 7]).select("name").distinct(), "name", "left_semi").select("n_nationkey", "name")
+
+
+@query("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+def missing_files(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return catalog.natural_join(table(s, d, "customer").select("c_custkey"), o, "left").where("o_orderkey is null").select("c_custkey")
+
+
+@query("SELECT DISTINCT p_brand, p_size FROM part")
+def distinct_names(s, d):
+    return table(s, d, "part").select("p_brand", "p_size").distinct()
+
+
+@query(sql("ev acc cen chip", "SELECT row_id, " + ", ".join(f"CASE WHEN EXISTS (SELECT 1 FROM chip p WHERE p.contig = c.contig AND c.start < p.stop AND p.start < c.stop AND p.pk_type = '{k}') THEN 1 ELSE 0 END AS {k}" for k in ("optimal", "relaxed")) + " FROM cen c"))
+def region_overlap_matrix(s, d):
+    chip = views.observed(s, d)
+    return programs.matrix_of_regions(views.windows(s, d), {k: chip.where(F.col("pk_type") == k) for k in ("optimal", "relaxed")})
+
+
+@query(sql("ev acc cen chip", ", ok AS (SELECT sample_id FROM chip GROUP BY 1 HAVING max((pk_type = 'relaxed')::INTEGER) = 1), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY signal_value DESC, row_id) AS i FROM cen WHERE sample_id IN (SELECT sample_id FROM ok)) WHERE i <= 200), hits AS (SELECT t.row_id, p.tf_id, max(CASE WHEN p.pk_type = 'optimal' AND (least(t.stop, p.stop) - greatest(t.start, p.start)) / (p.stop - p.start)::DOUBLE > 0.5 THEN 1 ELSE 0 END) AS o, max(CASE WHEN p.pk_type = 'relaxed' AND (least(t.stop, p.stop) - greatest(t.start, p.start)) / (p.stop - p.start)::DOUBLE > 0.5 THEN 1 ELSE 0 END) AS r FROM top t JOIN chip p ON p.contig = t.contig AND p.sample_id = t.sample_id AND t.start < p.stop AND p.start < t.stop GROUP BY 1, 2) SELECT t.row_id, t.sample_id, " + ", ".join(f"coalesce(max(CASE WHEN tf_id = '{k}' THEN CASE WHEN o = 1 THEN 1 WHEN r = 1 THEN -1 ELSE 0 END END), 0) AS \"{k}\"" for k in ("T0", "T1", "T2", "T3")) + " FROM top t LEFT JOIN hits h USING (row_id) GROUP BY 1, 2"))
+def sample_dataset(s, d):
+    tfs = ["T0", "T1", "T2", "T3"]
+    return programs.sample_dataset(views.windows(s, d), views.observed(s, d), tfs, n_peaks=200).select("row_id", "sample_id", *tfs)
+
+
+@query(sql("ev acc reads cover", "SELECT a.row_id, a.stop - a.start AS length, round(coalesce(sum(c.cov), 0) / (a.stop - a.start), 6) AS cov_mean, round(coalesce(max(c.cov), 0), 6) AS cov_max FROM acc a LEFT JOIN cover c ON c.contig = a.contig AND c.pos >= a.start AND c.pos < a.stop GROUP BY 1, 2, a.stop, a.start"))
+def region_coverage(s, d):
+    return rounded(programs.region_summary(views.accessible(s, d), views.reads(s, d), 100), "cov_mean", "cov_max")
+
+
+@query(sql("track", "SELECT vec_id, mu, round(cost, 5) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, mu) AS i FROM (SELECT vec_id, mu::DOUBLE AS mu, sum(-ln(1 / (1 + exp((v - mu) / 0.5961)) + 1e-12) * abs(v)) AS cost FROM track CROSS JOIN (VALUES (-1.0), (0.0), (1.0)) t(mu) GROUP BY 1, 2)) WHERE i = 1"))
+def best_affinity(s, d):
+    t = views.track(s, d).select("vec_id", F.col("v").alias("energy"), F.abs("v").alias("cov"))
+    return rounded(programs.best_affinity(t, [-1.0, 0.0, 1.0], ["vec_id"]), "cost", digits=5)
+
+
+@query("SELECT s_suppkey, count(*) AS n FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) JOIN (SELECT unnest(range(250)) AS k) ON k % n = i GROUP BY 1")
+def upsampled_rows(s, d):
+    return programs.upsampled(table(s, d, "supplier"), 250, "s_suppkey").groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT cut, round(corr(a, b), 6) AS spearman FROM (SELECT cut, rank() OVER (PARTITION BY cut ORDER BY p_size) + (count(*) OVER (PARTITION BY cut, p_size) - 1) / 2.0 AS a, rank() OVER (PARTITION BY cut ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY cut, p_retailprice) - 1) / 2.0 AS b FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS i FROM part) JOIN (VALUES (50), (100), (200)) t(cut) ON i <= cut) GROUP BY 1")
+def rank_curve(s, d):
+    return rounded(programs.rank_curve(table(s, d, "part"), [F.col("p_partkey")], [50, 100, 200], "p_size", "p_retailprice"), "spearman")
+
+
+@query()
+def word_partition(s, d):
+    return rounded(programs.word_partition(s, views.ENERGIES[:6], -2.0), "mean_occupancy")
+
+
 # -- models and simulation: no SQL form --------------------------------------------------------------------------------
 
 

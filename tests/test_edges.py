@@ -259,3 +259,39 @@ def test_stream_equals_batch(spark):
         got = spark.table("counts").agg(F.sum("n"), F.count("*")).first()
     want = streaming.windowed_counts(src, width="1 day").agg(F.sum("n"), F.count("*")).first()
     assert got == want
+
+
+# -- programs ----------------------------------------------------------------------------------------------------------
+
+
+def test_partition_functions_agree(spark):
+    from motifloom.plans import programs
+
+    ddg = np.round(np.abs(np.random.default_rng(5).normal(size=(5, 4))), 3)
+    row = programs.word_partition(spark, ddg, -1.0).first()
+    assert row["n"] == 4**5 and row["mean_occupancy"] == pytest.approx(programs.convolved_partition(ddg, -1.0), rel=1e-6)
+
+
+def test_features_and_folds(spark):
+    from motifloom.plans import programs
+
+    rng = random.Random(6)
+    genome = frame(spark, [(f"chr{c}", k, "".join(rng.choice("ACGT") for _ in range(64))) for c in range(1, 9) for k in range(8)], "contig string, chunk long, seq string")
+    windows = frame(spark, [(c * 100 + i, f"chr{c}", i * 9, i * 9 + 60, rng.randrange(2)) for c in range(1, 9) for i in range(1, 40)], "row_id long, contig string, start long, stop long, label int")
+    m = np.random.default_rng(1).normal(size=(6, 4))
+    table = programs.tf_feature_table(windows, genome, {"a": m, "b": -m}, chunk=64)
+    assert table.columns == ["row_id", "a", "b"] and table.count() == windows.count()
+    result = programs.cross_validate(windows.join(table, "row_id"), ["a", "b"], depth=3, trees=3)
+    assert result.count() == 5
+    feats = programs.motif_features(windows, intervals.fetch(genome, windows, chunk=64), m, balance=True)
+    assert {r["count"] for r in feats.groupBy("label").count().collect()} == {min(r["count"] for r in windows.groupBy("label").count().collect())}
+
+
+def test_small_program_helpers(spark):
+    from motifloom.plans import programs
+
+    seqs = frame(spark, [(i, 1, "ACGT") for i in range(7)], "seq_id long, round int, seq string")
+    assert programs.topped_up(seqs, seqs.limit(2), spark, 4, 5).count() == 7
+    assert programs.upsampled(seqs, 3).count() == 3 and programs.upsampled(seqs, 16).count() == 16
+    pairs = programs.zipped(frame(spark, [(2, "b"), (1, "a")], "i int, x string"), frame(spark, [(9, "z"), (8, "y")], "j int, y string"), "i", "j")
+    assert sorted((r["x"], r["y"]) for r in pairs.collect()) == [("a", "y"), ("b", "z")]
