@@ -43,11 +43,14 @@ def propagate(counts: DataFrame, n_shards: int, cap: int, max_rounds: int) -> Da
         salt = F.lit(f"{step}:")
         open_ = state.where(_of(room, "shard") > 0)
         # a group's label: of its shards with room the one with most of its rows
-        best = open_.groupBy("group").agg(F.max(F.struct(F.col("n"), _unit(F.concat_ws(":", "group", "shard")).alias("u"), F.col("shard"))).alias("x"), F.sum("n").alias("open")).select("group", F.col("x.shard").alias("label"), "open")
-        wish = checkpoint(open_.join(best, "group").where("shard <> label"))
+        best = open_.groupBy("group").agg(F.max(F.struct(F.col("n"), _unit(F.concat_ws(":", "group", "shard")).alias("u"), F.col("shard"))).alias("x"), F.sum("n").alias("open")).select("group", F.col("x.shard").alias("label"), F.col("x.n").alias("most"), "open")
+        # its other rows want to go there, but for those in shards, now full, that hold more of the group
+        wish = checkpoint(state.join(best, "group").where("shard <> label and (n < most or (n = most and shard > label))"))
         asked = {r["label"]: r["n"] for r in wish.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         if not asked:
             break
+        for r in wish.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+            room[r["shard"]] += r["n"] // 2  # half of what wants to leave makes way
         part = _of([min(1.0, room[s] / asked[s]) if s in asked else 0.0 for s in range(n_shards)], "label")
         some = F.floor(F.col("n") * part + _unit(F.concat(salt, F.concat_ws(":", "group", "shard"))))
         moved = F.when(part >= 1, F.col("n")).when(F.col("open") * 8 >= _of(room, "label"), some).when(_unit(F.concat(salt, "group")) < part, F.col("n")).otherwise(0).cast("long")
