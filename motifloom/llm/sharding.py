@@ -45,7 +45,7 @@ def propagate(counts: DataFrame, n_shards: int, cap: int, max_rounds: int) -> Da
         # a group's label: of its shards with room the one with most of its rows
         best = open_.groupBy("group").agg(F.max(F.struct(F.col("n"), _unit(F.concat_ws(":", "group", "shard")).alias("u"), F.col("shard"))).alias("x"), F.sum("n").alias("open")).select("group", F.col("x.shard").alias("label"), F.col("x.n").alias("most"), "open")
         # its other rows want to go there, but for those in shards, now full, that hold more of the group
-        wish = checkpoint(state.join(best, "group").where("shard <> label and (n < most or (n = most and shard > label))"))
+        wish = checkpoint(state.join(best, "group").where("shard <> label and n <= most"))
         asked = {r["label"]: r["n"] for r in wish.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         if not asked:
             break
