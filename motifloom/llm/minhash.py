@@ -251,7 +251,11 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id",
     reps = checkpoint(reps)
     entries = reps.select(F.explode("bands").alias("key"), "num")
     hubs = entries.groupBy("key").agg(F.min("num").alias("hub"), F.max("num").alias("top")).where("hub < top").select("key", "hub")
-    groups = components(entries.join(hubs, "key").where("num <> hub").select(F.col("num").alias("u"), F.col("hub").alias("v")))
+    # a text and its (at most BANDS) hubs are tied to the smallest of them: hubs that many texts share become one link
+    tied = entries.join(hubs, "key").groupBy("num").agg(F.collect_set("hub").alias("hubs"))
+    first = F.least(F.array_min("hubs"), F.col("num"))
+    star = tied.select(first.alias("v"), F.explode(F.array_union("hubs", F.array("num"))).alias("u"))
+    groups = components(star.where("u <> v").distinct())
 
     members = checkpoint(reps.select("name", "least", "num").join(groups.select(F.col("node").alias("num"), F.col("component").alias("part")), "num"))
     sizes = members.groupBy("part").agg(F.count("*").alias("m")).select("part", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
