@@ -271,6 +271,7 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id",
     parts = components(links)
     known = reps.select("name", "least").join(parts.withColumnRenamed("node", "name"), "name")
     first = known.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "name")).alias("x")).select("component", "class_id", F.col("x.name").alias("keeper"))
+    first = checkpoint(first)  # so that the join reads exchanges on both sides, and Spark can split a large class
     linked = known.join(first, "component").select("name", "class_id", "keeper")
     every = reps.select("name", "least").join(linked, "name", "left").select("name", "least", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("keeper", "name").alias("keeper"))
     every = checkpoint(every)
