@@ -110,7 +110,8 @@ def link(vectors: DataFrame, *, threshold: float = 0.95, bits: int = 64, tables:
     # a component is known by a name; its id is the smallest of its rows'
     known = classes.select("name", "copies", "least").join(counts, "name", "left").join(parts.withColumnRenamed("node", "name"), "name", "left")
     known = checkpoint(known.select("name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "name").alias("component"), "least"))
-    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written first, so that the join reads exchanges on both sides and Spark can split a large component
+    smallest = checkpoint(known.groupBy("component").agg(F.min("least").alias("component_id")))
     result = known.join(smallest, "component").select("name", "n_links", "component_id")
     linked = named.select("id", "name").join(result, "name").select("id", "n_links", "component_id")
     rest = rows.where(F.col("x").isNull() | (F.size("x") != length["n"]) | bad | ~F.exists("x", lambda c: c != 0))
