@@ -22,7 +22,7 @@ from motifloom.llm.shared import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source's order that one task is to sum up.
-ROWS_PER_SLICE = 20_000
+ROWS_PER_SLICE = 1_000
 
 
 def words(text: Column) -> Column:
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights: dict | None = None, *, seed: int = 17, max_epo
         upto = checkpoint(upto)
 
     def finish(epoch: int) -> Column:
-        return (F.lit(epoch) * F.col("source_size") + F.col("upto")) / F.col("target")
+        return F.try_divide(F.lit(epoch) * F.col("source_size") + F.col("upto"), "target")
 
     sent = F.filter(F.array(*(F.struct(finish(e).alias("finish"), (F.lit(e) * F.col("source_size") + F.col("upto") - F.col("size") < F.col("target")).alias("sent")) for e in range(max_epochs))), lambda x: x["sent"])
     queue = upto.where("size > 0").select("place", "size", F.explode(sent).alias("x")).select("place", "size", F.col("x.finish").alias("finish"))
