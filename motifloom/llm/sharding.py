@@ -86,7 +86,8 @@ def shard(docs: DataFrame, n_shards: int = 40, *, max_rounds: int = 16, seed: in
 
     # rows of a group take its labels in order: numbers within slices of the group, after the slices before
     labels = state.groupBy("group").agg(F.sum("n").alias("m"), F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("parts"))  # at most n_shards entries
-    ginfo = labels.select("group", "m", "parts", (F.col("m") / ROWS_PER_SLICE + 1).cast("int").alias("slices"))
+    # written first, so that the join below reads both sides from exchanges and Spark can split a group's rows
+    ginfo = checkpoint(labels.select("group", "m", "parts", (F.col("m") / ROWS_PER_SLICE + 1).cast("int").alias("slices")))
     known = rows.join(ginfo, "group", "left")
     known = known.withColumn("slice", F.floor(_unit(F.col("row"), "s:") * F.coalesce(F.col("slices"), F.lit(1))).cast("int"))
     several = checkpoint(known.where("m is not null"))
