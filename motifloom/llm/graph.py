@@ -1,30 +1,55 @@
-"""Connected components of links between ids, by label propagation with pointer jumping over Spark joins."""
+"""Connected components of links between ids, by contraction over Spark joins."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.shared import checkpoint
+from motifloom.llm.shared import folder
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """For links (u, v) the rows (node, component) of all nodes that occur: component is the smallest node reachable.
 
-    Each round gives every node the smallest label among its neighbours' and its own, then the label of that label.
-    Labels never leave the component and only fall, so rounds end; long paths halve with each round.  Minima are
-    combined before the shuffle, so a node of very many links is no heavy key."""
-    pairs = edges.where("u <> v")
-    pairs = checkpoint(pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpoint(pairs.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")))
-    for _ in range(max_rounds):
-        near = pairs.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        root = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = lower.join(root, "label", "left").select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        new = checkpoint(new)
-        changed = new.where("label < old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+    Each round points every node to the smallest of its neighbours and itself, follows these pointers to their ends and
+    replaces the ends of every link by theirs; links within a tree drop out.  A node that is still linked after two
+    rounds was an end in both.  Had a neighbour pointed elsewhere in the first round, it would have brought a smaller
+    node beside it and made it none in the second; so that neighbour is in its tree, and at most half of the nodes stay
+    every two rounds, whatever the order of ids.  ``max_rounds`` is enough for 2**30 nodes; beyond it an error is raised.
+    Minima are combined before the shuffle, so a node of very many links is no heavy key."""
+    links = edges.where("u <> v")
+    links = _written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds = []
+    while not rounds or links.limit(1).count():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components: links are left after {max_rounds} rounds")
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = _ends(_written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("up"))))
+        rounds.append(ends)
+        links = links.join(ends.select(F.col("node").alias("u"), F.col("up").alias("a")), "u").join(ends.select(F.col("node").alias("v"), F.col("up").alias("b")), "v")
+        links = _written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    labels = rounds.pop().select("node", F.col("up").alias("component"))
+    for ends in reversed(rounds):  # each round's ends are the next one's nodes, but for those that were done
+        later = labels.select(F.col("node").alias("up"), "component")
+        labels = _written(ends.join(later, "up", "left").select("node", F.coalesce("component", "up").alias("component")))
+    return labels
+
+
+def _ends(up: DataFrame) -> DataFrame:
+    """Pointers (node, up), which only fall, followed to their ends; the length of a path halves with each step."""
+    while True:
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("end"))
+        new = _written(up.join(above, "up").select("node", "up", "end"))
+        up = new.select("node", F.col("end").alias("up"))
+        if not new.where("end < up").limit(1).count():
+            return up
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which has its true size: a checkpoint keeps the plan's estimate, to which
+    every join adds its digits, and after some twenty rounds planning takes longer than the work."""
+    path = f"{folder(df.sparkSession)}/components-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

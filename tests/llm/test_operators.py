@@ -169,6 +169,18 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_components_of_long_chains(spark, shuffled):
+    ids = list(range(1000))
+    if shuffled:
+        random.Random(8).shuffle(ids)
+    edges = list(zip(ids, ids[1:]))
+    found = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r["node"], r["component"]) for r in found) == [(i, 0) for i in range(1000)]
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(0, 2), (1, 2), (1, 3)], "u long, v long"), max_rounds=1)
+
+
 # -- 4 -----------------------------------------------------------------------------------------------------------------
 
 
