@@ -416,6 +416,18 @@ def test_pii(spark, docs, empty):
     assert before and before == after
 
 
+@pytest.mark.parametrize("number", ["555-123-4567", "555.123.4567", "1-555-123-4567", "555 123 4567", "3782 822463 10005", "3782-822463-10005"])
+def test_plain_numbers(spark, number):
+    """Also before a full stop, and whole: no digit stays beside the surrogate."""
+    texts = [f"Call {number}.", f"Call {number} now", f"({number})", f"see -{number}-"]
+    rows = [(0, "version 2.555.123.4567 and 555-123-4567-8 stay")] + list(enumerate(texts, 1))
+    new = {r["i"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "i long, text string"), "k", count_col="n").collect()}
+    assert new[0] == rows[0][1]
+    made = {re.search(r"\d[\d .-]*\d", new[i])[0] for i in range(1, 5)}
+    assert len(made) == 1 and number not in made
+    assert all(new[i] == t.replace(number, *made) for i, t in enumerate(texts, 1))
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With few possible digits surrogates meet; attempts keep them apart."""
     original = pii.like
