@@ -34,11 +34,28 @@ LASTING_WORDS = frozenset("comment comments commentlist disqus reply replies res
 BOILER_WORDS = LASTING_WORDS | frozenset("ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social widget pagination pager tags copyright legal disclaimer skip search form".split())
 CONTENT_WORDS = frozenset("article content post entry story main maintext bodytext articlebody posttext prose".split())
 
+#: What may stand in a head; any other element ends it.
+HEAD_TAGS = frozenset("html head base link meta title style script noscript template".split())
+#: Words of a class that says how a page is laid out: those after the first set name no region, boilerplate before the second none, nor does a mix of both before the third.
+LAYOUT_HAS, LAYOUT_STATES, LAYOUT_WRAPS = frozenset("has with no without".split()), frozenset("open closed enabled disabled".split()), frozenset("wrap wrapper container".split())
+
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _space = re.compile(r"\s+")
 _hidden = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I).search
 
 
+def region_words(name: str) -> set[str]:
+    """The words of a class or id that name a region; of names of a layout, like has-sidebar, those about it are none."""
+    words = [w.lower() for w in _words.findall(name)]
+    at = next((i for i, w in enumerate(words) if w in LAYOUT_HAS), len(words))
+    found = set(words[:at])
+    if words and words[-1] in LAYOUT_STATES:
+        found -= BOILER_WORDS
+    elif words and words[-1] in LAYOUT_WRAPS and found & CONTENT_WORDS and found & BOILER_WORDS:
+        found -= CONTENT_WORDS | BOILER_WORDS
+    return found
+
+
 class Element:
     """An open element: its region is 1 in content, -1 in boilerplate, 0 unknown; ``lasting`` boilerplate isn't left by an article."""
 
@@ -68,6 +85,11 @@ class Blocks(HTMLParser):
                 self.blocks.append((text, min(1.0, self.linked / len(text)), self.at.tag, self.at.key, self.at.region))
             self.text, self.linked = [], 0
 
+    def end_head(self) -> None:
+        """Closes a head that is left open, as what cannot stand in it does."""
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def close_to(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
         """Closes the nearest of ``tags`` that is open within ``scope``."""
         for i in range(len(self.open) - 1, 0, -1):
@@ -78,6 +100,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD_TAGS:
+            self.end_head()
         if tag == "br":
             self.text.append(" ")
             return
@@ -106,7 +130,7 @@ class Blocks(HTMLParser):
         tag = new.tag
         new.skipped = new.skipped or tag in SKIPPED
         new.link = new.link or tag == "a"
-        words = {w.lower() for k in ("class", "id") for w in _words.findall(attrs.get(k) or "")} if tag not in ("html", "body") else set()
+        words = {w for k in ("class", "id") for name in (attrs.get(k) or "").split() for w in region_words(name)} if tag not in ("html", "body") else set()
         role = (attrs.get("role") or "").lower()
         if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or _hidden(attrs.get("style") or ""):
             new.region, new.lasting = -1, True
@@ -142,6 +166,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         top = self.open[-1]
         if top.skipped:
             return

@@ -94,6 +94,19 @@ def test_extraction(spark):
     assert extraction.extract(pages).count() == 5 and extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_layouts_are_no_boilerplate():
+    article = "<p>The first paragraph of the story is long enough to be read as content.</p><p>And the second one ends it.</p>"
+    want = re.sub("</?p>", " ", article).replace("  ", " ").strip()
+    menu = '<div class="menu"><a href="#">Home</a></div>'
+    for around in ('<div class="content has-sidebar">', '<div id="content-sidebar-wrap">', '<article class="post comments-open">', '<div class="main-with-sidebar">'):
+        assert extraction.main_text(f"<body>{menu}{around}{article}") == want, around
+    for around in ('<div class="sidebar">', '<div class="post-comments">', '<div id="comments-wrap">', '<article class="comment">', '<div class="related content">'):
+        assert extraction.main_text(f"<body>{around}{article}") == "", around
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<html><head><title>T</title><style>p {}</style>\n"):
+        assert extraction.main_text(f"{head}<div>{article}</div>") == want, head
+    assert extraction.main_text("<head><title>T</title>Just a text without elements, that says something.").startswith("Just a text")
+
+
 def test_extraction_of_pages(spark):
     """Articles of the test pages, whose template is known here."""
     import html
