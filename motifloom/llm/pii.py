@@ -8,7 +8,7 @@ does; phones keep their country code; names keep the form of address, its gender
 A surrogate follows from the key, the type, the normal form and an attempt, so all mentions of one entity in the corpus
 agree, in whatever format they are written.  Attempts are 0 but for entities whose surrogates meet: a check over all
 distinct entities finds surrogates that two entities share or that are themselves entities, and raises the attempt of
-all but one of them, until none is left.
+all but one of them, until none is left; if some are left after ``max_attempts`` rounds, an error is raised.
 
 Null texts stay null, empty texts stay empty.  Repeated rows are replaced alike.  All other columns are kept as they
 are, whatever their names; ``n_chars`` follows the text where ``chars_col`` names it.
@@ -185,6 +185,8 @@ def attempts(docs: DataFrame, key: str, text_col: str, max_attempts: int = 30) -
             break
         again = (F.col("real") == 1) | (F.col("n") != F.col("least"))
         known = checkpoint(made.join(clash, ["kind", "made"], "left").select("kind", "n", "e", (F.col("attempt") + F.when(again, 1).otherwise(0)).alias("attempt")))
+    else:
+        raise RuntimeError(f"attempts: surrogates still meet after {max_attempts} rounds")
     return known.where("attempt > 0").select(_name(F.col("kind"), F.col("n")).alias("name"), "attempt")
 
 

@@ -453,6 +453,13 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert pii.attempts(df, "k", "text").count() > 0
 
 
+def test_surrogates_that_still_meet_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "like", lambda s, h: F.lit("000000000"))
+    df = spark.createDataFrame([(i, f"call (2{i:02d}) 555-{1000 + i} now") for i in range(20)], "doc_id long, text string")
+    with pytest.raises(RuntimeError):
+        pii.attempts(df, "k", "text", max_attempts=2)
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------------------
 
 
