@@ -7,14 +7,16 @@ Neighbouring blocks, and successive blocks of one parent, are tied by smoothness
 maximum flow separates both; what the source still reaches is content.
 
 Null and empty pages give an empty text.  Text of scripts, styles, comments, templates, heads and controls is no
-block.  White space of a block becomes one space; blocks are joined by one space.  Repeated rows give repeated rows.
+block.  White space of a block becomes one space; blocks are joined by one space.  Repeated rows give repeated rows, an
+empty table none.  Of several minimum cuts that with the fewest content blocks counts.  Very long and very deep pages are
+read whole, in time that grows with their length.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -73,6 +75,8 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.keys = 0
         self.open = [Element("", 0, None)]
+        self.places: dict[str, list[int]] = {}  # where elements of a tag are open, so that no search walks the page's depth
+        self.blocky = [0]  # where elements that are not inline are open
         self.blocks: list[tuple[str, float, str, int, int]] = []
         self.text: list[str] = []
         self.linked = 0
@@ -85,19 +89,28 @@ class Blocks(HTMLParser):
                 self.blocks.append((text, min(1.0, self.linked / len(text)), self.at.tag, self.at.key, self.at.region))
             self.text, self.linked = [], 0
 
+    def nearest(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of some tags is, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close_from(self, i: int) -> None:
+        """Closes the element at a place and all within it."""
+        while len(self.open) > i:
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocky.pop()
+
     def end_head(self) -> None:
         """Closes a head that is left open, as what cannot stand in it does."""
         if self.open[-1].tag == "head":
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
 
     def close_to(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
         """Closes the nearest of ``tags`` that is open within ``scope``."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
-            if self.open[i].tag in scope:
-                return
+        i = self.nearest(tags)
+        if i > self.nearest(scope):
+            self.close_from(i)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in HEAD_TAGS:
@@ -115,11 +128,13 @@ class Blocks(HTMLParser):
         if tag in SAME:
             self.close_to(SAME[tag], frozenset({"ul", "ol", "dl", "table"}))
         if tag == "body":
-            while len(self.open) > 1 and self.open[-1].tag != "html":
-                self.open.pop()
+            self.close_from(self.nearest(("html",)) + 1)
         self.keys += 1
         new = Element(tag, self.keys, self.open[-1])
         self.place(new, dict(attrs))
+        self.places.setdefault(tag, []).append(len(self.open))
+        if not inline:
+            self.blocky.append(len(self.open))
         self.open.append(new)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -147,7 +162,7 @@ class Blocks(HTMLParser):
             new.region = -1
         elif words & CONTENT_WORDS and not new.lasting and new.region >= 0:
             new.region = 1
-        elif tag == "h1" and new.region < 0 and not new.lasting and any(e.tag in CONTENT_TAGS for e in self.open):
+        elif tag == "h1" and new.region < 0 and not new.lasting and self.nearest(CONTENT_TAGS):
             new.region = 1  # the headline in an article's own header
 
     def handle_endtag(self, tag: str) -> None:
@@ -158,12 +173,9 @@ class Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self.border()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if tag in INLINE and self.open[i].tag not in INLINE:
-                return
+        i = self.nearest((tag,))
+        if i and (tag not in INLINE or i > self.blocky[-1]):
+            self.close_from(i)
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -172,10 +184,8 @@ class Blocks(HTMLParser):
         if top.skipped:
             return
         if not self.text:
-            i = len(self.open) - 1
-            while i and self.open[i].tag in INLINE:
-                i -= 1
-            self.at = self.open[i] if self.open[i].region == top.region else top
+            block = self.open[self.blocky[-1]]
+            self.at = block if block.region == top.region else top
         elif top.region != self.at.region and data.strip():
             self.border()  # an inline element that is a region of its own
             self.at = top

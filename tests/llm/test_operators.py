@@ -7,6 +7,7 @@ import itertools
 import json
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -107,6 +108,26 @@ def test_layouts_are_no_boilerplate():
     assert extraction.main_text("<head><title>T</title>Just a text without elements, that says something.").startswith("Just a text")
 
 
+@pytest.mark.parametrize(
+    "page, size",
+    [
+        ("<div>" * 100_000 + "<p>text here.</p>" + "</i>" * 100_000 + "</div>" * 100_000, 10),
+        ("<i><div>" + "<b>" * 50_000 + "</i>x" * 50_000, None),
+        ("<article>" + "<p>Word one two three four five six seven.</p>" * 50_000, 50_000 * 40 - 1),
+    ],
+)
+def test_extraction_of_long_and_deep_pages(page, size):
+    start = time.time()
+    text = extraction.main_text(page)
+    assert time.time() - start < 30 and size in (None, len(text))
+
+
+@pytest.mark.parametrize("page", ["<html><head><title>T</title><p>{}</p>", "<title>T</title><p>{}</p>", "<p>{}", "<head><body><p>{}</body>", "<html><p>{}</html>"])
+def test_extraction_of_omitted_tags(page):
+    text = "Main text here, long enough to be content of the page."
+    assert extraction.main_text(page.format(text)) == text
+
+
 def test_extraction_of_pages(spark):
     """Articles of the test pages, whose template is known here."""
     import html
