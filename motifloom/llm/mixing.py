@@ -8,7 +8,9 @@ takes its target to within one document.
 
 Null sources are a source of their own, after all others; null texts have size 0 and are never taken.  Identical rows
 stand next to each other in the shuffled order and are counted one by one; which of them is taken once more is open,
-the rows returned are the same.  Other columns are carried along, whatever their names.
+the rows returned are the same.  Rows of one id and size are ordered by a hash of their texts, equal finish times by the
+source's number.  Very long texts are documents like others: a source takes its target to within one.  An empty table
+gives no rows.  Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from motifloom.llm.shared import checkpoint
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source's order that one task is to sum up.
 ROWS_PER_SLICE = 1_000
+#: Slices of a source whose sums one task adds up.
+SLICES_PER_BLOCK = 10_000
 
 
 def words(text: Column) -> Column:
@@ -64,19 +68,19 @@ def targets(sources: DataFrame, weights: dict | None = None, *, max_epochs: int
     return placed.withColumn("target", target), total
 
 
-def mix(docs: DataFrame, weights: dict | None = None, *, seed: int = 17, max_epochs: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", with_row: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, *, seed: int = 17, max_epochs: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", with_row: bool = True, few: int = 10_000) -> DataFrame:
     """Every row with ``size``, ``source_size``, ``target``, ``copies`` (how often it is taken) and ``taken``.
 
     ``with_row``: the row itself is the struct ``row``; otherwise only its id is returned."""
     carried = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if with_row else [docs[id_col]]
-    sized = docs.select(*carried, docs[source_col].alias("source"), words(docs[text_col]).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("-")))).alias("draw"))
+    sized = docs.select(*carried, docs[source_col].alias("source"), words(docs[text_col]).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("-")))).alias("draw"), F.xxhash64(docs[text_col]).alias("tie"))
     if not with_row:
         sized = checkpoint(sized)  # narrow; the texts are read and counted once
     slim = sized.select("source", "size", "draw")
     sources = slim.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     placed, total = targets(sources, weights, max_epochs=max_epochs)
     placed = checkpoint(placed.withColumn("slices", (F.col("docs") / ROWS_PER_SLICE + 1).cast("long")))
-    small = placed.count() <= 10_000  # names of so many sources fit into a broadcast
+    small = placed.count() <= few  # names of so many sources fit into a broadcast
     hinted = F.broadcast(placed) if small else placed
 
     # cumulative tokens in a source's shuffled order: within slices of the order, plus the slices before
@@ -84,8 +88,8 @@ def mix(docs: DataFrame, weights: dict | None = None, *, seed: int = 17, max_epo
     slice_ = (F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(span)).cast("long")
     rows = sized.join(hinted, sized.source.eqNullSafe(placed.source)).drop(placed.source).withColumn("slice", slice_)
     by_slice = rows.groupBy("place", "slice").agg(F.sum("size").alias("slice_size"))
-    earlier = by_slice.select("place", "slice", (F.sum("slice_size").over(Window.partitionBy("place").orderBy("slice")) - F.col("slice_size")).alias("earlier"))
-    order = Window.partitionBy("place", "slice").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = sums_before(by_slice)
+    order = Window.partitionBy("place", "slice").orderBy("draw", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     upto = rows.withColumn("within", F.sum("size").over(order)).join(earlier, ["place", "slice"]).withColumn("upto", F.col("earlier") + F.col("within"))
     upto = upto.select(*(["row"] if with_row else [id_col]), "place", "size", "source_size", "target", "upto")
     if not with_row:
@@ -105,6 +109,16 @@ def mix(docs: DataFrame, weights: dict | None = None, *, seed: int = 17, max_epo
     return out.select(*(["row"] if with_row else [id_col]), "size", "source_size", "target", "copies", "taken")
 
 
+def sums_before(by_slice: DataFrame) -> DataFrame:
+    """For (place, slice, slice_size) the sum of a place's earlier slices, as (place, slice, earlier): within blocks of
+    slices, plus the blocks before, so that no task sees more than a block of slices or the blocks of a place."""
+    sizes = by_slice.withColumn("block", F.floor(F.col("slice") / SLICES_PER_BLOCK))
+    blocks = sizes.groupBy("place", "block").agg(F.sum("slice_size").alias("k"))
+    blocks = blocks.select("place", "block", (F.sum("k").over(Window.partitionBy("place").orderBy("block")) - F.col("k")).alias("before"))
+    own = F.sum("slice_size").over(Window.partitionBy("place", "block").orderBy("slice")) - F.col("slice_size")
+    return sizes.withColumn("own", own).join(blocks, ["place", "block"]).select("place", "slice", (F.col("own") + F.col("before")).alias("earlier"))
+
+
 def cut(ranged: DataFrame, total: int) -> tuple[float, int]:
     """(finish, place) of the last sent document within the budget, of rows range-sorted into parts."""
     parts = ranged.groupBy("part").agg(F.sum("size").alias("n"))
