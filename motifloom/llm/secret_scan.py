@@ -12,7 +12,10 @@ then holds the share of false discoveries below ``fdr``.  The p-values are round
 e, so that their counts form a table of bounded size; rounding up can only lose power.
 
 Null texts count as empty; empty texts have no spans.  Repeated rows are scanned alike and each is returned, and they
-count as often as they occur in the corpus statistics.  Offsets are code points, ends are exclusive.
+count as often as they occur in the corpus statistics.  Offsets are code points, ends are exclusive.  Of base patterns
+that overlap each keeps its span; spans of one start stand in the order of their kinds.  An empty table gives no rows.
+A very long text is scanned whole, in time that grows with its length and with a few dozen bytes of memory a character.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 16
 STRATA = (24, 32, 48)  # lengths at which a new stratum begins
 GRID, DEEPEST = 20, 300  # steps of ln p, largest -ln p
+CHUNK = 1 << 20  # characters of candidates tested at a time
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -82,6 +86,15 @@ def runs_of(codes: np.ndarray, table: np.ndarray, least: int) -> tuple[np.ndarra
 
 def battery(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For runs of character codes: the encoding's index (-1: only digits or marks) and the battery's p-value."""
+    ends, found, at = np.cumsum([len(t) for t in tokens]), [], 0
+    while at < len(tokens):  # so many at a time that the arrays stay small
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        found.append(_battery(tokens[at:stop]))
+        at = stop
+    return np.concatenate([e for e, _ in found]), np.concatenate([p for _, p in found])
+
+
+def _battery(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in tokens])
     flat, first = np.concatenate(tokens), np.concatenate([[0], np.cumsum(sizes)[:-1]])
     owner = np.repeat(np.arange(len(tokens)), sizes)
@@ -131,6 +144,16 @@ def base_spans(text: str, codes: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def touched(start: np.ndarray, end: np.ndarray, base: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which of the spans overlap one of the base spans, which come in order: of those that begin before a span's end
+    the furthest end lies behind its start."""
+    if not base:
+        return np.zeros(len(start), bool)
+    furthest = np.maximum.accumulate([b for _, _, b in base])
+    before = np.searchsorted([a for a, _, _ in base], end, "left")
+    return (before > 0) & (furthest[np.maximum(before, 1) - 1] > start)
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -159,8 +182,8 @@ def scan(docs: DataFrame, *, fdr: float = 0.01, alpha: float = 0.001, id_col: st
                     start, end = runs_of(codes, _run, MIN_RUN)
                     if len(start):
                         encoding, p = battery([codes[s:e] for s, e in zip(start, end)])
-                        for s, e, c, q in zip(start.tolist(), end.tolist(), encoding.tolist(), p.tolist()):
-                            if c >= 0 and not any(a < e and s < b for a, _, b in base):
+                        for s, e, c, q, hit in zip(start.tolist(), end.tolist(), encoding.tolist(), p.tolist(), touched(start, end, base).tolist()):
+                            if c >= 0 and not hit:
                                 own.append({"start": s, "end": e, "size": ENCODINGS[c][0] if q >= alpha else 0, "token": text[s:e]})
                     random.append(own)
                 n = [[sum(k == j for _, k, _ in x) for x in spans] for j in range(3)]
