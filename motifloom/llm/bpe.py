@@ -6,7 +6,8 @@ in logarithmic time, until the root says that no pair can be merged.  Trees of m
 as NumPy rows; a pre-token of more than ``BATCHED`` bytes has a tree of its own.
 
 Nulls count as empty texts; an empty text has no ids and decodes to the empty text.  Repeated rows are encoded as often
-as they occur, other columns are not read.
+as they occur, other columns are not read, whatever their names; an empty table gives no rows.  Of equal ranks the
+leftmost pair merges first.  Very long texts are encoded whole; the memory of a very long pre-token is that of its tree.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,25 +129,31 @@ class Encoder:
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
     def _alone(self, word: bytes) -> bytes:
-        """Ids of one long pre-token."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        width = 1 << max(1, (n - 1).bit_length())
-        after, before, none = [*range(1, n + 1)], [*range(-1, n - 1)], int(NONE)
-        tree = [none] * (2 * width)
+        """Ids of one long pre-token.  The tree of n leaves is an array of 2 * n numbers, the leaves last; a node is the
+        least of nodes 2 * i and 2 * i + 1, so the root is that of all leaves for any n.  28 bytes a byte of the word."""
+        first = self.byte_ids[np.frombuffer(word, np.uint8)].astype(np.int32)
+        n, none = len(first), int(NONE)
+        leaves = np.full(2 * n, NONE)
+        for at in range(0, n - 1, CHUNK):
+            stop = min(n - 1, at + CHUNK)
+            leaves[n + at : n + stop] = self._pairs(first[at:stop].astype(np.int64), first[at + 1 : stop + 1].astype(np.int64), np.arange(at, stop))
+        level = n  # nodes whose children are done, from the last ones on
+        while level > 1:
+            low = (level + 1) // 2
+            own = np.arange(low, level)
+            leaves[low:level] = np.minimum(leaves[2 * own], leaves[2 * own + 1])
+            level = low
+        tree, ids = array("q", leaves.tobytes()), array("i", first.tobytes())
+        del leaves, first
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
         get = self.of_pair.get
 
         def leaf(a: int, b: int) -> int:
             found = get(ids[a] << 32 | ids[b])
             return none if found is None else found[0] << SHIFT | a
 
-        for a in range(n - 1):
-            tree[width + a] = leaf(a, a + 1)
-        for node in range(width - 1, 0, -1):
-            tree[node] = min(tree[2 * node], tree[2 * node + 1])
-
         def put(node: int, value: int) -> None:
-            node += width
+            node += n
             tree[node] = value
             while node > 1:
                 node >>= 1
@@ -166,8 +174,8 @@ class Encoder:
             put(i, leaf(i, k) if k < n else none)
             if (p := before[i]) >= 0:
                 put(p, leaf(p, i))
-        ids = [x for x in ids if x >= 0]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        out = np.frombuffer(ids, np.int32)
+        return out[out >= 0].astype("<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
         classes: dict[int, list[tuple[str, bytes]]] = {}
