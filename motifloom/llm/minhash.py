@@ -6,14 +6,18 @@ document's total weight hit the document.  A dart's hash names a coordinate; eac
 rank, and documents of weighted Jaccard similarity s share it with probability s.  Coordinates still empty look at the
 next ranks.  The work grows with the words and k log k, not with their product.
 
-Bands of coordinates are joined on their hashes: whatever shares a band joins a candidate group, through the group's
-smallest member, never as all pairs.  Within candidate groups similarities are exact, over the shingles themselves.  A
-large group is compared in pairs of blocks of ``BLOCK`` documents, each pair of blocks a task; blocks return links that
-span what they connect.  Classes are the components of these links.
+Of every coordinate a byte is kept.  Texts whose bytes agree in a band of coordinates share a bucket.  Members of a
+bucket are first compared by all their bytes: those with a partner whose estimated similarity is at most five deviations
+below the threshold go on, and only their shingles move, for an exact comparison.  A pair that shares several bands is
+compared in the first of them.  Large buckets are compared in pairs of blocks of ``BLOCK`` texts, each a group of its
+own (``buckets``).  Collisions of bands are not followed from bucket to bucket, so chains of them cost no more than their
+own pairs.  Groups return links that span what they connect; classes are the components of these links.
 
 Equal texts are one text to start with.  Texts of fewer than five words have one shingle of all their words; texts
 without words are like only their equals; null texts are like nothing.  Rows that repeat id and text get the same
-result.  Null ids count as larger than all others.  Other columns are not read.
+result.  Null ids count as larger than all others; of texts with equal ids that of the smallest hash stands for a class.
+Very long texts are compared whole.  An empty table gives no rows.  Other columns are not read by ``near_duplicates``
+and carried along by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.embedding_dedup import spanning_roots
+from motifloom.llm import buckets
 from motifloom.llm.graph import components
-from motifloom.llm.shared import checkpoint
+from motifloom.llm.shared import checkpoint, written
 
 WORDS = 5
 BANDS, ROWS = 32, 6
-BLOCK = 256  # documents
-COLUMNS = 4096  # shingles compared at a time
+BLOCK = 512  # documents
+PAIRS = 1 << 14  # signatures of so many pairs are compared at a time
 CHUNK = 900_000  # characters hashed at a time, where a document counts as PER_DOCUMENT more for its darts
 PER_DOCUMENT = 4_000
 
@@ -118,15 +122,6 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     return sig, total > 0
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of every signature."""
-    parts = sig.reshape(len(sig), BANDS, ROWS)
-    key = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(11)), parts.shape[:2]).copy()
-    for i in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
-    return key.view(np.int64)
-
-
 def chunks(texts: list[str]) -> Iterator[slice]:
     """Ranges of texts of about ``CHUNK`` characters, or of a bounded number of documents."""
     start = size = 0
@@ -146,98 +141,80 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, s, count = shingles(texts[part])
             n = part.stop - part.start
             sig, some = signatures(doc, s, count.astype(float), n, BANDS * ROWS)
-            keys = band_keys(sig)
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), batch.column(1).slice(part.start, n), bands], names=["id", "name", "bands"])
+            sigs = [x.tobytes() if k else None for x, k in zip(sig.astype(np.uint8), some)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), batch.column(1).slice(part.start, n), pa.array(sigs, pa.binary())], names=["id", "name", "sig"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles of each text, those of count c as c elements, sorted."""
     for batch in batches:
-        texts = batch.column(4).to_pylist()
+        texts = batch.column(1).to_pylist()
         for part in chunks(texts):
             doc, s, count = shingles(texts[part])
             n = part.stop - part.start
             copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             elements = np.where(copy == 0, np.repeat(s, count), mix(np.repeat(s, count) + copy.astype(np.uint64)))
-            sizes = np.bincount(np.repeat(doc, count), minlength=n)
-            ends = np.cumsum(sizes)
-            sets = [elements[e - z : e].tobytes() for z, e in zip(sizes, ends)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.start, n) for i in range(4)), pa.array(sets, pa.binary())], names=["part", "blocks", "mine", "name", "set"])
+            ends = np.cumsum(np.bincount(np.repeat(doc, count), minlength=n))
+            sets = [np.sort(x).tobytes() for x in np.split(elements, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(sets, pa.binary())], names=["num", "set"])
 
 
 class Comparison:
-    """Exact similarities within blocks of a candidate group, or between two of its blocks; rows come sorted."""
+    """Compares the texts of each group: by signatures (``close``), or by their shingles."""
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
+        self.cut = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (BANDS * ROWS))
+
+    def candidates(self, rows: pa.Table, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs whose estimated similarity is not below the cut and that share the group's band, and none before."""
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        band, side = rows["band"].to_numpy(), rows["side"].to_numpy()
+
+        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(i), bool)
+            for at in range(0, len(i), PAIRS):
+                p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+                same = sig[p] == sig[q]
+                near = np.flatnonzero(same.sum(1) >= self.cut * sig.shape[1])
+                shared = same[near].reshape(-1, BANDS, ROWS).all(2)
+                out[at + near[shared.any(1) & (shared.argmax(1) == band[p[near]])]] = True
+            return out
+
+        return buckets.pairs(start, rows.num_rows, side, alike)
+
+    def close(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with a partner by signatures."""
+        for rows, start in buckets.complete(batches, 1 << 13):
+            used = np.unique(np.concatenate(self.candidates(rows, start)))
+            if len(used):
+                yield from rows.take(pa.array(used)).combine_chunks().to_batches()
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                new = pa.Table.from_batches([batch.slice(at, 2048)])
-                kept = new if kept is None else pa.concat_tables([kept, new])
-                start = self.starts(kept)
-                if len(start) > 1:
-                    yield from self.groups(kept.slice(0, start[-1]), start[:-1])
-                    kept = kept.slice(start[-1])
-        if kept is not None and kept.num_rows:
-            yield from self.groups(kept, self.starts(kept))
-
-    @staticmethod
-    def starts(rows: pa.Table) -> np.ndarray:
-        new = np.zeros(rows.num_rows, bool)
-        new[:1] = True
-        for c in ("part", "a", "b"):
-            v = rows[c].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        return np.flatnonzero(new)
-
-    def groups(self, rows: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sets, mine, a, b = rows["set"].to_pylist(), rows["mine"].to_numpy(), rows["a"].to_numpy(), rows["b"].to_numpy()
-        names = rows["name"].combine_chunks()
-        us, vs = [], []
-        for s, e in zip(start.tolist(), [*start[1:].tolist(), rows.num_rows]):
-            inter, sizes = intersections([np.frombuffer(x, np.uint64) for x in sets[s:e]])
-            alike = inter >= self.threshold * (sizes[:, None] + sizes - inter) - 1e-9
-            alike &= (inter > 0) & (np.arange(e - s)[:, None] < np.arange(e - s))
-            if a[s] != b[s]:
-                alike &= mine[s:e, None] != mine[s:e]
-            i, j = np.nonzero(alike)
-            if len(i):
-                root = spanning_roots(i, j, e - s)
-                used = np.flatnonzero(root != np.arange(e - s))
-                us.append(used + s)
-                vs.append(root[used] + s)
-        if us:
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(x))) for x in (us, vs)], names=["u", "v"])
-
-
-def intersections(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the intersections of all pairs of sets, and of the sets."""
-    n = len(sets)
-    sizes = np.array([len(x) for x in sets], float)
-    if n == 2:
-        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[sizes[0], common], [common, sizes[1]]], float), sizes
-    flat, row = np.concatenate(sets), np.repeat(np.arange(n), sizes.astype(int))
-    order = np.argsort(flat, kind="stable")
-    flat, row = flat[order], row[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[1:] != flat[:-1]
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    use = shared[column]
-    row, column = row[use], (np.cumsum(shared) - 1)[column[use]]
-    inter = np.zeros((n, n), np.float64)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
-        m = np.zeros((n, COLUMNS), np.float32)
-        m[row[lo:hi], column[lo:hi] - at] = 1
-        inter += m @ m.T
-    return inter, sizes
+        for rows, start in buckets.complete(batches, 1 << 9):
+            i, j = self.candidates(rows, start)
+            linked = alike(rows["set"], i, j, self.threshold)
+            if linked.any():
+                used, place = np.unique(np.concatenate([i[linked], j[linked]]), return_inverse=True)
+                root = buckets.spanning_roots(*np.split(place, 2), len(used))
+                num = rows["num"].to_numpy()[used]
+                tied = root != np.arange(len(used))
+                yield pa.RecordBatch.from_arrays([pa.array(num[tied]), pa.array(num[root[tied]])], names=["u", "v"])
+
+
+def alike(sets: pa.ChunkedArray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sorted sets of 64-bit numbers have a similarity of at least the threshold."""
+    out = np.zeros(len(i), bool)
+    order = np.argsort(i, kind="stable")
+    own = {k: np.frombuffer(sets[k].as_buffer(), np.uint64) for k in np.unique(np.concatenate([i, j])).tolist()}
+    for part in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(i) else []:
+        one, others = own[int(i[part[0]])], [own[k] for k in j[part].tolist()]
+        sizes = np.array([len(x) for x in others])
+        flat = np.concatenate(others)  # of a group's texts at most
+        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        both = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        out[part] = both >= threshold * (len(one) + sizes - both) - 1e-9
+    return out
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", few: int = 200_000) -> DataFrame:
@@ -245,36 +222,34 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id",
     class, ``kept`` whether the row stands for its class."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(docs[id_col].alias("id"), F.md5(docs[text_col].cast("binary")).alias("name"), docs[text_col].alias("text"))
-    signed = texts.where("name is not null").mapInArrow(_sign, f"id {kind}, name string, bands array<long>")
-    # equal texts are one; a 64-bit number stands for a text where a clash only widens a candidate group
-    reps = signed.groupBy("name").agg(F.min("id").alias("least"), F.first("bands").alias("bands")).withColumn("num", F.xxhash64("name"))
-    reps = checkpoint(reps)
-    entries = reps.select(F.explode("bands").alias("key"), "num")
-    hubs = entries.groupBy("key").agg(F.min("num").alias("hub"), F.max("num").alias("top")).where("hub < top").select("key", "hub")
-    # a text and its (at most BANDS) hubs are tied to the smallest of them: hubs that many texts share become one link
-    tied = entries.join(hubs, "key").groupBy("num").agg(F.collect_set("hub").alias("hubs"))
-    first = F.least(F.array_min("hubs"), F.col("num"))
-    star = tied.select(first.alias("v"), F.explode(F.array_union("hubs", F.array("num"))).alias("u"))
-    groups = components(star.where("u <> v").distinct())
-
-    members = checkpoint(reps.select("name", "least", "num").join(groups.select(F.col("node").alias("num"), F.col("component").alias("part")), "num"))
-    sizes = members.groupBy("part").agg(F.count("*").alias("m")).select("part", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = checkpoint(members.join(sizes, "part").withColumn("mine", F.pmod(F.xxhash64("name", F.lit(3)), F.col("blocks")).cast("int")).select("part", "blocks", "mine", "name", "least"))
-    small = F.broadcast(members) if members.count() <= few else members  # some 20 MB at most
-    own = texts.join(small.withColumnRenamed("name", "member"), (F.col("name") == F.col("member")) & F.col("id").eqNullSafe(F.col("least")))
-    gathered = own.select("part", "blocks", "mine", "name", "text").mapInArrow(_gather, "part long, blocks int, mine int, name string, set binary")
-    dealt = gathered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("part", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "name", "set")
-    dealt = dealt.repartition("part", "a", "b").sortWithinPartitions("part", "a", "b")
-    links = checkpoint(dealt.mapInArrow(Comparison(threshold), "u string, v string"))
-
-    parts = components(links)
-    known = reps.select("name", "least").join(parts.withColumnRenamed("node", "name"), "name")
+    signed = texts.where("name is not null").mapInArrow(_sign, f"id {kind}, name string, sig binary")
+    # equal texts are one, known by a number
+    reps = signed.groupBy("name").agg(F.min("id").alias("least"), F.first("sig").alias("sig"))
+    reps = written(reps.withColumn("num", F.monotonically_increasing_id()), "signatures")
+
+    signatures_ = reps.where("sig is not null").select("num", "sig")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substr("sig", b * ROWS + 1, F.lit(ROWS))))
+    entries = signatures_.select("num", F.posexplode(parts).alias("band", "bucket"))
+    entries = entries.select("num", F.col("band").cast("byte").alias("band"), "bucket")
+    dealt = buckets.deal(entries, BLOCK, sparse=True).join(signatures_, "num")
+    comparison = Comparison(threshold)
+    columns = ("group", "side", "band", "num", "sig")
+    near = written(buckets.grouped(dealt.select(*columns)).mapInArrow(comparison.close, "group long, side byte, band byte, num long, sig binary"), "close")
+
+    wanted = written(near.select("num").distinct().join(reps, "num").select("num", F.col("name").alias("member"), "least"), "wanted")
+    small = F.broadcast(wanted) if wanted.count() <= few else wanted  # some 20 MB at most
+    own = texts.join(small, (F.col("name") == F.col("member")) & F.col("id").eqNullSafe(F.col("least")))
+    sets = own.select("num", "text").mapInArrow(_gather, "num long, set binary").groupBy("num").agg(F.first("set").alias("set"))
+    full = buckets.grouped(near.join(sets, "num").select(*columns, "set"))
+    links = written(full.mapInArrow(comparison, "u long, v long"), "links")
+
+    found = components(links)
+    known = reps.select("name", "least", "num").join(found.withColumnRenamed("node", "num"), "num")
     first = known.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "name")).alias("x")).select("component", "class_id", F.col("x.name").alias("keeper"))
-    first = checkpoint(first)  # so that the join reads exchanges on both sides, and Spark can split a large class
+    first = written(first, "classes")  # so that the join reads exchanges on both sides, and Spark can split a large class
     linked = known.join(first, "component").select("name", "class_id", "keeper")
     every = reps.select("name", "least").join(linked, "name", "left").select("name", "least", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("keeper", "name").alias("keeper"))
-    every = checkpoint(every)
+    every = written(every, "texts")
     out = texts.select("id", "name").where("name is not null").join(every, "name")
     kept = (F.col("name") == F.col("keeper")) & F.col("id").eqNullSafe(F.col("least"))
     return out.select("id", "name", "class_id", kept.alias("kept")).unionByName(texts.where("name is null").select("id", "name", F.col("id").alias("class_id"), F.lit(True).alias("kept")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests.
@@ -19,3 +21,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder, which has its true size: a checkpoint keeps the plan's estimate, to which
+    every join adds its digits, and after some twenty rounds planning takes longer than the work."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
