@@ -1,38 +1,54 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are sorted by page id over shards whose borders follow from the byte counts of ranges of ids, so equal input
-gives equal files.  Within a shard a file is closed once it has ``roll_bytes`` of compressed data.  Headers and digests
-are made anew; each record is a gzip member of its own without a time.  Files are written under temporary names that
-no two task attempts share, renamed when all tasks have ended, and listed in a manifest that is written last; a reader
-sees only what the manifest names.  A lost executor's tasks simply write again under other names.
+Records are sorted by page id and digest over shards.  A shard's border follows from the running byte count in that
+order, which is summed on the executors (range-sorted parts, plus the parts before), so equal input gives equal files
+however it is partitioned; the driver holds one key for each shard.  Within a shard a file is closed once it has
+``roll_bytes`` of compressed data.  Headers and digests are made anew; each record is a gzip member of its own without a
+time.  Files are written under temporary names that no two task attempts share, renamed by tasks when all have been
+written, and listed in a manifest that is written last; a reader sees only what the manifest names.  A lost executor's
+tasks simply write again under other names, and a rename that was done before is not done again.
 
 Of records of equal payload (of ``min_dedup_bytes`` at least) that with the largest page id is a response, the others
 are revisits that refer to it.  Null payloads count as empty.  Rows that repeat a page id with an equal payload have
-the same record type.  Null ids are never referred to and sort first; null URLs give records without a target URI.
+the same record type and stand in the order of their URLs.  Null ids are never referred to and sort first; null URLs
+give records without a target URI.  Very long payloads are one record each, held by one task.  An empty table gives an
+empty manifest and no rows.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motifloom.llm.shared import checkpoint, folder
+from motifloom.llm.shared import folder, written
 
-BINS = 4096  # ranges of ids counted at a time
+RECORD_BYTES = 512  # of a record's headers, about
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST_SCHEMA = "shard long, part long, temporary string, path string, records long, bytes long, sha256 string"
 
 
+def resolved(spark: SparkSession, folder_uri: str) -> str:
+    """The folder made, by an address that tasks can open: that of the store behind a view, and s3 for s3a."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder_uri)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    return re.sub("^s3[an]:", "s3:", fs.resolvePath(place).toString())
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder that all executors reach, and the folder's path there."""
     return pafs.FileSystem.from_uri(uri)
@@ -63,53 +79,57 @@ def record(row: dict, date: str) -> bytes:
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def borders(slim: DataFrame, shard_bytes: int) -> tuple[Column, DataFrame | None, int]:
-    """A column that names the id range of each row, the (broadcast) shard of each range, and the number of shards.
-
-    Ranges of equal width are counted; those above ``shard_bytes`` are divided again, until none is above or a range
-    is one id.  Their number is bounded by ``BINS`` times (1 + total bytes / shard_bytes)."""
-    spark = slim.sparkSession
-    lo, hi = slim.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return F.lit(None).cast("long"), None, 1
-    node, width = F.lit(int(lo)), int(hi) - int(lo) + 1
-    leaves: dict[int, int] = {}
-    heavy: list[int] = [int(lo)]
-    while heavy:
-        width = -(-width // BINS)
-        node = F.when(node.isin(heavy), node + F.floor((F.col("page_id") - node) / F.lit(width)).cast("long") * width).otherwise(node)
-        sums = {r["node"]: r["b"] for r in slim.withColumn("node", node).where("page_id is not null").groupBy("node").agg(F.sum("payload_bytes").alias("b")).collect()}
-        leaves = sums
-        heavy = [k for k, b in sums.items() if b > shard_bytes] if width > 1 else []
-    shards, so_far, number = [], 0, 0
-    for k in sorted(leaves):
-        if so_far and so_far + leaves[k] > shard_bytes:
-            number, so_far = number + 1, 0
-        shards.append((k, number))
-        so_far += leaves[k] + 512
-    return node, spark.createDataFrame(shards, "node long, shard long"), number + 1
-
-
-def write(pages: DataFrame, out: str, *, shard_bytes: int | None = None, roll_bytes: int = 256 << 20, min_dedup_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> str:
+def borders(slim: DataFrame, shard_bytes: int) -> list[tuple[int, str]]:
+    """The first (id, digest) of each shard but the first, of rows (at, digest, payload_bytes): a shard begins with the
+    row before which the bytes so far reach another multiple of ``shard_bytes``.  As many as there are shards."""
+    ranged = slim.repartitionByRange("at", "digest").select(F.spark_partition_id().alias("part"), "at", "digest", (F.col("payload_bytes") + RECORD_BYTES).alias("b"))
+    ranged = written(ranged, "ranges")
+    sums = ranged.groupBy("part").agg(F.sum("b").alias("b"))  # a row for each partition
+    before = sums.select("part", (F.sum("b").over(Window.orderBy("part")) - F.col("b")).alias("before"))
+    own = F.sum("b").over(Window.partitionBy("part").orderBy("at", "digest").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")
+    placed = ranged.withColumn("own", own).join(F.broadcast(before), "part")
+    shard = F.floor((F.col("before") + F.col("own")) / F.lit(shard_bytes))
+    first = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct("at", "digest")).alias("x")).where("shard > 0").select("x.at", "x.digest").distinct()
+    return sorted((r["at"], r["digest"]) for r in first.collect())
+
+
+def shard_of(keys: list[tuple[int, str]]):
+    """A function of (at, digest): how many borders are not above a row."""
+    ids, digests = np.array([k for k, _ in keys], np.int64), [d for _, d in keys]
+
+    @F.pandas_udf("long")
+    def number(at: pd.Series, digest: pd.Series) -> pd.Series:
+        own = at.to_numpy()
+        low, high = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        for i in np.flatnonzero(low < high):  # rows of an id in which a shard begins
+            high[i] = bisect.bisect_right(digests, digest.iloc[i], low[i], high[i])
+        return pd.Series(high)
+
+    return number
+
+
+def write(pages: DataFrame, out: str, *, shard_bytes: int | None = None, roll_bytes: int = 256 << 20, min_dedup_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", few: int = 100_000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> str:
     """Writes the archives of all rows to the folder ``out``; returns the manifest's place.
 
     ``shard_bytes``: of payload in a shard; by default a 64th of the whole, between 1 MB and 1 GB."""
+    spark = pages.sparkSession
+    out = resolved(spark, out)
     payload = F.coalesce(pages[payload_col].cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    slim = checkpoint(rows.select("page_id", "digest", "payload_bytes"))
+    at = F.coalesce("page_id", F.lit(-(1 << 63)))
+    slim = written(rows.select("page_id", at.alias("at"), "digest", "payload_bytes"), "records")
     if shard_bytes is None:
         shard_bytes = min(1 << 30, max(1 << 20, (slim.agg(F.sum("payload_bytes")).first()[0] or 0) // 64))
-    node, shards, n = borders(slim, shard_bytes)
+    keys = borders(slim, shard_bytes)
 
-    groups = checkpoint(slim.where(F.col("payload_bytes") >= min_dedup_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1 and first is not null").select("digest", "first"))
-    few = groups.count() <= 100_000  # some 6 MB; beyond that both sides are shuffled
-    full = rows.join(F.broadcast(groups) if few else groups, "digest", "left")
+    groups = slim.where(F.col("payload_bytes") >= min_dedup_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
+    groups = written(groups.where("n > 1 and first is not null").select("digest", "first"), "groups")
+    hinted = F.broadcast(groups) if groups.count() <= few else groups  # some 6 MB; beyond that both sides are shuffled
     refers = F.when((F.col("first") != F.col("page_id")) | F.col("page_id").isNull(), F.col("first"))
-    full = full.withColumn("refers_to", refers).withColumn("node", node)
-    full = full.join(F.broadcast(shards), "node", "left") if shards is not None else full.withColumn("shard", F.lit(0).cast("long"))
-    full = full.select(F.coalesce("shard", F.lit(0)).cast("long").alias("shard"), "page_id", "url", "payload", "refers_to", "digest")
-    ordered = full.repartition(max(1, min(n, 100_000)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest").drop("digest")
+    full = rows.join(hinted, "digest", "left").withColumns({"refers_to": refers, "shard": shard_of(keys)(at, "digest") if keys else F.lit(0).cast("long")})
+    full = full.select("shard", "page_id", "url", "payload", "refers_to", "digest")
+    ordered = full.repartition(max(1, min(len(keys) + 1, 100_000)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url").drop("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = opened(out)
@@ -144,18 +164,22 @@ def write(pages: DataFrame, out: str, *, shard_bytes: int | None = None, roll_by
         if current:
             yield end(current)
 
-    written = checkpoint(ordered.mapInArrow(run, MANIFEST_SCHEMA))
-    return commit(written, out)
+    return commit(written(ordered.mapInArrow(run, MANIFEST_SCHEMA), "manifest"), out)
 
 
-def commit(written: DataFrame, out: str) -> str:
+def commit(made: DataFrame, out: str) -> str:
     """Renames the files of the attempts that succeeded, drops all others, and writes the manifest: one line a file."""
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = opened(out)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if fs.get_file_info(f"{top}/{row['temporary']}").type != pafs.FileType.NotFound:  # else an attempt before did it
+                    fs.move(f"{top}/{row['temporary']}", f"{top}/{row['path']}")
+            yield batch
+
     fs, top = opened(out)
-    fs.create_dir(top, recursive=True)
-    lines = []
-    for row in written.orderBy("shard", "part").toLocalIterator():
-        fs.move(f"{top}/{row['temporary']}", f"{top}/{row['path']}")
-        lines.append({k: row[k] for k in ("shard", "part", "path", "records", "bytes", "sha256")})
+    lines = [{k: r[k] for k in ("shard", "part", "path", "records", "bytes", "sha256")} for r in written(made.mapInArrow(rename, MANIFEST_SCHEMA), "manifest").orderBy("shard", "part").toLocalIterator()]
     if fs.get_file_info(f"{top}/_temporary").type != pafs.FileType.NotFound:
         fs.delete_dir(f"{top}/_temporary")
     with fs.open_output_stream(f"{top}/manifest.tmp", compression=None) as f:
@@ -186,7 +210,7 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def read(df_session, manifest: str) -> DataFrame:
     """``page_id``, ``url``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and ``block`` of all
     records; digests of blocks are checked."""
-    out = manifest.rsplit("/", 1)[0]
+    out = resolved(df_session, manifest.rsplit("/", 1)[0])
     files = df_session.read.schema("path string, bytes long").json(manifest)
     n = max(1, files.count())
 
@@ -211,7 +235,7 @@ def read(df_session, manifest: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return files.select("path").repartition(n).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, block binary")
+    return files.select("path").repartition(min(n, 100_000)).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, block binary")
 
 
 def round_trip(pages: DataFrame, out: str | None = None, **options) -> DataFrame:
