@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column
@@ -94,17 +95,27 @@ def with_consensus(ddg: np.ndarray, consensus: float) -> np.ndarray:
     return out
 
 
-def energies_of_pwm(pwm: np.ndarray) -> np.ndarray:
-    """M7: minus the logit of slightly shrunk probabilities, from 0 in each row, scaled so that a row's mean is 2 RT."""
+@dataclass(frozen=True)
+class EnergyModel:
+    """M7 to M9: energies in kcal/mol, a row of four for each position with a minimum of 0, above a consensus energy."""
+
+    ddg: np.ndarray
+    consensus: float = 0.0
+    mean: float = 0.0
+
+
+def energies_of_pwm(pwm: np.ndarray) -> EnergyModel:
+    """M7: minus the logit of slightly shrunk probabilities, from 0 in each row, scaled so that the mean energy of a
+    site is -2 and the consensus lies 1.5 for each position below it."""
     p = 5e-4 + (1 - 1e-3) * np.asarray(pwm, float)
     e = -np.log(p / (1 - p))
     e -= e.min(1, keepdims=True)
-    return e * (2.0 / e.mean()) * RT
+    return EnergyModel(e * (1.5 * len(e) / e.mean(1).sum()), -2.0 - 1.5 * len(e), -2.0)
 
 
-def energy_range(ddg: np.ndarray) -> tuple[float, float]:
+def energy_range(ddg: np.ndarray, consensus: float = 0.0) -> tuple[float, float]:
     """M8, M9: lowest and highest energy of any site."""
-    return float(np.min(ddg, 1).sum()), float(np.max(ddg, 1).sum())
+    return consensus + float(np.min(ddg, 1).sum()), consensus + float(np.max(ddg, 1).sum())
 
 
 def zeroed(ddg: np.ndarray, consensus: float = 0.0) -> tuple[np.ndarray, float]:
@@ -113,6 +124,30 @@ def zeroed(ddg: np.ndarray, consensus: float = 0.0) -> tuple[np.ndarray, float]:
     return ddg - low, consensus + float(low.sum())
 
 
+def updated(ddg: np.ndarray, consensus: float) -> EnergyModel:
+    """M8: a model of new energies, rows shifted to 0; its mean energy is that of a single entry above the consensus."""
+    ddg, consensus = zeroed(np.asarray(ddg, float), consensus)
+    return EnergyModel(ddg, consensus, consensus + float(ddg.mean()))
+
+
+def differences(model: EnergyModel) -> tuple[float, np.ndarray]:
+    """M8: the energy of a site of A only, and for C, G, T (a row each) what they add at each position."""
+    ddg = np.asarray(model.ddg, float)
+    return model.consensus + float(ddg[:, 0].sum()), (ddg[:, 1:] - ddg[:, :1]).T
+
+
+def contributions(diff: np.ndarray) -> np.ndarray:
+    """M9: the rows of four of differences from A."""
+    return np.column_stack([np.zeros(diff.shape[1]), np.asarray(diff).T])
+
+
+def summary(model: EnergyModel) -> str:
+    """M9: consensus, mean and lowest energy and the rows of a model as text."""
+    rows = ["".join(f"{x:10.2f}" for x in r) for r in model.ddg]
+    low, high = energy_range(model.ddg, model.consensus)
+    return "\n".join([f"Consensus: {consensus(model.ddg)}", f"Mean: {model.mean:.4f}", f"Min: {low:.4f}", f"Max: {high:.4f}", "".join(f"{b:>10}" for b in "ACGT"), *rows])
+
+
 def flipped(matrix: np.ndarray) -> np.ndarray:
     """M9: the matrix of the other strand."""
     return np.asarray(matrix)[::-1, ::-1]

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from motifloom.functions.physics import flipped
-from motifloom.functions.sequence import pieces
-from motifloom.operators.stats import quantiles
+from motifloom.functions.physics import EnergyModel, flipped
+from motifloom.operators.stats import sorted_quantile
+
+PIECE = 1 << 16  # bases of a piece of a long sequence
+CHUNK = 1 << 20  # bases scored at a time
+CODES = np.full(256, 4)
+for _i, _b in enumerate(b"ACGT"):
+    CODES[[_b, _b + 32]] = _i  # both cases
 
 
 def site_score(seq: Column, offset: Column, matrix: np.ndarray) -> Column:
@@ -23,14 +31,86 @@ def site_score(seq: Column, offset: Column, matrix: np.ndarray) -> Column:
     return sum((term(i) for i in range(1, len(matrix))), term(0))
 
 
-def scan(seqs: DataFrame, matrix: np.ndarray, *, best=F.greatest, unknown: float | None = None, seq_col: str = "seq") -> DataFrame:
-    """A row (``offset``, ``is_rc``, ``site_score``) for every offset, the better of both strands.
-
-    ``best``: greatest for weights, least for energies.  Offsets whose window has another character get ``unknown``."""
-    rows = pieces(seqs, seq_col, len(matrix))
-    rows = rows.withColumn("fwd", site_score(F.col("piece"), F.col("within"), matrix)).withColumn("rc", site_score(F.col("piece"), F.col("within"), flipped(matrix)))
-    both = F.when(F.col("fwd").isNull(), F.lit(unknown)).otherwise(best("fwd", "rc"))
-    return rows.withColumn("is_rc", F.coalesce(both != F.col("fwd"), F.lit(False))).withColumn("site_score", both).drop("fwd", "rc", "piece", "within")
+def site_scores(codes: np.ndarray, matrix: np.ndarray, lowest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of a row of codes (0 to 3, 4 unknown) the better strand's score, NaN beside unknowns, and
+    whether it is the other strand's."""
+    n = len(codes) - len(matrix) + 1
+    def total(m: np.ndarray) -> np.ndarray:
+        rows = np.column_stack([m, np.full(len(m), np.nan)])
+        out = rows[0][codes[:n]]
+        for i in range(1, len(m)):
+            out += rows[i][codes[i : i + n]]
+        return out
+    fwd, other = total(np.asarray(matrix, float)), total(np.asarray(flipped(matrix), float))
+    is_rc = other < fwd if lowest else other > fwd
+    return np.where(is_rc, other, fwd), is_rc
+
+
+def scan(seqs: DataFrame, matrix: np.ndarray | dict[str, np.ndarray], *, lowest: bool = False, unknown: float | None = None, centre_unknown: bool = False, constant: float = 0.0, seq_col: str = "seq") -> DataFrame:
+    """A row (``offset``, ``is_rc``, ``site_score``) for every offset, the better of both strands, in upper
+    and lower case; with a dict of matrices one for each of them, named ``motif``, in the same pass.
+
+    ``lowest``: energies, else weights; ``constant`` is added.  Windows with another character than A, C, G, T get
+    ``unknown``, at their middle if ``centre_unknown``.  Sequences pass once, as Arrow batches; long ones are cut into
+    pieces of ``PIECE`` bases there, so that no row holds more than the scores of a piece."""
+    matrices = matrix if isinstance(matrix, dict) else {"": matrix}
+    place = seqs.columns.index(seq_col)
+    names = [*seqs.columns, "_motif", "_at", "_scores", "_rcs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for name, m in matrices.items():
+                for rows, at, sites, scores, is_rc in _scanned(texts, np.asarray(m, float), lowest):
+                    bad = np.isnan(scores)
+                    values = pa.array(scores + constant, mask=bad) if unknown is None else pa.array(np.where(bad, unknown, scores + constant))
+                    ends = pa.array(np.concatenate([[0], np.cumsum(sites)]), pa.int32())
+                    own = batch.take(pa.array(rows))
+                    lists = [pa.ListArray.from_arrays(ends, values), pa.ListArray.from_arrays(ends, pa.array(is_rc & ~bad))]
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([name] * len(rows), pa.string()), pa.array(at, pa.int32()), *lists], names=names)
+
+    schema = StructType([*seqs.schema.fields, *(StructField(n, t) for n, t in zip(names[-4:], (StringType(), IntegerType(), ArrayType(DoubleType()), ArrayType(BooleanType()))))])
+    sites = seqs.mapInArrow(run, schema).select("*", F.posexplode(F.arrays_zip("_scores", "_rcs")).alias("_i", "_x"))
+    shift = F.when(_known(F.col(seq_col), F.col("_at") + F.col("_i"), matrices), 0).otherwise(len(next(iter(matrices.values()))) // 2) if centre_unknown else F.lit(0)
+    motif_name = [F.col("_motif").alias("motif")] if isinstance(matrix, dict) else []
+    return sites.select(*seqs.columns, *motif_name, (F.col("_at") + F.col("_i") + shift).cast("int").alias("offset"), F.col("_x._rcs").alias("is_rc"), F.col("_x._scores").alias("site_score"))
+
+
+def _known(seq: Column, at: Column, matrices: dict[str, np.ndarray]) -> Column:
+    return F.substr(seq, at + 1, F.lit(len(next(iter(matrices.values()))))).rlike("^[ACGTacgt]+$")
+
+
+def _scanned(texts: list[str | None], matrix: np.ndarray, lowest: bool) -> Iterator[tuple]:
+    """(rows, first offsets, numbers of sites, scores, strands) of the pieces of texts, about ``CHUNK`` bases at a time."""
+    width, pieces, size = len(matrix), [], 0
+
+    def done() -> tuple:
+        rows, at, parts = zip(*pieces)
+        lengths = np.array([len(x) for x in parts])
+        codes = CODES[np.frombuffer("".join(parts).encode("ascii", "replace"), np.uint8)]
+        scores, is_rc = site_scores(codes, matrix, lowest)
+        whole = np.arange(len(scores)) + width <= np.repeat(np.cumsum(lengths), lengths)[: len(scores)]  # windows that end in their piece
+        return rows, at, lengths - width + 1, scores[whole], is_rc[whole]
+
+    for row, text in enumerate(texts):
+        for at in range(0, len(text or "") - width + 1, PIECE):
+            pieces.append((row, at, text[at : at + PIECE + width - 1]))
+            size += len(pieces[-1][2])
+            if size > CHUNK:
+                yield done()
+                pieces, size = [], 0
+    if pieces:
+        yield done()
+
+
+def weight_scan(seqs: DataFrame, matrix: np.ndarray, **options) -> DataFrame:
+    """the best weight of every offset; windows with N stand at their middle with a quarter for each base."""
+    return scan(seqs, matrix, unknown=0.25 * len(matrix), centre_unknown=True, **options)
+
+
+def energy_scan(seqs: DataFrame, model: EnergyModel, **options) -> DataFrame:
+    """F8: the lowest energy of every offset, the consensus energy included; windows with N have the mean energy."""
+    return scan(seqs, model.ddg, lowest=True, unknown=model.mean, constant=model.consensus, **options)
 
 
 def same_length_scan(seqs: DataFrame, matrix: np.ndarray, seq_col: str = "seq") -> DataFrame:
@@ -51,16 +131,17 @@ def best_site(scored: DataFrame, keys: list[str], lowest: bool = False) -> DataF
 
 
 def region_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean (divided by the length once more), maximum and quantiles .99 .95 .90 .75 .50 of the scores of a region."""
-    basic = scored.groupBy(*keys).agg((F.avg("site_score") / F.count("site_score")).alias("mean"), F.max("site_score").alias("max"))
-    return basic.join(quantiles(scored, keys, "site_score", (0.99, 0.95, 0.90, 0.75, 0.50)), keys)
+    """Mean (divided by the length once more), maximum and quantiles .99 .95 .90 .75 .50 of the scores of a region.
+    One aggregate: the sorted scores of a region fit a task, as the region itself does."""
+    x = F.col("site_score")
+    basic = scored.groupBy(*keys).agg((F.avg(x) / F.count(x)).alias("mean"), F.max(x).alias("max"), F.sort_array(F.collect_list(x)).alias("_all"))
+    probs = (0.99, 0.95, 0.90, 0.75, 0.50)
+    return basic.where(F.size("_all") > 0).select(*keys, "mean", "max", *(sorted_quantile(F.col("_all"), p).alias(f"q{round(p * 100):02d}") for p in probs))
 
 
 def mean_scores(seqs: DataFrame, motifs: dict[str, np.ndarray], keys: list[str]) -> DataFrame:
-    """For every pair of sequence and motif the mean over offsets of the better strand.  The motifs are a
-    literal part of the plan; the sequences are read once for each."""
-    parts = [scan(seqs, m).groupBy(*keys).agg(F.avg("site_score").alias("mean_score")).withColumn("motif", F.lit(name)) for name, m in motifs.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """For every pair of sequence and motif the mean over offsets of the better strand, in one pass."""
+    return scan(seqs, motifs).groupBy(*keys, "motif").agg(F.avg("site_score").alias("mean_score"))
 
 
 def prefer(primary: DataFrame, fallback: DataFrame, key: str = "tf_id") -> DataFrame:

@@ -21,8 +21,10 @@ def pool(spark, n: int, length: int, seed: int = 0) -> DataFrame:
 
 
 def energies(seqs: DataFrame, ddg: np.ndarray, consensus: float = 0.0) -> DataFrame:
-    """the lowest energy over sites and strands of every sequence (seq_id, seq, energy)."""
-    sites = scan(seqs.select("seq_id", "seq"), ddg, best=F.least)
+    """the lowest energy over sites and strands of every sequence (seq_id, seq, energy); an error for a sequence that
+    is shorter than the matrix."""
+    short = F.raise_error(F.concat(F.lit("shorter than the motif: "), F.col("seq")))
+    sites = scan(seqs.select("seq_id", F.when(F.length("seq") >= len(ddg), F.col("seq")).otherwise(short.cast("string")).alias("seq")), ddg, lowest=True)
     best = sites.groupBy("seq_id").agg((F.min("site_score") + consensus).alias("energy"))
     return seqs.select("seq_id", "seq").join(best, "seq_id")  # the sequence itself does not go through the scan's shuffle
 
@@ -93,7 +95,7 @@ def gradient(seqs: DataFrame, background: DataFrame, ddg: np.ndarray, mu: float)
     n = len(ddg)
 
     def counts(df: DataFrame, weight) -> tuple[np.ndarray, float]:
-        best = best_site(scan(df.select("seq_id", "seq"), ddg, best=F.least), ["seq_id"], lowest=True).join(df.select("seq_id", "seq"), "seq_id")
+        best = best_site(scan(df.select("seq_id", "seq"), ddg, lowest=True), ["seq_id"], lowest=True).join(df.select("seq_id", "seq"), "seq_id")
         word = F.substr("seq", F.col("offset") + 1, F.lit(n))
         rows = best.select(F.when(F.col("is_rc"), F.translate(F.reverse(word), "ACGT", "TGCA")).otherwise(word).alias("site"), (1 / (1 + F.exp((F.col("site_score") - mu) / RT))).alias("occ"))
         out = np.zeros((n, 4))

@@ -26,6 +26,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: tuple[float, ..
     return grouped.agg(*out)
 
 
+def sorted_quantile(values: Column, p: float, alpha: float = 0.4, beta: float = 0.4) -> Column:
+    """G5 of a sorted array that is not empty."""
+    n = F.size(values)
+    h = n * p + (alpha + p * (1 - alpha - beta))
+    k = F.floor(F.greatest(F.lit(1.0), F.least(h, (n - 1).cast("double")))).cast("int")
+    g = F.greatest(F.lit(0.0), F.least(h - k, F.lit(1.0)))
+    return F.when(n == 1, values[0]).otherwise((1 - g) * F.element_at(values, k) + g * F.element_at(values, F.least(k + 1, n)))
+
+
 def upper_mean(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """Mean of the int(share * n) + 1 largest values."""
     w = Window.partitionBy(*keys)

@@ -347,7 +347,7 @@ def pwm_best_site(s, d):
 
 @query(sql("seqs offsets energies", "SELECT seq_id, round(min(v), 6) AS energy FROM scan GROUP BY 1"))
 def energy_scan_best(s, d):
-    return rounded(selex.energies(views.sequences(s, d), views.ENERGIES).select("seq_id", "energy"), "energy")
+    return rounded(selex.energies(views.sequences(s, d).where(F.length("seq") >= 8), views.ENERGIES).select("seq_id", "energy"), "energy")
 
 
 @query(sql("seqs offsets weights", "SELECT a.seq_id, a.mean, a.max, q99, q95, q90, q75, q50 FROM (SELECT seq_id, round(avg(v) / count(*), 6) AS mean, round(max(v), 6) AS max FROM scan GROUP BY 1) a JOIN (" + _quantile_sql("scan", "seq_id", "v", (0.99, 0.95, 0.90, 0.75, 0.50)) + ") b USING (seq_id)"))

@@ -16,8 +16,7 @@ def tf_feature_table(windows: DataFrame, genome: DataFrame, motifs: dict[str, np
     """For windows (row_id, contig, start, stop) a column of the best score of every motif; windows that are
     clipped at a contig's end are left out."""
     seqs = intervals.fetch(genome, windows, chunk=chunk).join(windows.select("row_id", (F.col("stop") - F.col("start")).alias("w")), "row_id").where(F.length("seq") == F.col("w")).drop("w")
-    parts = [motif.scan(seqs, m).groupBy("row_id").agg(F.max("site_score").alias(name)) for name, m in motifs.items()]
-    return reduce(lambda a, b: a.join(b, "row_id", "full"), parts)
+    return motif.scan(seqs, motifs).groupBy("row_id").pivot("motif", list(motifs)).agg(F.max("site_score"))
 
 
 def motif_features(windows: DataFrame, seqs: DataFrame, matrix: np.ndarray, *, skip_ambiguous: bool = False, balance: bool = False) -> DataFrame:

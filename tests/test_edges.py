@@ -118,6 +118,37 @@ def test_scan_over_pieces(spark, n):
         assert r["site_score"] == pytest.approx(max(f, c)) and r["is_rc"] == (c > f)
 
 
+def test_scans_of_lower_case_and_unknown_bases(spark):
+    """Repeat-masked bases count; a window with N stands at its middle with 0.25 L, or has the mean energy."""
+    m = np.arange(12.0).reshape(3, 4)
+    df = frame(spark, [(1, "acgTNAc")], "seq_id long, seq string")
+    upper = frame(spark, [(1, "ACGT")], "seq_id long, seq string")
+    row = lambda x: sorted((r["offset"], r["is_rc"], r["site_score"]) for r in x.collect())
+    assert row(motif.scan(df, m))[:2] == row(motif.scan(upper, m))
+    assert row(motif.weight_scan(df, m)) == sorted(row(motif.scan(upper, m)) + [(3, False, 0.75), (4, False, 0.75), (5, False, 0.75)])
+    model = physics.EnergyModel(m, -3.0, 7.0)
+    assert row(motif.energy_scan(df, model)) == [(o, rc, s - 3.0) for o, rc, s in row(motif.scan(upper, m, lowest=True))] + [(o, False, 7.0) for o in (2, 3, 4)]
+    with pytest.raises(Exception, match="shorter"):
+        selex.energies(frame(spark, [(1, "AC")], "seq_id long, seq string"), m).collect()
+
+
+def test_long_sequences_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(motif, "PIECE", 16)
+    monkeypatch.setattr(motif, "CHUNK", 40)
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("ACGTacgtN") for _ in range(rng.randrange(60)))) for i in range(20)] + [(99, None)]
+    m = {"a": np.random.default_rng(1).normal(size=(5, 4)), "b": np.random.default_rng(2).normal(size=(5, 4))}
+    got = {(r["seq_id"], r["motif"], r["offset"]): r["site_score"] for r in motif.scan(frame(spark, rows, "seq_id long, seq string"), m).collect()}
+    want = {}
+    for i, seq in rows:
+        for name, a in m.items():
+            for o in range(len(seq or "") - 4):
+                w = seq[o : o + 5].upper()
+                score = lambda x: sum(x[k]["ACGT".index(b)] for k, b in enumerate(w))  # noqa: B023, E731
+                want[i, name, o] = None if "N" in w else pytest.approx(max(score(a), score(a[::-1, ::-1])))
+    assert got == want
+
+
 def test_palindromes_count_twice(spark):
     got = {r["kmer"]: r["n"] for r in stats.kmer_counts(frame(spark, [("ATAT",)], "seq string"), 4).collect()}
     assert got == {"ATAT": 2}
@@ -222,10 +253,17 @@ def test_physics(spark):
     for r in df.select("e", physics.occupancy(mu, e).alias("o"), physics.log_occupancy(mu, e).alias("l")).collect():
         assert math.log(r["o"]) == pytest.approx(r["l"], abs=1e-6)
     pwm = np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.1, 0.1, 0.7]])
-    en = physics.energies_of_pwm(pwm)
-    assert en.min() == 0 and en.mean() == pytest.approx(2 * physics.RT)
+    model = physics.energies_of_pwm(pwm)
+    en = model.ddg
+    assert en.min() == 0 and en.mean(1).sum() == pytest.approx(3.0) and (model.consensus, model.mean) == (-5.0, -2.0)
+    assert physics.energies_of_pwm(np.tile(pwm, (2, 1))).ddg.mean(1).sum() == pytest.approx(6.0)
     zero, base = physics.zeroed(en + 1.0)
     assert base == pytest.approx(2.0) and physics.energy_range(zero)[0] == 0 and physics.consensus(zero) == "AT"
+    ref, diff = physics.differences(model)
+    assert ref == pytest.approx(model.consensus + en[:, 0].sum()) and diff.shape == (3, 2)
+    again = physics.updated(physics.contributions(diff), ref)
+    assert np.allclose(again.ddg, en) and again.consensus == pytest.approx(model.consensus) and again.mean == pytest.approx(again.consensus + en.mean())
+    assert "Consensus: AT" in physics.summary(model)
     assert (physics.flipped(physics.flipped(en)) == en).all()
 
 
