@@ -38,10 +38,13 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def missing(df: DataFrame, known: DataFrame, column: str) -> DataFrame:
-    """Rows whose value is not among the known ones, SQL's NOT IN: nothing if a known one is null."""
-    df.createOrReplaceTempView("_left")
-    known.createOrReplaceTempView("_known")
-    return df.sparkSession.sql(f"SELECT * FROM _left WHERE {column} NOT IN (SELECT {column} FROM _known)")
+    """Rows whose value is not among the known ones, SQL's NOT IN: nothing if a known one is null, all rows if
+    none is known.  An anti join, so that the known side may have any size."""
+    if known.where(F.col(column).isNull()).limit(1).count():
+        return df.limit(0)
+    if not known.limit(1).count():
+        return df
+    return df.where(F.col(column).isNotNull()).join(known.select(column), column, "left_anti")
 
 
 def find_or_insert(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.operators.ordered import numbered
+
 TEST_CONTIGS = ("chr1", "chr2")
 VALIDATION_CONTIGS = ("chr8", "chr9")
 
@@ -101,7 +103,7 @@ def prefixed(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
 
 
-def positional(df: DataFrame, order: list, start: int, stop: int, step: int = 1, partition: list[str] | None = None) -> DataFrame:
-    """Rows by position in an order."""
-    rn = F.row_number().over(Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)) - 1
-    return df.withColumn("_at", rn).where(F.col("_at").between(start, stop - 1) & ((F.col("_at") - start) % step == 0)).drop("_at")
+def positional(df: DataFrame, order: list[str], start: int, stop: int, step: int = 1, partition: list[str] | None = None) -> DataFrame:
+    """Rows by position in an order that begins with a number."""
+    at = F.col("row_upto") - 1
+    return numbered(df, partition or [], order).where(at.between(start, stop - 1) & ((at - start) % step == 0)).select(*df.columns)

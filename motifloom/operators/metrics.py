@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.operators.ordered import running
+from motifloom.operators.stats import quantiles
+
 LEVELS = (0.50, 0.25, 0.10, 0.05)
 
 
@@ -24,27 +27,25 @@ def by_score(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def auroc(df: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve, ties counting half; NaN where one class is missing."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    below = F.sum("neg").over(w) - F.col("neg")
-    rows = by_score(df, keys).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    rows = running(by_score(df, keys), keys, ["score"], {"_n": F.col("neg")}).withColumn("won", F.col("pos") * (F.col("_n_upto") - F.col("neg") / 2))
     p, n = F.sum("pos"), F.sum("neg")
     return rows.groupBy(*keys).agg(F.when((p > 0) & (n > 0), F.sum("won") / (p * n)).otherwise(F.lit(float("nan"))).alias("auroc"))
 
 
 def pr_curve(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(score, precision, recall) of every threshold, highest first."""
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    w = part.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    tp, fp = F.sum("pos").over(w), F.sum("neg").over(w)
-    return by_score(df, keys).select(*keys, "score", (tp / (tp + fp)).alias("precision"), (tp / F.sum("pos").over(part)).alias("recall"))
+    """(score, precision, recall) of every threshold; and of the next higher one, 1 and 0 for the highest."""
+    rows = by_score(df, keys).withColumn("_down", -F.col("score"))
+    rows = running(rows, keys, ["_down"], {"_p": F.col("pos"), "_n": F.col("neg")})
+    tp, fp = F.col("_p_upto"), F.col("_n_upto")
+    tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
+    above = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
+    return rows.select(*keys, "score", (tp / (tp + fp)).alias("precision"), (tp / F.col("_p_total")).alias("recall"), above.alias("precision_above"), (tp0 / F.col("_p_total")).alias("recall_above"))
 
 
 def auprc(df: DataFrame, keys: list[str]) -> DataFrame:
     """Trapezoid area under the precision-recall curve, from precision 1 at recall 0."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("score"))
-    curve = pr_curve(df, keys)
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
-    return curve.withColumn("_step", step).groupBy(*keys).agg(F.sum("_step").alias("auprc"))
+    step = (F.col("recall") - F.col("recall_above")) * (F.col("precision") + F.col("precision_above")) / 2
+    return pr_curve(df, keys).groupBy(*keys).agg(F.sum(step).alias("auprc"))
 
 
 def recall_at_fdr(df: DataFrame, keys: list[str], levels: tuple[float, ...] = LEVELS) -> DataFrame:
@@ -67,6 +68,14 @@ def mean_skipping_nan(results: DataFrame, column: str) -> DataFrame:
     return results.agg((F.sum(F.when(F.isnan(column), 0.0).otherwise(F.col(column))) / F.count("*")).alias("mean"))
 
 
+def threshold_grid(df: DataFrame, num: int) -> list[float]:
+    """The scores of ambiguous rows at shares 0, 1/(num-1), 2/(num-1), ... below 1, and 1.0 at last."""
+    probs = [i / (num - 1) for i in range(num - 1)]
+    scores = df.where("label = -1").select(F.col("score").cast("double").alias("score"))
+    row = quantiles(scores, [], "score", tuple(probs), names=[f"t{i}" for i in range(len(probs))]).first()
+    return [x for x in row if x is not None] + [1.0]
+
+
 def best_threshold(df: DataFrame, thresholds: list[float]) -> DataFrame:
     """The threshold on ambiguous rows' scores (those at or below it become 0, others 1) that gives the largest F1
     of the calls ``called``; the first of equal ones, none where F1 is never above 0."""

@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifloom.operators.ordered import numbered, running
+
 
 def draw(key: Column, seed: int = 0) -> Column:
-    """A repeatable number in [0, 10007) from an integer key, the same in any SQL engine."""
-    return F.pmod(key * 7919 + seed * 104729 + 13, F.lit(10007))
+    """A repeatable number in [0, 2**60) from a key of any type, the same in any SQL engine: digits of a hash."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int | None) -> DataFrame:
-    """The first n rows of each group in an order; all for None."""
+    """The first n rows of each group in an order; all for None."""
     if n is None:
         return df
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_i") <= n).drop("_i")
 
 
+def by_rank(df: DataFrame, keys: list[str], key: str, n: int | None, *, use_top: bool = True, seed: int = 0, signal: str = "signal_value") -> DataFrame:
+    """N rows of each group, those of the largest signal and then the smallest start, or drawn by a seed."""
+    return top_per_group(df, keys, [F.desc(signal), "start", key] if use_top else [draw(F.col(key), seed), key], n)
+
+
 def balanced(df: DataFrame, key: str, label: str = "label", seed: int = 0) -> DataFrame:
     """Of each class as many rows as the smallest has, drawn without replacement."""
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("_least"))
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(draw(F.col(key), seed), key)))
-    return ranked.join(F.broadcast(least), F.col("_i") <= F.col("_least")).drop("_i", "_least")
+    ranked = numbered(df.withColumn("_draw", draw(F.col(key), seed)), [label], ["_draw", key])
+    return ranked.join(F.broadcast(least), F.col("row_upto") <= F.col("_least")).select(*df.columns)  # one row
 
 
 def with_replacement(df: DataFrame, key: str, n: int, label: str = "label", seed: int = 0) -> DataFrame:
     """R2: n / 2 draws with replacement of each class, in shuffled order (``draw_id``)."""
-    w = Window.partitionBy(label)
-    ranked = df.withColumns({"_i": F.row_number().over(w.orderBy(key)) - 1, "_n": F.count("*").over(w)})
-    sizes = ranked.groupBy(label).agg(F.max("_n").alias("_m"))
-    draws = sizes.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(n // 2 - 1)))).withColumn("_i", F.pmod(F.col("draw_id") * 7919 + seed * 104729 + F.floor(F.col("draw_id") / F.col("_m")) * 31, F.col("_m")))
-    return ranked.join(draws.drop("_m"), [label, "_i"]).drop("_i", "_n")
+    ranked = numbered(df.withColumn("_draw", draw(F.col(key), seed)), [label], ["_draw", key])
+    sizes = df.groupBy(label).agg(F.count("*").alias("_m"))
+    draws = sizes.withColumn("draw_id", F.explode(F.sequence(F.lit(0), F.lit(n // 2 - 1)))).withColumn("row_upto", F.pmod(draw(F.concat_ws(":", label, "draw_id"), seed + 1), F.col("_m")) + 1)
+    return ranked.join(draws.drop("_m"), [label, "row_upto"]).select(*df.columns, "draw_id")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -43,52 +49,57 @@ def resampled(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> Da
     """N draws with replacement in proportion to a weight: systematic positions on the running sum.
 
     A row is drawn as often as positions fall on its stretch; only rows and counts are joined, never rows and rows."""
-    w = Window.partitionBy(F.lit(0)).orderBy(key)
-    total = F.sum(weight).over(Window.partitionBy(F.lit(0)))
-    end = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) / total * n
+    rows = running(df, [], [key], {"_w": F.col(weight)})
+    share = n / F.col("_w_total")
     shift = (seed * 0.6180339887 + 0.5) % 1
-    times = F.floor(end + shift) - F.floor(end - F.col(weight) / total * n + shift)
-    return df.withColumn("copies", times.cast("int")).where("copies > 0")
+    times = F.floor(F.col("_w_upto") * share + shift) - F.floor((F.col("_w_upto") - F.col(weight)) * share + shift)
+    return rows.withColumn("copies", times.cast("int")).where("copies > 0").select(*df.columns, "copies")
 
 
 def folds(df: DataFrame, column: str, n: int = 5) -> DataFrame:
-    """Distinct values in order, cut into n runs; the first runs have one more.  An error for fewer values."""
+    """Distinct values in order, cut into n runs; the first runs have one more.  An error for fewer values.
+    The distinct values (contigs, samples) are sorted by one task."""
     values = df.select(column).distinct()
-    if values.count() < n:
+    if values.limit(n).count() < n:
         raise ValueError(f"{n} folds need as many values")
     return values.withColumn("fold", F.ntile(n).over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1)
 
 
 def stratified(df: DataFrame, key: str, label: str = "label", n: int = 5, seed: int = 0) -> DataFrame:
     """Folds of equal shares of each class."""
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(draw(F.col(key), seed), key)) - 1, F.lit(n)))
+    ranked = numbered(df.withColumn("_draw", draw(F.col(key), seed)), [label], ["_draw", key])
+    return ranked.withColumn("fold", F.pmod(F.col("row_upto") - 1, F.lit(n))).select(*df.columns, "fold")
 
 
 def cross_validation(samples: DataFrame, contig_folds: DataFrame, single_sample: bool = False) -> DataFrame:
     """(fold, held_out, sample_id, contig, role): every sample is held out once with every fold of contigs; it
-    is trained on other samples (or, with ``single_sample``, on itself) and other contigs."""
-    held = samples.select(F.col("sample_id").alias("held_out"))
-    pairs = held.crossJoin(F.broadcast(contig_folds.select("fold").distinct()))  # samples by folds: a handful of rows
-    rows = pairs.crossJoin(F.broadcast(samples.select("sample_id"))).crossJoin(F.broadcast(contig_folds.select("contig", F.col("fold").alias("own"))))
+    is trained on other samples (or, with ``single_sample``, on itself) and other contigs.
+
+    The samples, a few hundred, are one array beside every contig; the result has contigs x folds x samples rows by its
+    definition, made where the contigs are."""
+    every = samples.agg(F.sort_array(F.collect_set("sample_id")).alias("_all"), F.lit(0).alias("_one"))
+    turns = contig_folds.agg(F.sort_array(F.collect_set("fold")).alias("_folds"), F.lit(0).alias("_one"))
+    rows = contig_folds.select("contig", F.col("fold").alias("own"), F.lit(0).alias("_one")).join(F.broadcast(every), "_one").join(F.broadcast(turns), "_one")  # one row each
+    rows = rows.select("contig", "own", "_all", F.explode("_folds").alias("fold")).select("contig", "own", "fold", "_all", F.explode("_all").alias("held_out")).select("contig", "own", "fold", "held_out", F.explode("_all").alias("sample_id"))
     same, inside = F.col("sample_id") == F.col("held_out"), F.col("own") == F.col("fold")
     role = F.when(same & inside, "validation").when((same if single_sample else ~same) & ~inside, "train")
-    return rows.withColumn("role", role).where("role is not null").drop("own")
+    return rows.withColumn("role", role).where("role is not null").select("held_out", "fold", "sample_id", "contig", "role")
 
 
-def head_tail(df: DataFrame, order: list, share: float, keys: list[str]) -> DataFrame:
+def head_tail(df: DataFrame, order: list[str], share: float, keys: list[str]) -> DataFrame:
     """The first int(n * share) rows are ``train``, the others ``validation``."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    return df.withColumn("split", F.when(F.row_number().over(w.orderBy(*order)) <= F.floor(F.count("*").over(w) * share), "train").otherwise("validation"))
+    split = F.when(F.col("row_upto") <= F.floor(F.col("row_total") * share), "train").otherwise("validation")
+    return numbered(df, keys, order).withColumn("split", split).select(*df.columns, "split")
 
 
-def every_nth(order: list, keys: list[str], n: int = 5) -> Column:
-    """Whether a row is one of every n-th in an order."""
-    return F.pmod(F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)) - 1, F.lit(n)) == 0
+def every_nth(df: DataFrame, order: list[str], keys: list[str], n: int = 5) -> DataFrame:
+    """One of every n rows of an order, from the first on."""
+    return numbered(df, keys, order).where(F.pmod(F.col("row_upto") - 1, F.lit(n)) == 0).select(*df.columns)
 
 
-def batches(order: list, keys: list[str], size: int) -> Column:
-    """The batch of each row, the last one short."""
-    return F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size)
+def batches(df: DataFrame, order: list[str], keys: list[str], size: int) -> DataFrame:
+    """The ``batch`` of each row, the last one short."""
+    return numbered(df, keys, order).withColumn("batch", F.floor((F.col("row_upto") - 1) / size)).select(*df.columns, "batch")
 
 
 def allocation(sizes: DataFrame, batch: int, key: str = "sample_id") -> DataFrame:

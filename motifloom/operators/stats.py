@@ -8,22 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions.sequence import pieces, reverse_complement
+from motifloom.operators.ordered import numbered, running
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4) -> DataFrame:
-    """Exact quantiles by plotting positions, a column ``q<prob>`` each.
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4, names: list[str] | None = None) -> DataFrame:
+    """Exact quantiles by plotting positions, a column ``q<prob>`` (or of ``names``) each.
 
-    The two order statistics that a quantile lies between are picked by conditional aggregates after one window."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x")).withColumns({"i": F.row_number().over(w.orderBy("x")), "n": F.count("*").over(w)})
-    out = []
-    for p in probs:
-        h = F.col("n") * p + (alpha + p * (1 - alpha - beta))
-        k = F.floor(F.greatest(F.lit(1.0), F.least(h, (F.col("n") - 1).cast("double"))))
+    Equal values are counted first; the two order statistics that a quantile lies between are picked from running counts
+    by conditional aggregates."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    rows = running(counts, keys, ["x"], {"i": F.col("c")})
+    n, out = F.col("i_total"), []
+    at = lambda k: (F.col("i_upto") - F.col("c") < k) & (k <= F.col("i_upto"))
+    for p, name in zip(probs, names or [f"q{int(round(p * 100)):02d}" for p in probs]):
+        h = n * p + (alpha + p * (1 - alpha - beta))
+        k = F.floor(F.greatest(F.lit(1.0), F.least(h, (n - 1).cast("double"))))
         g = F.greatest(F.lit(0.0), F.least(h - k, F.lit(1.0)))
-        out.append(F.sum(F.when(F.col("i") == k, F.when(F.col("n") == 1, F.col("x")).otherwise((1 - g) * F.col("x"))).when(F.col("i") == k + 1, g * F.col("x")).otherwise(F.lit(0.0))).alias(f"q{int(round(p * 100)):02d}"))
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy()
-    return grouped.agg(*out)
+        low = F.when(at(k), F.when(n == 1, F.col("x")).otherwise((1 - g) * F.col("x"))).otherwise(F.lit(0.0))
+        out.append(F.sum(low + F.when(at(k + 1), g * F.col("x")).otherwise(F.lit(0.0))).alias(name))
+    return (rows.groupBy(*keys) if keys else rows.groupBy()).agg(*out)
 
 
 def sorted_quantile(values: Column, p: float, alpha: float = 0.4, beta: float = 0.4) -> Column:
@@ -36,21 +39,26 @@ def sorted_quantile(values: Column, p: float, alpha: float = 0.4, beta: float =
 
 
 def upper_mean(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """Mean of the int(share * n) + 1 largest values."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumns({"_i": F.row_number().over(w.orderBy(F.desc(value))), "_n": F.count("*").over(w)})
-    return rows.where(F.col("_i") <= F.floor(F.col("_n") * share) + 1).groupBy(*keys).agg(F.avg(value).alias("upper_mean"))
+    """Mean of the int(share * n) + 1 largest values, from counts of equal ones."""
+    counts = df.groupBy(*keys, (-F.col(value)).alias("_x")).agg(F.count("*").alias("_c"))
+    rows = running(counts, keys, ["_x"], {"_i": F.col("_c")})
+    wanted = F.floor(F.col("_i_total") * share) + 1
+    taken = F.greatest(F.lit(0), F.least("_c", wanted - (F.col("_i_upto") - F.col("_c"))))
+    return (rows.groupBy(*keys) if keys else rows.groupBy()).agg((-F.sum(taken * F.col("_x")) / F.sum(taken)).alias("upper_mean"))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Ranks from 1, equal values sharing their mean rank."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(keys or [F.lit(0)]), value)) - 1) / 2
+def average_ranks(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """The rows with their ranks from 1, equal values sharing their mean rank: ranks of distinct values from running
+    counts, joined back."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ranks = running(counts, keys, [value], {"_i": F.col("_c")}).select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col(value).alias("_r"), (F.col("_i_upto") - (F.col("_c") - 1) / 2).alias(name))
+    return df.join(ranks, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(value) == F.col("_r")]).select(*df.columns, name)
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """G28."""
-    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, average_rank(a, keys).alias("_a"), average_rank(b, keys).alias("_b"))
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_va"), F.col(b).alias("_vb"))
+    ranked = average_ranks(average_ranks(rows, "_va", keys, "_a"), "_vb", keys, "_b")
     return ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias("spearman"))
 
 
@@ -64,10 +72,9 @@ def grid_best(df: DataFrame, keys: list[str], grid: list[float], score, target:
     return grouped.agg(best.alias("x")).select(*keys, (-F.col("x.m")).alias("parameter"), F.col("x.spearman").alias("spearman"))
 
 
-def rank_groups(order: list, groups: int, keys: list[str]) -> Column:
+def rank_groups(df: DataFrame, order: list[str], groups: int, keys: list[str], name: str = "bin") -> DataFrame:
     """floor(i * groups / n) of the position i in an order."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    return F.floor((F.row_number().over(w.orderBy(*order)) - 1) * groups / F.count("*").over(w))
+    return numbered(df, keys, order).withColumn(name, F.floor((F.col("row_upto") - 1) * groups / F.col("row_total"))).select(*df.columns, name)
 
 
 def histogram_2d(df: DataFrame, a: Column, b: Column, width: float) -> DataFrame:

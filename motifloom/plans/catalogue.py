@@ -235,7 +235,7 @@ def grid_search(s, d):
 
 @query("SELECT event_type, CAST(floor(i * 10 / n) AS BIGINT) AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1, 2")
 def rank_bins(s, d):
-    rows = table(s, d, "events").withColumn("bin", stats.rank_groups([F.col("value"), F.col("event_id")], 10, ["event_type"]))
+    rows = stats.rank_groups(table(s, d, "events"), ["value", "event_id"], 10, ["event_type"])
     return rounded(rows.groupBy("event_type", "bin").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), "mean")
 
 
@@ -524,7 +524,7 @@ def url_patterns(s, d):
 
 # -- sampling ----------------------------------------------------------------------------------------------------------
 
-_DRAW = "((doc_id * 7919 + 13) % 10007)"
+_DRAW = "('0x' || substr(md5('0:' || doc_id), 1, 15))::BIGINT"
 
 
 @query(f"SELECT doc_id, quality AS label FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_DRAW}, doc_id) AS i, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS m FROM labels) WHERE i <= m")
@@ -539,7 +539,7 @@ def stratified_folds(s, d):
 
 @query(sql("ev acc", "SELECT sample_id, CAST(floor((i - 1) / 64) AS BIGINT) AS batch, count(*) AS n FROM (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY row_id) AS i FROM acc) GROUP BY 1, 2"))
 def batches(s, d):
-    return views.accessible(s, d).withColumn("batch", sampling.batches([F.col("row_id")], ["sample_id"], 64)).groupBy("sample_id", "batch").agg(F.count("*").alias("n"))
+    return sampling.batches(views.accessible(s, d), ["row_id"], ["sample_id"], 64).groupBy("sample_id", "batch").agg(F.count("*").alias("n"))
 
 
 @query(sql("ev acc", ", c AS (SELECT sample_id, count(*) AS n FROM acc GROUP BY 1), b AS (SELECT sample_id, CAST(floor(200 * n / sum(n) OVER ()) AS BIGINT) AS base FROM c) SELECT sample_id, base + CASE WHEN row_number() OVER (ORDER BY sample_id) <= 200 - sum(base) OVER () THEN 1 ELSE 0 END AS n_batch FROM b"))
@@ -549,12 +549,12 @@ def batch_allocation(s, d):
 
 @query(sql("ev acc", "SELECT sample_id, split, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM (SELECT sample_id, row_id, CASE WHEN row_number() OVER (PARTITION BY sample_id ORDER BY start, row_id) <= floor(count(*) OVER (PARTITION BY sample_id) * 0.75) THEN 'train' ELSE 'validation' END AS split FROM acc) GROUP BY 1, 2"))
 def head_tail(s, d):
-    return sampling.head_tail(views.accessible(s, d), [F.col("start"), F.col("row_id")], 0.75, ["sample_id"]).groupBy("sample_id", "split").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+    return sampling.head_tail(views.accessible(s, d), ["start", "row_id"], 0.75, ["sample_id"]).groupBy("sample_id", "split").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
 @query(sql("ev acc", "SELECT sample_id, row_id FROM (SELECT sample_id, row_id, row_number() OVER (PARTITION BY sample_id ORDER BY row_id) AS i FROM acc) WHERE (i - 1) % 5 = 0"))
 def every_fifth(s, d):
-    return views.accessible(s, d).withColumn("take", sampling.every_nth([F.col("row_id")], ["sample_id"])).where("take").select("sample_id", "row_id")
+    return sampling.every_nth(views.accessible(s, d), ["row_id"], ["sample_id"]).select("sample_id", "row_id")
 
 
 @query("WITH r AS (SELECT s_suppkey, s_acctbal + 1000 AS w, sum(s_acctbal + 1000) OVER () AS t, sum(s_acctbal + 1000) OVER (ORDER BY s_suppkey) AS c FROM supplier) SELECT s_suppkey, CAST(floor(c / t * 250 + 0.5) - floor(c / t * 250 - w / t * 250 + 0.5) AS INTEGER) AS copies FROM r WHERE floor(c / t * 250 + 0.5) - floor(c / t * 250 - w / t * 250 + 0.5) > 0")
@@ -617,7 +617,7 @@ def upsampled_rows(s, d):
 
 @query("SELECT cut, round(corr(a, b), 6) AS spearman FROM (SELECT cut, rank() OVER (PARTITION BY cut ORDER BY p_size) + (count(*) OVER (PARTITION BY cut, p_size) - 1) / 2.0 AS a, rank() OVER (PARTITION BY cut ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY cut, p_retailprice) - 1) / 2.0 AS b FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS i FROM part) JOIN (VALUES (50), (100), (200)) t(cut) ON i <= cut) GROUP BY 1")
 def rank_curve(s, d):
-    return rounded(programs.rank_curve(table(s, d, "part"), [F.col("p_partkey")], [50, 100, 200], "p_size", "p_retailprice"), "spearman")
+    return rounded(programs.rank_curve(table(s, d, "part"), ["p_partkey"], [50, 100, 200], "p_size", "p_retailprice"), "spearman")
 
 
 @query()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.functions import physics, sequence
 from motifloom.operators import coverage, intervals, labels, metrics, models, motif, sampling, stats
+from motifloom.operators.ordered import numbered
 
 
 def tf_feature_table(windows: DataFrame, genome: DataFrame, motifs: dict[str, np.ndarray], chunk: int = 1 << 16) -> DataFrame:
@@ -30,7 +31,7 @@ def motif_features(windows: DataFrame, seqs: DataFrame, matrix: np.ndarray, *, s
 def cross_validate(features: DataFrame, columns: list[str], n: int = 5, **options) -> DataFrame:
     """Measures of a forest for every fold of contigs, trained on the other contigs."""
     folds = sampling.folds(features.where(~F.col("contig").isin(*labels.TEST_CONTIGS)), "contig", n)
-    rows = features.join(F.broadcast(folds), "contig")  # contigs: a handful of rows
+    rows = features.join(folds, "contig")
     parts = [models.forest_scores(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), columns, **options) for i in range(n)]
     return metrics.evaluate(reduce(DataFrame.unionByName, parts), ["fold"])
 
@@ -66,17 +67,15 @@ def topped_up(seqs: DataFrame, background: DataFrame, spark: SparkSession, lengt
 
 
 def upsampled(seqs: DataFrame, n: int, key: str = "seq_id") -> DataFrame:
-    """n rows by going through the rows again and again in order."""
-    w = Window.partitionBy(F.lit(0))
-    rows = seqs.withColumns({"_i": F.row_number().over(w.orderBy(key)) - 1, "_n": F.count("*").over(w)})
-    times = F.floor((n - 1 - F.col("_i")) / F.col("_n")) + 1
-    return rows.where(F.col("_i") < n).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_i", "_n")
+    """n rows by going through the rows again and again in order of a number."""
+    rows = numbered(seqs, [], [key])
+    times = F.floor((n - F.col("row_upto")) / F.col("row_total")) + 1
+    return rows.where(F.col("row_upto") <= n).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("row_upto", "row_total")
 
 
 def zipped(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
-    """Rows by position in each side's order."""
-    number = lambda df, c: df.withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c)))
-    return number(left, order_left).join(number(right, order_right), "_at").drop("_at")
+    """Rows by position in each side's order, of numbers."""
+    return numbered(left, [], [order_left]).drop("row_total").join(numbered(right, [], [order_right]).drop("row_total"), "row_upto").drop("row_upto")
 
 
 def best_affinity(sites: DataFrame, grid: list[float], keys: list[str]) -> DataFrame:
@@ -114,9 +113,9 @@ def matrix_of_regions(regions: DataFrame, tracks: dict[str, DataFrame]) -> DataF
     return out
 
 
-def rank_curve(df: DataFrame, order: list, cuts: list[int], a: str, b: str) -> DataFrame:
+def rank_curve(df: DataFrame, order: list[str], cuts: list[int], a: str, b: str) -> DataFrame:
     """Rank correlation of the first rows of an order, for several numbers of rows."""
-    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).withColumn("cut", F.explode(F.array(*map(F.lit, cuts)))).where(F.col("_i") <= F.col("cut"))
+    rows = numbered(df, [], order).withColumn("cut", F.explode(F.array(*map(F.lit, cuts)))).where(F.col("row_upto") <= F.col("cut"))
     return stats.spearman(rows, ["cut"], a, b)
 
 

@@ -32,8 +32,9 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a row for each record, its header line (with ``>``) as contig; sequences over several lines are joined."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """S3: a row for each record, its header line (with ``>``) as contig; sequences over several lines are joined.
+    Records begin at a ``>`` that begins a line; one within a header stands for itself."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
     n = F.length("seq").cast("long")
@@ -41,11 +42,13 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq) of four-line records.  Records begin with ``@``, and the line before a quality line's ``+`` ends
-    a sequence; files are split between records by the reader's separator."""
+    """(file, seq) of four-line records, the second line of each.  Files are split between records at lines that
+    begin with ``@``.  So may a quality line; what is cut off there is one line, whereas a record has a third line that
+    begins with ``+``."""
     records = spark.read.option("lineSep", "\n@").text(path)
     lines = F.split("value", "\r?\n")
-    return records.select(F.input_file_name().alias("file"), F.upper(lines[1]).alias("seq")).where(F.col("seq").rlike("^[ACGTN]+$"))
+    whole = records.where(F.startswith(F.try_element_at(lines, F.lit(3)), F.lit("+")))
+    return whole.select(F.input_file_name().alias("file"), F.upper(lines[1]).alias("seq"))
 
 
 def fastq_round(file: Column) -> Column:
@@ -55,7 +58,7 @@ def fastq_round(file: Column) -> Column:
 
 def motifs(spark: SparkSession, path: str, factors: list[str] | None = None) -> DataFrame:
     """(name, factor, matrix) of records ``>name`` with rows ``base pA pC pG pT``."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     rows = F.transform(F.slice(lines, 2, 10_000), lambda x: F.transform(F.slice(F.split(F.trim(x), r"\s+"), -4, 4), lambda y: y.cast("double")))
     out = records.select(F.split(F.trim(lines[0]), r"\s+")[0].alias("name"), rows.alias("matrix")).withColumn("factor", F.split("name", "_")[0])
