@@ -53,8 +53,50 @@ def find_or_insert(existing: DataFrame, new: DataFrame, key: list[str]) -> DataF
     return existing.unionByName(fresh.join(existing.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+def upsert(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """What exists, its columns set to the new rows' values where the key matches and these are not null;
+    and the new rows without a match.  Of several new rows with a key the smallest values count."""
+    rest = [c for c in existing.columns if c not in key]
+    fresh = new.groupBy(*key).agg(*(F.min(c).alias(f"_new_{c}") for c in rest))
+    return existing.join(fresh, key, "full").select(*(c if c in key else F.coalesce(f"_new_{c}", c).alias(c) for c in existing.columns))
+
+
+def resolved_targets(names: DataFrame, targets: DataFrame, special: dict[str, str], prefix: str = "") -> DataFrame:
+    """(name, tf_id) of target names: by a fixed table of special cases, else by the id that a prefix and the
+    name make, else by one of a target's aliases; null where none or several match."""
+    table = F.create_map(*(F.lit(x) for kv in special.items() for x in kv)) if special else None
+    own = names.select("name").distinct()
+    by_table = own.select("name", (table[F.col("name")] if special else F.lit(None).cast("string")).alias("tf_id")).where("tf_id is not null")
+    by_id = own.join(targets.select("tf_id", "dbid"), F.concat(F.lit(prefix), F.col("name")) == F.col("dbid")).select("name", "tf_id")
+    by_alias = targets.select("tf_id", F.explode("aliases").alias("name")).join(own, "name", "left_semi").select("name", "tf_id")
+    return by_fallback(names, [by_table, by_id, by_alias], "name", "tf_id")
+
+
+def registered_peaks(files: DataFrame, targets: DataFrame, known: DataFrame, special: dict[str, str], prefix: str = "") -> DataFrame:
+    """Files of relaxed peaks with a resolved target that are not registered yet, with their type and name."""
+    found = resolved_targets(files.withColumnRenamed("target", "name"), targets, special, prefix).where("tf_id is not null")
+    named = found.select("sample_id", "tf_id", F.lit("relaxed").alias("pk_type"), file_name(F.col("sample_id"), F.col("name"), F.lit("relaxed"), F.lit("bed.gz")).alias("fname"))
+    return named.join(known.select("fname"), "fname", "left_anti").select("sample_id", "tf_id", "pk_type", "fname")
+
+
+def files_by_sample(files: DataFrame) -> DataFrame:
+    """For each sample its factors, each with its files as (type, file)."""
+    per = files.groupBy("sample_id", "tf_id").agg(F.sort_array(F.collect_set(F.struct(F.col("pk_type"), F.col("fname")))).alias("files"))
+    return per.groupBy("sample_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tf_id", "files")))).alias("factors"))
+
+
+def with_sample_labels(parts: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several samples, each with a one-hot label of its sample in the given order."""
+    names = list(parts)
+    rows = [df.withColumns({"sample_id": F.lit(n), "sample_label": F.lit([float(n == m) for m in names])}) for n, df in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def by_fallback(wanted: DataFrame, steps: list[DataFrame], key: str, found: str) -> DataFrame:
-    """The hit of the first step that has exactly one; null if none has."""
+    """The hit of the first step that has exactly one; null if none has."""
     out = wanted
     for i, step in enumerate(steps):
         one = step.groupBy(key).agg(F.min(found).alias(f"_f{i}"), F.countDistinct(found).alias("_n")).where("_n = 1").drop("_n")

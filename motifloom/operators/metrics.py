@@ -78,9 +78,12 @@ def threshold_grid(df: DataFrame, num: int) -> list[float]:
 
 def best_threshold(df: DataFrame, thresholds: list[float]) -> DataFrame:
     """The threshold on ambiguous rows' scores (those at or below it become 0, others 1) that gives the largest F1
-    of the calls ``called``; the first of equal ones, none where F1 is never above 0."""
-    grid = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    truth = F.when(F.col("label") == -1, F.when(F.col("score") > F.col("threshold"), 1).otherwise(0)).otherwise(F.col("label"))
-    counts = grid.withColumn("truth", truth).groupBy("threshold").agg(F.sum(F.col("truth") * F.col("called")).alias("tp"), F.sum("truth").alias("p"), F.sum("called").alias("c"))
+    of the calls ``called``; the first of equal ones, none where F1 is never above 0.  Labels are set to 0 one threshold
+    after the other, so a smaller threshold after a larger one sets no others."""
+    top = [max(thresholds[: i + 1]) for i in range(len(thresholds))]
+    turns = F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(t).alias("threshold"), F.lit(m).alias("top")) for i, (t, m) in enumerate(zip(thresholds, top))))
+    grid = df.withColumn("x", F.explode(turns))
+    truth = F.when(F.col("label") == -1, F.when(F.col("score") > F.col("x.top"), 1).otherwise(0)).otherwise(F.col("label"))
+    counts = grid.withColumn("truth", truth).groupBy("x.turn", "x.threshold").agg(F.sum(F.col("truth") * F.col("called")).alias("tp"), F.sum("truth").alias("p"), F.sum("called").alias("c"))
     f1 = counts.withColumn("f1", F.when(F.col("p") + F.col("c") > 0, 2 * F.col("tp") / (F.col("p") + F.col("c"))).otherwise(0.0)).where("f1 > 0")
-    return f1.agg(F.max(F.struct("f1", (-F.col("threshold")).alias("m"))).alias("x")).where("x is not null").select((-F.col("x.m")).alias("threshold"), F.col("x.f1").alias("f1"))
+    return f1.agg(F.max(F.struct("f1", (-F.col("turn")).alias("m"), "threshold")).alias("x")).where("x is not null").select(F.col("x.threshold").alias("threshold"), F.col("x.f1").alias("f1"))

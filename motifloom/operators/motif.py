@@ -31,17 +31,20 @@ def site_score(seq: Column, offset: Column, matrix: np.ndarray) -> Column:
     return sum((term(i) for i in range(1, len(matrix))), term(0))
 
 
+def window_totals(codes: np.ndarray, matrix: np.ndarray, unknown: float) -> np.ndarray:
+    """The sum of a matrix over every window of a row of codes (0 to 3, 4 unknown)."""
+    n = len(codes) - len(matrix) + 1
+    rows = np.column_stack([np.asarray(matrix, float), np.full(len(matrix), unknown)])
+    out = rows[0][codes[:n]]
+    for i in range(1, len(matrix)):
+        out += rows[i][codes[i : i + n]]
+    return out
+
+
 def site_scores(codes: np.ndarray, matrix: np.ndarray, lowest: bool) -> tuple[np.ndarray, np.ndarray]:
     """For every window of a row of codes (0 to 3, 4 unknown) the better strand's score, NaN beside unknowns, and
     whether it is the other strand's."""
-    n = len(codes) - len(matrix) + 1
-    def total(m: np.ndarray) -> np.ndarray:
-        rows = np.column_stack([m, np.full(len(m), np.nan)])
-        out = rows[0][codes[:n]]
-        for i in range(1, len(m)):
-            out += rows[i][codes[i : i + n]]
-        return out
-    fwd, other = total(np.asarray(matrix, float)), total(np.asarray(flipped(matrix), float))
+    fwd, other = window_totals(codes, matrix, np.nan), window_totals(codes, flipped(matrix), np.nan)
     is_rc = other < fwd if lowest else other > fwd
     return np.where(is_rc, other, fwd), is_rc
 
@@ -114,13 +117,24 @@ def energy_scan(seqs: DataFrame, model: EnergyModel, **options) -> DataFrame:
 
 
 def same_length_scan(seqs: DataFrame, matrix: np.ndarray, seq_col: str = "seq") -> DataFrame:
-    """both strands at every base: ceil(m/2) - 1 bases of padding before, floor(m/2) after; padding scores 0."""
-    n = len(matrix)
+    """both strands at every base: ceil(m/2) - 1 bases of padding before, floor(m/2) after; padding scores 0, and
+    so do unknown bases."""
+    n, place = len(matrix), seqs.columns.index(seq_col)
     before, after = -(-n // 2) - 1, n // 2
-    def total(m: np.ndarray) -> Column:
-        return sum((F.coalesce(site_score(F.col("_padded"), F.col("offset") + i, m[i : i + 1]), F.lit(0.0)) for i in range(n)), F.lit(0.0))
-    rows = seqs.withColumn("_padded", F.concat(F.lit("N" * before), F.col(seq_col), F.lit("N" * after))).withColumn("offset", F.explode(F.sequence(F.lit(0), F.length(seq_col) - 1)))
-    return rows.withColumn("fwd", total(matrix)).withColumn("rc", total(flipped(matrix))).drop("_padded")
+    names = [*seqs.columns, "_at", "_fwd", "_rc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column(place).to_pylist()):
+                codes = np.concatenate([np.full(before, 4), CODES[np.frombuffer((text or "").encode("ascii", "replace"), np.uint8)], np.full(after, 4)])
+                for at in range(0, len(text or ""), PIECE):
+                    part = codes[at : at + PIECE + n - 1]
+                    lists = [pa.array([window_totals(part, m, 0.0)], pa.list_(pa.float64())) for m in (matrix, flipped(matrix))]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(row, 1).columns, pa.array([at], pa.int32()), *lists], names=names)
+
+    schema = StructType([*seqs.schema.fields, *(StructField(c, t) for c, t in zip(names[-3:], (IntegerType(), ArrayType(DoubleType()), ArrayType(DoubleType()))))])
+    sites = seqs.mapInArrow(run, schema).select("*", F.posexplode(F.arrays_zip("_fwd", "_rc")).alias("_i", "_x"))
+    return sites.select(*seqs.columns, (F.col("_at") + F.col("_i")).alias("offset"), F.col("_x._fwd").alias("fwd"), F.col("_x._rc").alias("rc"))
 
 
 def best_site(scored: DataFrame, keys: list[str], lowest: bool = False) -> DataFrame:

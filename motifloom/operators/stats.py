@@ -113,10 +113,11 @@ def consensus_kmer(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n").agg(F.min("kmer").alias("kmer")).orderBy(F.desc("n")).limit(1)
 
 
-def position_counts(sites: DataFrame, length: int, seq_col: str = "site", weight: Column | None = None) -> DataFrame:
-    """Weighted counts of bases by position and their share of the position."""
-    rows = sites.select(F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"), F.col(seq_col).alias("_s"), (F.lit(1.0) if weight is None else weight).alias("_w"))
-    counts = rows.groupBy("pos", F.substr("_s", F.col("pos") + 1, F.lit(1)).alias("base")).agg(F.sum("_w").alias("n")).where("base in ('A','C','G','T')")
+def position_counts(sites: DataFrame, length: int | None, seq_col: str = "site", weight: Column | None = None) -> DataFrame:
+    """Weighted counts of bases by position and their share of the position; without a length at all positions."""
+    rows = sites.select(F.col(seq_col).alias("_s"), (F.lit(1.0) if weight is None else weight).alias("_w"))
+    rows = pieces(rows if length is None else rows.withColumn("_s", F.substring("_s", 1, length)), "_s", 1)
+    counts = rows.groupBy(F.col("offset").alias("pos"), F.substr("piece", F.col("within") + 1, F.lit(1)).alias("base")).agg(F.sum("_w").alias("n")).where("base in ('A','C','G','T')")
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("pos")))
 
 

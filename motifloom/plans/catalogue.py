@@ -1,48 +1,16 @@
-"""Registry of the engine's own queries and of their SQL equivalents."""
+"""The engine's own queries and their SQL equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions import physics, sequence
 from motifloom.operators import catalog, coverage, intervals, labels, metrics, models, motif, sampling, selex, stats
-from motifloom.plans import programs, views
+from motifloom.plans import programs, sequence_queries, table_queries, views  # noqa: F401 (these two enter their queries)
+from motifloom.plans.registry import in_text, oracle_sql, queries, query, rounded  # noqa: F401
 from motifloom.plans.views import sql, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if oracle:
-            _sql[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
-
-
-def in_text(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.array_join(F.transform(column, lambda x: x.cast("string")), ","))
-
-
 def labelled(s: SparkSession, d: str) -> DataFrame:
     cen, chip = views.windows(s, d), views.observed(s, d)
     parts = [intervals.best_overlap(cen, chip.where(F.col("pk_type") == k)).withColumn("pk_type", F.lit(k)) for k in ("optimal", "relaxed")]
@@ -294,22 +262,22 @@ def consensus_kmer(s, d):
     return stats.consensus_kmer(stats.kmer_counts(views.sequences(s, d), 6))
 
 
-views.SQL["pos"] = "pos AS (SELECT i AS pos, b AS base, count(*)::DOUBLE AS n FROM (SELECT i, substr(seq, i + 1, 1) AS b FROM (SELECT seq, unnest(range(20))::INTEGER AS i FROM seqs)) WHERE b <> '' GROUP BY 1, 2)"
+views.SQL["pos"] = "pos AS (SELECT i AS pos, b AS base, count(*)::DOUBLE AS n FROM (SELECT i, substr(seq, i + 1, 1) AS b FROM (SELECT seq, unnest(range(length(seq)))::INTEGER AS i FROM seqs)) WHERE b <> '' GROUP BY 1, 2)"
 
 
 @query(sql("seqs pos", "SELECT pos, base, n, round(n / sum(n) OVER (PARTITION BY pos), 6) AS share FROM pos"))
 def position_counts(s, d):
-    return rounded(stats.position_counts(views.sequences(s, d), 20, "seq"), "share")
+    return rounded(stats.position_counts(views.sequences(s, d), None, "seq"), "share")
 
 
 @query(sql("seqs pos", "SELECT pos, round(-sum(p * ln(p + 1e-6)), 6) AS entropy FROM (SELECT pos, (n + 1) / (sum(n) OVER (PARTITION BY pos) + 4) AS p FROM pos) GROUP BY 1"))
 def position_entropy(s, d):
-    return rounded(stats.entropy(stats.position_counts(views.sequences(s, d), 20, "seq"), ["pos"]), "entropy")
+    return rounded(stats.entropy(stats.position_counts(views.sequences(s, d), None, "seq"), ["pos"]), "entropy")
 
 
-@query(sql("seqs", "SELECT seq_id, " + ", ".join(f"(length(s) - length(replace(s, '{b}', '')))::DOUBLE AS {b.lower()}" for b in "ACGT") + " FROM (SELECT seq_id, substr(seq, 1, 50) AS s FROM seqs)"))
+@query(sql("seqs", "SELECT seq_id, " + ", ".join(f"(length(s) - length(replace(s, '{b}', '')))::DOUBLE AS {b.lower()}" for b in "ACGT") + " FROM (SELECT seq_id, seq AS s FROM seqs)"))
 def one_hot_sums(s, d):
-    coded = views.sequences(s, d).select("seq_id", sequence.one_hot(F.substring("seq", 1, 50), 50).alias("x"))
+    coded = views.sequences(s, d).select("seq_id", sequence.one_hot(F.col("seq")).alias("x"))
     return coded.select("seq_id", *(F.aggregate("x", F.lit(0.0), (lambda i: lambda a, r: a + r[i])(i)).alias(b.lower()) for i, b in enumerate("ACGT")))
 
 
@@ -428,10 +396,10 @@ def natural_join(s, d):
     return catalog.natural_join(table(s, d, "nation").withColumnRenamed("n_regionkey", "key"), table(s, d, "region").withColumnRenamed("r_regionkey", "key")).select("n_nationkey", "n_name", "r_name")
 
 
-@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 10 = 0")
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def natural_left_join(s, d):
     c = table(s, d, "customer").select("c_custkey")
-    o = table(s, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     return catalog.natural_join(c, o, "left")
 
 
@@ -441,9 +409,9 @@ def three_way_join(s, d):
     return rounded(t.groupBy("r_name").agg(F.count("*").alias("n"), F.sum("s_acctbal").alias("total")), "total", digits=2)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def not_in(s, d):
-    return catalog.missing(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return catalog.missing(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS \"values\" FROM nation GROUP BY 1")
@@ -482,11 +450,11 @@ def prefer_source(s, d):
     return motif.prefer(a, table(s, d, "customer").select(F.col("c_nationkey").alias("tf_id"), F.col("c_name").alias("name"), F.lit("customer").alias("source")))
 
 
-@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_brand IN (SELECT min(p_brand) FROM part) AND p_size = 10")
+@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_brand IN (SELECT min(p_brand) FROM part) AND p_size IN (10, 11, 12, 13, 14, 15, 16, 17, 18, 19)")
 def optional_filters(s, d):
     p = table(s, d, "part")
-    brand = p.agg(F.min("p_brand")).first()[0]
-    return catalog.where_all(p, p_brand=[brand], p_size=10, p_type=None).select("p_partkey", "p_brand", "p_size")
+    first = p.join(F.broadcast(p.agg(F.min("p_brand").alias("p_brand"))), "p_brand", "left_semi")  # one row
+    return catalog.where_all(first, p_size=list(range(10, 20)), p_type=None).select("p_partkey", "p_brand", "p_size")
 
 
 @query("SELECT 'except' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'union', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'all', count(*) FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier)")
@@ -576,9 +544,9 @@ def upper_name_lookup(s, d):
     return n.join(catalog.where_all(n, n_nationkey=[1, 5, 7]).select("name").distinct(), "name", "left_semi").select("n_nationkey", "name")
 
 
-@query("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 WHERE o_orderkey IS NULL")
 def missing_files(s, d):
-    o = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    o = table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     return catalog.natural_join(table(s, d, "customer").select("c_custkey"), o, "left").where("o_orderkey is null").select("c_custkey")
 
 

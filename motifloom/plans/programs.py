@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions import physics, sequence
@@ -87,6 +87,24 @@ def best_affinity(sites: DataFrame, grid: list[float], keys: list[str]) -> DataF
     return costs.groupBy(*keys).agg(F.min(F.struct("cost", "mu")).alias("x")).select(*keys, F.col("x.mu").alias("mu"), F.col("x.cost").alias("cost"))
 
 
+def chemical_affinity(sites: DataFrame, keys: list[str], fragment: int, limit: int, motif_length: int) -> DataFrame:
+    """Minus the affinity 0, 1, 2, ... up to ``limit`` under which the occupancy of a region's positions, weighted
+    by accessibility, as shares of their sum and smoothed over twice a fragment, explains the reads best; the first of
+    equal ones.  ``sites``: pos, score, access and cov; the first motif_length + 1 positions have no score."""
+    part = Window.partitionBy(*keys)
+    rows = sites.withColumn("_i", F.row_number().over(part.orderBy("pos"))).where(F.col("_i") > motif_length + 1)
+    rows = rows.withColumn("weight", F.col("access") / F.max("access").over(part)).withColumn("c", F.explode(F.array(*(F.lit(float(i)) for i in range(limit)))))
+    rows = rows.withColumn("occ", physics.logistic(-F.col("c") + F.col("score") / physics.RT) * F.col("weight"))
+    rows = rows.withColumn("share", F.col("occ") / F.sum("occ").over(Window.partitionBy(*keys, "c")))
+    n = 2 * fragment
+    window = np.bartlett(n) / np.bartlett(n).sum()
+    offsets = F.posexplode(F.lit([float(w) for w in window]))
+    spread = rows.select(*keys, "c", "pos", "share", offsets.alias("_d", "_w")).groupBy(*keys, "c", (F.col("pos") + F.col("_d") - (n - 1) // 2).alias("pos")).agg(F.sum(F.col("share") * F.col("_w")).alias("smooth"))
+    cost = rows.select(*keys, "c", "pos", "cov").join(spread, [*keys, "c", "pos"], "left").groupBy(*keys, "c").agg((-F.sum(F.ln(F.coalesce("smooth", F.lit(0.0)) + 1e-12) * F.col("cov"))).alias("cost"))
+    best = cost.groupBy(*keys).agg(F.min(F.struct("cost", "c")).alias("x"))
+    return best.select(*keys, (-F.greatest(F.lit(0.0), F.least(F.lit(float(limit)), F.col("x.c")))).alias("affinity"), F.col("x.cost").alias("cost"))
+
+
 def word_partition(spark: SparkSession, ddg: np.ndarray, mu: float) -> DataFrame:
     """The partition function over all words of the matrix's length, by enumeration where words are generated."""
     n = len(ddg)

@@ -35,6 +35,14 @@ def test_fastq(spark, tmp_path):
     assert spark.range(1).select(readers.fastq_round(F.lit("/x/TF_4.fastq.gz"))).first()[0] == 4
 
 
+def test_record_marks_within_records(spark, tmp_path):
+    """A quality line may begin with @, also the first of a file, and a header may hold >."""
+    (tmp_path / "r_1.fastq").write_text("@a\nACGT\n+\n@III\n@b x@y\nNNA\n+b\n@@@\n@c\nGG\n+\n+@\n@d\nTTTT\n+\nIII@\n")
+    assert sorted(r["seq"] for r in readers.fastq(spark, str(tmp_path / "r_1.fastq")).collect()) == ["ACGT", "GG", "NNA", "TTTT"]
+    (tmp_path / "a.fa").write_text("\n>a>b c>d\nACGT\r\nAC\r\n>two\nGG")
+    assert sorted((r["contig"], r["seq"]) for r in readers.fasta(spark, str(tmp_path / "a.fa")).collect()) == [(">a>b c>d", "ACGTAC"), (">two", "GG")]
+
+
 def test_motifs_and_models(spark, tmp_path):
     pwm = np.array([[0.7, 0.1, 0.1, 0.1], [0.25, 0.25, 0.25, 0.25]])
     (tmp_path / "m.txt").write_text(writers.motif_text("abc_x1_selex", pwm) + writers.motif_text("def_y", pwm))
