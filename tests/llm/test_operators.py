@@ -5,17 +5,20 @@ import collections
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import time
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from motifloom.llm import bpe, embedding_dedup, extraction, graph, minhash, mixing, pii, quality, secret_scan, sharding, warc
+from motifloom.llm import bpe, buckets, embedding_dedup, extraction, graph, minhash, mixing, pii, quality, secret_scan, sharding, warc
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -180,8 +183,33 @@ def test_embeddings(spark):
     assert embedding_dedup.link(df.limit(0)).count() == 0 and embedding_dedup.link(df.where("vec_id = 3")).count() == 1
 
 
+def test_vectors_of_every_length_and_size_link(spark):
+    """Rarer lengths, components whose squares overflow or vanish, repeated null ids."""
+    three = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1e200, 0.0, 0.0]), (5, [1e200, 1e198, 0.0]), (6, [1e-200, 0.0, 0.0])]
+    others = [(10, [1.0, 2.0]), (11, [1.0, 2.01]), (13, [2.0]), (14, [3.0]), (15, [-1.0]), (7, [-0.0, 0.0, 0.0]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(three + others, "vec_id long, embedding array<double>")
+    for fitted in (8, 1):
+        found = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link(df, fitted=fitted).collect() if r["vec_id"] or r["n_links"])
+        linked = [(1, 4, 1, True), *((i, 4, 1, False) for i in (2, 4, 5, 6)), (10, 1, 10, True), (11, 1, 10, False), (13, 1, 13, True), (14, 1, 13, False)]
+        assert found == sorted(linked + [(0, 1, None, False)] * 2 + [(i, 0, i, True) for i in (3, 7, 15)])
+
+
+@pytest.mark.parametrize("n", [1_000, 8_000])
+def test_recall_of_links(spark, n):
+    """Against brute force at sizes with different key widths."""
+    rng = np.random.default_rng(n)
+    base = rng.standard_normal((n * 3 // 4, 64))
+    x = np.concatenate([base, base[: n // 4] + rng.standard_normal((n // 4, 64)) * rng.uniform(0.05, 0.4, (n // 4, 1))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(int((unit[i : i + 1000] @ unit.T >= 0.95).sum()) for i in range(0, n, 1000)) - n
+    found = embedding_dedup.link(spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")).agg(F.sum("n_links")).first()[0]
+    assert 0.99 * want <= found <= want
+    assert embedding_dedup.plan(8_000, 0.95, 0.999)[0] > embedding_dedup.plan(1_000, 0.95, 0.999)[0]
+
+
 def test_blocks_count_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(buckets, "SMALL", 4)
     x = np.random.default_rng(3).standard_normal((100, 16)) * 0.05 + 1
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -244,6 +272,87 @@ def test_secrets(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def plain_battery(token):
+    """Encoding size and p-value of one candidate, symbol by symbol; None for digits and marks only."""
+    have = set(token)
+    letters = have & set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    if not letters:
+        return None
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    if have <= set(digits + "abcdef") or have <= set(digits + "ABCDEF"):
+        k, place = 16, lambda c: int(c, 16)
+    elif have <= set(upper + "234567"):
+        k, place = 32, (upper + "234567").index
+    elif have & set("+/-_"):
+        k, place = 64, lambda c: (upper + lower + digits + "+/").index({"-": "+", "_": "/"}.get(c, c))
+    elif not (letters & set(lower) and letters & set(upper)):
+        k, place = 36, lambda c: (digits + lower).index(c.lower())
+    else:
+        k, place = 62, (upper + lower + digits).index
+    x, n = [place(c) for c in token], len(token)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((c - n / k) ** 2 / (n / k) for c in (x.count(i) for i in range(k)))
+    p = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+    half = [v >= k / 2 for v in x]
+    p.append(min(1, 2 * tail(abs(sum(a != b for a, b in zip(half, half[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4))))
+    u = [v - (k - 1) / 2 for v in x]
+    p.append(min(1, 2 * tail(abs(sum(a * b for a, b in zip(u, u[1:])) / ((k * k - 1) / 12) / math.sqrt(n - 1)))))
+    s = -sum(math.log(max(v, 1e-300)) for v in p)
+    return k, math.exp(-s) * (1 + s + s * s / 2)
+
+
+def plain_random(texts, fdr=0.01, alpha=0.001):
+    """Random spans of each text by the rules of the operator's docstring, one candidate at a time."""
+    found, chars = [], collections.Counter()
+    for i, t in enumerate(texts):
+        chars.update(c.lower() for c in t if c.isascii() and c.isalnum())
+        base = plain_spans(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t):
+            judged = plain_battery(m[0])
+            if judged and not any(a < m.end() and m.start() < b for a, _, b in base):
+                found.append((i, m, *judged))
+    symbols = "abcdefghijklmnopqrstuvwxyz0123456789"
+    total = sum(chars.values()) + 36
+    scored = []
+    for i, m, k, p in found:
+        one = {16: lambda c: 1 / 16 if c in "abcdef0123456789" else 1e-9, 32: lambda c: 1e-9 if c in "0189" else 1 / 32, 36: lambda c: 1 / 36}.get(k, lambda c: (2 if c.isalpha() else 1) / k)  # noqa: B023
+        ratio = sum(math.log(one(c) / ((chars[c] + 1) / total)) for c in m[0].lower() if c in symbols)
+        scored.append((sum(len(m[0]) >= x for x in (24, 32, 48)), int(20 * min(300, max(0, ratio))) if p >= alpha else 0, i, m))
+    out = collections.defaultdict(list)
+    for stratum in range(4):
+        own = [x for x in scored if x[0] == stratum]
+        deep = sorted((d for _, d, _, _ in own), reverse=True)
+        ok = [d for d in deep if d > 0 and math.exp(-d / 20) * len(own) <= fdr * sum(e >= d for e in deep)]
+        for _, d, i, m in own:
+            if ok and d >= min(ok):
+                out[i].append((m.start(), 3, m.end()))
+    return out
+
+
+def test_random_spans_against_a_plain_battery(spark):
+    rng = random.Random(15)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randrange(16, 80))) for a in ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "aZ0+/_-q", "abcdefGHIJ0123456789ZYXWV", "ab", "0123456789+-") for _ in range(12)]
+    encoding, p = secret_scan.battery([np.frombuffer(t.encode(), np.uint8).astype("<u4") for t in tokens])
+    for t, e, q in zip(tokens, encoding.tolist(), p.tolist()):
+        want = plain_battery(t)
+        assert (e == -1) == (want is None)
+        if want:
+            assert secret_scan.ENCODINGS[e][0] == want[0] and q == pytest.approx(want[1], rel=1e-6, abs=1e-200)
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += [f"the key {t} is here and_some_long_identifier_name too" for t in tokens] + [base64.b64encode(rng.randbytes(33)).decode() for _ in range(30)]
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    random_ = plain_random(texts)
+    assert sum(map(len, random_.values())) > 40
+    assert found == {i: secret_scan.joined(sorted(plain_spans(t) + random_[i])) for i, t in enumerate(texts)}
+
+
+def test_secrets_of_a_very_long_list(spark):
+    text = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(100_000))
+    start = time.time()
+    found = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (found["n_hex"], found["n_random"]) == (100_000, 0) and time.time() - start < 60
+
+
 def test_false_discoveries_are_controlled():
     rng = np.random.default_rng(6)
     depth = np.floor(secret_scan.GRID * rng.exponential(size=20_000)).astype(int)  # -ln p of true nulls, rounded up in p
@@ -279,6 +388,14 @@ def test_trees_alone_and_together():
         assert encoder._together(words) == [encoder._alone(w) for w in words]
 
 
+def test_one_very_long_pre_token():
+    """Ids of the library."""
+    rng = random.Random(14)
+    word = "".join(rng.choice("aeinrstlé") for _ in range(200_000))
+    (ids,) = bpe.Encoder(bpe.load(VOCABULARY)).encode([word])
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(VOCABULARY).encode(word, add_special_tokens=False).ids
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -317,6 +434,18 @@ def test_mixing(docs, empty):
     assert rows(mixing.mix(empty, with_row=False)) == []
 
 
+def test_mixing_in_small_slices_and_by_shuffled_joins(spark, docs, monkeypatch):
+    """Slices, blocks of slices and the cut give what one window over each source gives, whatever the partitions; rows
+    that share id and size, but not text, stand in one order."""
+    twins = spark.createDataFrame([(7000, t * 40, "src1", 0, "", "", 0) for t in ("a b ", "c d ", "e f ", "g h ")], DOCS)
+    all_ = docs.unionByName(twins)
+    key = lambda df: sorted(map(str, rows(df)))
+    want = key(mixing.mix(all_))
+    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", 3)
+    monkeypatch.setattr(mixing, "SLICES_PER_BLOCK", 4)
+    assert key(mixing.mix(all_.repartition(7), few=0)) == want
+
+
 def test_capped_targets_reshare(spark):
     df = spark.createDataFrame([(i, "w " * 10, "b") for i in range(100)] + [(1000, "w " * 5, "a")] + [(2000 + i, "w " * 3, "c") for i in range(4)], "doc_id long, text string, source string")
     got = {r["row"]["source"]: r["target"] for r in mixing.mix(df).collect()}
@@ -358,6 +487,30 @@ def test_warc_files_are_deterministic(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_shards_follow_running_bytes(spark, tmp_path):
+    """Borders against one pass over the sorted records; one id and null ids over several shards; a very long page; both
+    ways of looking up equal payloads."""
+    rng = random.Random(12)
+    data = [(None if i % 7 == 0 else 5 if i % 3 == 0 else i, None, f"{i}-" + "x" * rng.randrange(900)) for i in range(300)] + [(400, "u", "y" * 3_000_000), (401, "u", "y" * 3_000_000)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    order = sorted((-(1 << 63) if i is None else i, hashlib.sha1(h.encode()).hexdigest(), len(h)) for i, _, h in data)
+    so_far, borders, shard = 0, [], 0
+    for at, digest, n in order:
+        if so_far // 20_000 > shard:
+            shard = so_far // 20_000
+            borders.append((at, digest))
+        so_far += n + warc.RECORD_BYTES
+    slim = pages.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("at"), F.sha1(F.col("html").cast("binary")).alias("digest"), F.length("html").cast("long").alias("payload_bytes"))
+    assert warc.borders(slim, 20_000) == borders and len(borders) > 10
+    names = []
+    for few in (100_000, 0):
+        manifest = warc.write(pages, f"file://{tmp_path}/{few}", shard_bytes=20_000, few=few)
+        names.append((tmp_path / str(few) / "manifest.json").read_text())
+        assert len(names[-1].splitlines()) == len(borders) + 1
+        assert warc.read(spark, manifest).where("refers_to is not null").count() == 1 and warc.read(spark, manifest).count() == len(data)
+    assert names[0] == names[1]
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -380,6 +533,7 @@ def plain_classes(texts):
 
 def test_minhash(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(buckets, "SMALL", 4)
     rng = random.Random(8)
     base = [str(rng.randrange(10**6)) for _ in range(150)]
     heap = []
@@ -414,11 +568,29 @@ def test_signatures_estimate_weighted_similarity():
     assert some.all() and abs((sig[0] == sig[1]).mean() - exact) < 0.04
 
 
-def test_intersections():
+def test_alike():
     rng = np.random.default_rng(9)
-    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 200))).astype(np.uint64) for _ in range(20)]
-    inter, sizes = minhash.intersections(sets)
-    assert all(inter[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j) and sizes.tolist() == [len(s) for s in sets]
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
+    i, j = map(np.array, zip(*itertools.combinations(range(30), 2)))
+    found = minhash.alike(pa.chunked_array([pa.array([x.tobytes() for x in sets], pa.binary())]), i, j, 0.4)
+    assert found.tolist() == [len(np.intersect1d(sets[a], sets[b])) >= 0.4 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)] and found.any()
+
+
+def test_chained_collisions_are_not_followed(spark, monkeypatch):
+    """A chain of texts, each near the next only: comparisons grow with the chain, not with its square."""
+    compared = spark.sparkContext.accumulator(0)
+
+    class Counting(minhash.Comparison):
+        def candidates(self, rows, start):
+            i, j = super().candidates(rows, start)
+            compared.add(len(i))
+            return i, j
+    monkeypatch.setattr(minhash, "Comparison", Counting)
+    words = [f"w{i}" for i in range(20 * 300 + 400)]
+    chain = [(i, " ".join(words[20 * i : 20 * i + 400])) for i in range(300)]  # neighbours share 376 of 416 shingles
+    found = minhash.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in found} == {0} and len(found) == 300
+    assert 299 <= compared.value <= 12 * 300  # by signatures and by shingles
 
 
 # -- 9 -----------------------------------------------------------------------------------------------------------------
