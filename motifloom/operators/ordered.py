@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+SLICES = 32
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], weights: dict[str, Column], slices: int = SLICES) -> DataFrame:
@@ -17,9 +17,17 @@ def running(df: DataFrame, keys: list[str], order: list[str], weights: dict[str,
 
     The first column of the order is a number; the order should be of unique rows, or equal rows alike."""
     first = order[0]
-    cuts = df.agg(F.percentile_approx(first, [i / slices for i in range(1, slices)], 1000).alias("x")).first()["x"]
-    borders = F.array(*(F.lit(x) for x in sorted(set(cuts or []))))
-    slice_ = F.size(F.filter(borders, lambda b: b < F.col(first))) if cuts else F.lit(0)
+    cuts = df.agg(F.percentile_approx(first, [i / slices for i in range(1, slices)], 200).alias("x")).first()["x"]
+    borders = sorted(set(cuts or []))
+
+    def below(low: int, high: int) -> Column:
+        """How many borders are below the value, by halving: generated code without arrays."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(first) > F.lit(borders[mid]), below(mid + 1, high)).otherwise(below(low, mid))
+
+    slice_ = below(0, len(borders))
     rows = df.withColumns({"_slice": slice_, **{f"_{n}": w for n, w in weights.items()}})
     sums = rows.groupBy(*keys, "_slice").agg(*(F.sum(f"_{n}").alias(f"_{n}_sum") for n in weights))
     group = Window.partitionBy(*(keys or [F.lit(0)]))  # of at most ``slices`` rows

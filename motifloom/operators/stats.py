@@ -48,18 +48,24 @@ def upper_mean(df: DataFrame, keys: list[str], value: str, share: float) -> Data
 
 
 def average_ranks(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
-    """The rows with their ranks from 1, equal values sharing their mean rank: ranks of distinct values from running
-    counts, joined back."""
+    """(keys, value, ``name``): ranks from 1 of distinct values, equal ones sharing their mean rank, from running
+    counts."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ranks = running(counts, keys, [value], {"_i": F.col("_c")}).select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col(value).alias("_r"), (F.col("_i_upto") - (F.col("_c") - 1) / 2).alias(name))
-    return df.join(ranks, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(value) == F.col("_r")]).select(*df.columns, name)
+    return running(counts, keys, [value], {"_i": F.col("_c")}).select(*keys, value, (F.col("_i_upto") - (F.col("_c") - 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """G28."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_va"), F.col(b).alias("_vb"))
-    ranked = average_ranks(average_ranks(rows, "_va", keys, "_a"), "_vb", keys, "_b")
-    return ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias("spearman"))
+    """The correlation of ranks.  Rows meet their ranks as counts of equal pairs."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double").alias("_va"), F.col(b).cast("double").alias("_vb"))
+    pairs = rows.groupBy(*keys, "_va", "_vb").agg(F.count("*").cast("double").alias("_n"))
+    for value, name in (("_va", "_a"), ("_vb", "_b")):
+        ranks = average_ranks(rows, value, keys, name).select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col(value).alias("_r"), name)
+        pairs = pairs.join(ranks, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(value) == F.col("_r")]).drop("_r", *(f"_r_{k}" for k in keys))
+    n, sa, sb = F.sum("_n"), F.sum(F.col("_n") * F.col("_a")), F.sum(F.col("_n") * F.col("_b"))
+    # mean and deviation of ranks are of one order, so nothing cancels in these sums
+    sums = pairs.groupBy(*keys).agg(n.alias("_n"), sa.alias("_sa"), sb.alias("_sb"), F.sum(F.col("_n") * F.col("_a") * F.col("_a")).alias("_aa"), F.sum(F.col("_n") * F.col("_b") * F.col("_b")).alias("_bb"), F.sum(F.col("_n") * F.col("_a") * F.col("_b")).alias("_ab"))
+    cov, va, vb = (F.col(p) / F.col("_n") - F.col(x) / F.col("_n") * F.col(y) / F.col("_n") for p, x, y in (("_ab", "_sa", "_sb"), ("_aa", "_sa", "_sa"), ("_bb", "_sb", "_sb")))
+    return sums.select(*keys, F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("spearman"))
 
 
 def grid_best(df: DataFrame, keys: list[str], grid: list[float], score, target: str) -> DataFrame:
