@@ -5,7 +5,9 @@ one's ``docs``.  All but the last return the columns of documents: the quality s
 lines that fail, the near-duplicate stage keeps one document of each class, the PII stage replaces personal data, the
 mixing stage returns each document as often as the mix takes it, and the last stage encodes.
 
-Null texts are rejected by the first stage, as are empty ones; an empty table passes through all stages.
+Null texts are rejected by the first stage, as are empty ones; an empty table passes through all stages.  Of texts that
+are alike that of the smallest id stays, of equal ids that of the smallest hash, and rows that repeat id and text are
+one; columns of any name are carried along.  Very long texts go through whole.  Each function's operator states the rest.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ document that loses more than ``max_loss`` of its word characters by that is rej
 rules on its whole text.
 
 A word is a run of characters other than U+0020 and U+0009 to U+000D.  Null texts count as empty; empty texts have no
-words and fail the base rules.  Repeated rows are judged alike and each is returned.
+words and fail the base rules.  Repeated rows are judged alike and each is returned; an empty table gives no rows.  Of
+equal lines the first stays.  A line that breaks several rules counts for the first of navigation, punctuation and
+boilerplate.  Very long texts are judged whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -60,6 +62,7 @@ class Rules:
     max_mark_ratio: float = 0.3  # of words that carry symbols or repeated marks
     max_upper_ratio: float = 0.6  # of words in capitals
     max_separator_ratio: float = 0.25  # of words that are separators
+    max_boilerplate_words: int = 40  # a longer line that holds a phrase of boilerplate is prose about it
 
 
 def repeat_words(words: list[str]) -> int:
@@ -104,7 +107,7 @@ class Judge:
                 return "punctuation"
             if sum(map(str.isupper, words)) > rules.max_upper_ratio * n:
                 return "punctuation"
-        if n <= 40 and self.boilerplate(line):
+        if n <= rules.max_boilerplate_words and self.boilerplate(line):
             return "boilerplate"
         return None
 

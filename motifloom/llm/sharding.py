@@ -7,8 +7,10 @@ the other rows of its group, labels are kept as counts by group and shard, so a
 are ever listed.  After the last round rows take the labels of their group in order, and unlinked rows, then linked
 ones, leave shards that are too full; the counts of the shards end at most one apart (law ``rows``).
 
-Null texts are linked with nothing and have no bytes; empty texts are equal texts.  Identical rows are linked rows; an
-empty table gives no rows.  Other columns are not read.
+Null texts are linked with nothing and have no bytes; empty texts are equal texts.  Identical rows are linked rows and
+take different slots, in any order; an empty table gives no rows.  Shards that hold equally many rows of a group are
+told apart by a hash.  Very long texts are rows like others: counts are balanced, not bytes.  Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -11,8 +11,12 @@ DEFAULT = "/tmp/checkpoints"
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or ``DEFAULT`` where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT
+    """``spark.checkpoint.dir`` of the session; where it is unset ``DEFAULT``, but only for a local master, as others
+    share no such folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or DEFAULT
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

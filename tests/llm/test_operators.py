@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from motifloom.llm import bpe, buckets, embedding_dedup, extraction, graph, minhash, mixing, pii, quality, secret_scan, sharding, warc
+from motifloom.llm import bpe, buckets, embedding_dedup, extraction, graph, minhash, mixing, pii, quality, secret_scan, sharding, shared, warc
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -683,3 +683,49 @@ def test_sharding(spark, docs, empty, monkeypatch, rows_per_slice):
     hot = collections.Counter(r["shard"] for r in found if r["doc_id"] and 3000 <= r["doc_id"] < 4000)
     assert sum(k for _, k in hot.most_common(5)) >= 110  # of 150; at random about 95, and a shard holds 45
     assert sharding.shard(empty, 8).count() == 0
+
+
+def test_propagation_against_a_plain_version(spark):
+    """One round of counts by (group, shard) against rows that are moved one by one, where all shards have room; and
+    what holds after any number of rounds: no row is lost, none is above the quota, and no group is cut more."""
+    rng = random.Random(13)
+    state = collections.Counter()
+    for g in range(60):
+        for _ in range(rng.randrange(2, 12)):
+            state[f"g{g}", rng.randrange(6)] += 1
+    counts = spark.createDataFrame([(g, s, n) for (g, s), n in state.items()], "group string, shard int, n long")
+    moved = collections.defaultdict(collections.Counter)
+    for g in {g for g, _ in state}:
+        own = {s: n for (h, s), n in state.items() if h == g}
+        top = max(own.values())
+        assert sum(own.values()) >= 2
+        if list(own.values()).count(top) == 1:  # else a hash decides
+            moved[g][max(own, key=own.get)] = sum(own.values())
+    after = collections.defaultdict(dict)
+    for r in sharding.propagate(counts, 6, 10_000, 1).collect():
+        after[r["group"]][r["shard"]] = r["n"]
+    assert len(moved) > 20 and all(after[g] == dict(moved[g]) for g in moved)
+    assert all(len(x) == 1 for x in after.values())
+    cap = -(-sum(state.values()) // 6)
+    tight = sharding.propagate(counts, 6, cap, 16).collect()
+    assert sum(r["n"] for r in tight) == sum(state.values())
+    before = sum(1 for _ in state)
+    assert len(tight) < before / 2
+    full = collections.Counter()
+    for r in tight:
+        full[r["shard"]] += r["n"]
+    assert max(full.values()) <= cap * 1.25
+
+
+def test_folder_of_a_cluster_must_be_named(spark, monkeypatch):
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared.folder(Session)
+    Session.sparkContext.master = "local[2]"
+    assert shared.folder(Session) == shared.DEFAULT

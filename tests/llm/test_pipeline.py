@@ -51,6 +51,23 @@ def test_stages_agree_with_plain_versions(spark, tmp_path):
     assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in after["encoding"]) == want
 
 
+def test_ties_repeated_rows_and_clashing_names(spark):
+    """Rows of one text or id, rows that repeat whole, and columns named like those the operators make."""
+    text = " ".join(f"word{i} is here." for i in range(60))
+    other = " ".join(f"thing{i} was there." for i in range(60))
+    rows = [(1, text, "en", "s", 3, True, "r"), (1, text, "en", "s", 3, True, "r"), (2, text, "de", "t", 3, False, "q"), (3, other, "en", "s", 3, True, "r"), (3, other + " Mrs Anna Smith met Smith.", "en", "s", 3, True, "r"), (None, other, "en", None, 3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, row string")
+    columns, sizes = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+        kept = [r.asDict() for r in docs.collect()]
+        sizes.append(len(kept))
+        assert all(r["kept"] is not False for r in kept) or name == "quality rules"
+    assert sizes[:3] == [6, 2, 2]  # one of each of the two classes
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).where("n_tokens > 0").count() == sizes[3]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, "en", None, 3), (1, None, "en", None, 3), (2, "", "en", "s", 0)]])
 def test_nulls_and_empty_tables_pass_through(spark, tmp_path, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
