@@ -39,7 +39,7 @@ WORDS = 5
 BANDS, ROWS = 32, 6
 BLOCK = 512  # documents
 PAIRS = 1 << 14  # signatures of so many pairs are compared at a time
-CHUNK = 900_000  # characters hashed at a time, where a document counts as PER_DOCUMENT more for its darts
+CHUNK = 450_000  # characters hashed at a time, where a document counts as PER_DOCUMENT more for its darts
 PER_DOCUMENT = 4_000
 
 #: Poisson(1): cumulative probabilities of 0, 1, 2, ... darts in a cell.
