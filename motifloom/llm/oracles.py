@@ -77,5 +77,37 @@ class AS (SELECT t.k, t.text, least(t.least, coalesce(min(o.least), t.least)) AS
 SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, d.doc_id = coalesce(c.class_id, d.doc_id) AS kept FROM documents d LEFT JOIN class c ON c.text = d.text
 """
 
-#: The other queries have no SQL form: cuts of graphs, randomness tests, BPE merges, surrogates and label propagation.
-ORACLES = {"op1_quality_rules": OP1, "op3_embedding_near_dedup": OP3, "op6_mixing": OP6, "op7_warc": OP7, "op8_minhash_near_dedup": OP8}
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex({_ASCII_LOWER}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(ps) AS p FROM docs)),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, ws[i : i + m - 1] AS g FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM pieces CROSS JOIN (VALUES (1), (2), (3), (4)) t(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, g, array_to_string(g, ' ') AS phrase, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.g, c.f AS a, k, x.f AS l, y.f AS r, (2000000 * c.f::HUGEINT) // (x.f + y.f) AS score FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT lang, g[s : s + m - 1] AS g, max(f) AS longer FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS s FROM f CROSS JOIN (VALUES (2), (3)) t(m) WHERE len(g) > m) GROUP BY ALL),
+own AS (SELECT s.* FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.g = s.g WHERE coalesce(100 * i.longer::HUGEINT < 80 * s.a::HUGEINT, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM own)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_ASCII_LOWER}, '{_TERM}') AS ws FROM documents),
+items AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all({_ASCII_LOWER}, '{_TERM}')) AS ts FROM benchmark),
+size AS (SELECT d, doc_id, len(ws) AS n FROM docs WHERE len(ws) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM size),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ws) AS t FROM docs) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+impact AS (SELECT tf.d, tf.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))) AS impact FROM tf JOIN w USING (t) JOIN size USING (d) CROSS JOIN total),
+scored AS (SELECT q, item_id, d, CAST(sum(impact) AS BIGINT) AS score FROM (SELECT q, item_id, unnest(ts) AS t FROM items) JOIN impact USING (t) GROUP BY ALL HAVING sum(impact) > 0),
+ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored JOIN size USING (d))
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+#: The other queries have no SQL form: cuts of graphs, randomness tests, BPE merges, surrogates, label propagation and
+#: searches that may miss a neighbour.
+ORACLES = {"op1_quality_rules": OP1, "op3_embedding_near_dedup": OP3, "op6_mixing": OP6, "op7_warc": OP7, "op8_minhash_near_dedup": OP8, "op11_collocations": OP11, "op12_lexical_search": OP12}

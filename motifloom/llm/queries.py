@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motifloom.llm import bpe, embedding_dedup, extraction, minhash, mixing, pii, quality, secret_scan, sharding, warc
+from motifloom.llm import adaptive_search, bpe, collocations, embedding_dedup, extraction, lexical_search, minhash, mixing, pii, quality, secret_scan, sharding, warc
 from motifloom.llm.oracles import ORACLES
 
 
@@ -55,6 +55,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
