@@ -1,6 +1,6 @@
 """Ranked lexical search by simultaneous traversal of inverted treaps.
 
-Documents are read in shards of at most ``SHARD``.  In a shard every term of the queries has a treap of its postings: a
+Documents are read in shards of about ``shard`` rows.  In a shard every term of the queries has a treap of its postings: a
 search tree over the documents in the order of their ids, and a heap over the impacts, which are the exact integers that
 the postings add to a score.  A query walks the treaps of its terms together.  A range of ids is known by the root of
 each treap within it; the sum of these roots' impacts bounds every score of the range, so a range whose bound cannot
@@ -153,18 +153,18 @@ class Best:
 class Search:
     """Traverses the treaps of each shard for all queries of a block."""
 
-    def __init__(self, plan, k: int) -> None:
-        self.plan, self.k = plan, k
+    def __init__(self, plan, k: int, shard: int = SHARD) -> None:
+        self.plan, self.k, self.rows = plan, k, shard
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, queries, total, length = self.plan.value
+        queries = self.plan.value[1]
         best, held, size = Best(len(queries), self.k), [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                part = batch.slice(at, SHARD)
+            for at in range(0, batch.num_rows, self.rows):
+                part = batch.slice(at, self.rows)
                 held.append(part)
                 size += part.num_rows
-                if size >= SHARD:
+                if size >= self.rows:
                     self.shard(held, best)
                     held, size = [], 0
         if held:
@@ -226,7 +226,7 @@ class Search:
             stack.append((np.concatenate([query, query]), np.concatenate([low, pivot]), np.concatenate([pivot, high]), np.concatenate([of[b], of[a] + n]), np.concatenate([before[b], after[a]])))
 
 
-def search(docs: DataFrame, items: DataFrame, *, k: int = 10, block: int = 1000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, *, k: int = 10, block: int = 1000, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``item_col``, rank, ``id_col`` and score: the k best documents of each item."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     asked = items.select(items[item_col].alias("item_id"), items[item_text_col].alias("text")).where("text IS NOT NULL").distinct()
@@ -250,7 +250,7 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = 10, block: int = 1000,
             for t, w in postings.select(F.explode("terms").alias("term")).groupBy("term").agg(weight.alias("w")).collect():
                 weights[t] = w
             plan = sc.broadcast((weights, queries, total, length))
-            best = postings.mapInArrow(Search(plan, k), "query long, doc_id long, score long")
+            best = postings.mapInArrow(Search(plan, k, shard), "query long, doc_id long, score long")
             order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
             best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             best = best.join(F.broadcast(found), "query").select("item_id", "rank", "doc_id", "score")
