@@ -2,12 +2,14 @@
 
 Candidates come from a sketch: every phrase of one to ``longest`` words is hashed to a cell, and a cell's sum bounds the
 count of all its phrases from above.  The sketch is a table of partial cells that executors sum, so its width follows
-the text: about as many cells as there are phrases.  Phrases of three words and more enter it only where all their
-pairs of words lie in cells that reach ``min_count``.  Phrases whose cells and pairs reach it are candidates; they are
-compiled into Aho-Corasick automata, with a space before and after each phrase and a border mark between pieces, so that
-matches are of whole words within a piece.  Tasks scan their texts and count all matches, overlaps included; the sums
-are exact, and thresholds are applied to them.  At most ``automaton_limit`` phrases are compiled, and ``heavy_limit``
-cells held, at a time; more of them are dealt by hash and take further scans.
+the text: some cells for each phrase.  Phrases of three words and more enter it only where all their pairs of words lie
+in cells that reach ``min_count``.  For each cell that reaches it one task that met the cell names the phrases of the
+cell in its texts; these are the candidates.  They are compiled into Aho-Corasick automata, with a space before and
+after each phrase and a border mark between pieces, so that matches are of whole words within a piece.  Tasks scan their
+texts and count all matches, overlaps included; the sums are exact, and thresholds are applied to them.  A cell whose sum
+its candidates do not explain, but for less than ``min_count``, may hold a phrase that its task did not have; all tasks
+name the phrases of such cells, and these are counted as well.  At most ``automaton_limit`` phrases are compiled, and
+``heavy_limit`` cells held, at a time; more of them are dealt by hash and take further scans.
 
 Texts are lower-cased from A to Z only and split into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into words at spaces and tabs.
 A null text is empty, a null language is ``und``; texts without words add nothing and an empty table gives no rows.
@@ -21,63 +23,91 @@ import math
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.llm.shared import written
 
-CHUNK_BITS = 16  # cells of a chunk, the unit in which partial sketches are summed
+CHUNK_BITS = 20  # cells of a chunk, the unit in which partial sketches are summed
 FLUSH = 1 << 22  # phrases that a task holds before it sends their cells
 SLICE = 256  # documents read at a time
+PART = 1 << 20  # bytes hashed at a time, but for longer pieces
 SALTS = 64  # parts in which the best phrases of a language are chosen before they are ranked
 
 _MARK = b"."
-_PIECES = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_PIECES = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
+_SPACE = 32
+_random = np.random.default_rng(17)
+_BYTES = _random.integers(0, 1 << 64, 256, np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def tokens_of(texts: list[bytes]) -> list[bytes]:
-    """Words of some texts in order; a full stop stands between pieces, as no word holds one."""
-    return _MARK.join(texts).lower().translate(_PIECES).replace(_MARK, b" . ").split()
+def prepared(texts: list[bytes]) -> np.ndarray:
+    """The bytes of some texts in lower case, one space before and after each word; a full stop, which no word holds, is
+    a word between pieces."""
+    joined = _MARK.join(texts).lower().translate(_PIECES).replace(_MARK, b" . ")
+    buffer = np.frombuffer(b" %b " % joined, np.uint8)
+    space = buffer == _SPACE
+    return buffer[~space | np.append(True, ~space[:-1])]
 
 
-class Hasher:
-    """Cells of the phrases of a list of tokens."""
+def parts(buffer: np.ndarray) -> Iterator[np.ndarray]:
+    """A prepared buffer cut between pieces into parts of about ``PART`` bytes."""
+    marks, at = np.flatnonzero(buffer == _MARK[0]), 0
+    while len(buffer) - at > PART and (i := np.searchsorted(marks, at + PART)) < len(marks):
+        end = int(marks[i]) + 1  # the space after a mark ends a part and begins the next
+        yield buffer[at : end + 1]
+        at = end
+    yield buffer[at:]
 
-    def __init__(self, bits: int) -> None:
-        self.shift = np.uint64(64 - bits)
-        self.words: dict[bytes, int] = {_MARK: 0}
 
-    def phrases(self, lang: str, tokens: list[bytes], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(words of a phrase, where phrases begin, their hashes) for each length, within pieces."""
-        words = self.words
-        if len(words) > 1 << 20:
-            words.clear()
-            words[_MARK] = 0
-        for w in dict.fromkeys(tokens):
-            if w not in words:
-                words[w] = xxhash.xxh64_intdigest(w) | 1
-        own = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
-        inside = own != 0
-        code, valid = own * _SPREAD + np.uint64(xxhash.xxh64_intdigest(lang.encode())), inside
-        for n in range(1, longest + 1):
-            if n > 1:
-                code = code[:-1] * _SPREAD + own[n - 1 :]
-                valid = valid[:-1] & inside[n - 1 :]
-            at = np.flatnonzero(valid)
-            h = code[at]
-            h = (h ^ (h >> np.uint64(32))) * _MIX
-            yield n, at, h ^ (h >> np.uint64(29))
+@dataclass(frozen=True)
+class Words:
+    """Where the words of a prepared buffer begin and end, which are marks, and their hashes."""
 
-    def cells(self, hashes: np.ndarray) -> np.ndarray:
-        return hashes >> self.shift
+    start: np.ndarray
+    end: np.ndarray
+    inside: np.ndarray
+    code: np.ndarray
+
+
+def words_of(buffer: np.ndarray) -> Words:
+    space = np.flatnonzero(buffer == _SPACE)
+    start, end = space[:-1] + 1, space[1:]
+    # a word's hash is a polynomial of its bytes: a difference of running sums, shifted back to the word's begin
+    power = np.cumprod(np.full(len(buffer), _STEP))
+    sums = np.append(np.uint64(0), np.cumsum(_BYTES[buffer] * power))
+    back = np.cumprod(np.full(len(buffer), _BACK))
+    return Words(start, end, (end - start > 1) | (buffer[start] != _MARK[0]), (sums[end] - sums[start]) * back[start])
+
+
+def cells_of(hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Cells of phrases of n words: those of the two sketches are apart."""
+    return (hashes >> np.uint64(64 - bits)) << np.uint64(1) | np.uint64(n > 2)
+
+
+def phrases(words: Words, lang: str, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words of a phrase, where phrases begin, their hashes) for each length, within pieces."""
+    code, valid = words.code * _STEP + np.uint64(xxhash.xxh64_intdigest(lang.encode())), words.inside
+    for n in range(1, longest + 1):
+        if n > 1:
+            code = code[:-1] * _STEP + (words.code[n - 1 :] ^ _MIX)
+            valid = valid[:-1] & words.inside[n - 1 :]
+        at = np.flatnonzero(valid)
+        h = code[at]
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        yield n, at, h ^ (h >> np.uint64(29))
 
 
 class Heavy:
@@ -99,8 +129,8 @@ class Heavy:
         return out
 
 
-def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """The texts of each language, some documents at a time."""
+def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    """The prepared texts of each language, some documents at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
@@ -108,7 +138,7 @@ def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                 if text:
                     found[lang].append(text)
-            yield from found.items()
+            yield from ((lang, prepared(own)) for lang, own in found.items())
 
 
 def paired(n: int, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -119,99 +149,104 @@ def paired(n: int, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return out
 
 
-def kind_of(enough: int) -> type:
-    return np.uint8 if enough < 256 else np.uint32
-
-
 class Sketch:
-    """Partial sketches: the cells of a task's phrases and how often each occurs, at most ``enough`` times."""
+    """Partial sketches: the cells of a task's phrases and how often each occurs."""
 
-    def __init__(self, orders: tuple[int, ...], bits: int, enough: int, gate=None) -> None:
-        self.orders, self.bits, self.enough, self.gate = orders, bits, enough, gate
+    def __init__(self, orders: tuple[int, ...], bits: int, gate=None) -> None:
+        self.orders, self.bits, self.gate = orders, bits, gate
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(self.bits), [], 0
+        held, size = [], 0
         heavy = Heavy(self.gate.value) if self.gate else None
-        for lang, texts in by_lang(batches):
-            tokens = tokens_of(texts)
-            pair = np.zeros(len(tokens) + 1, bool)
-            for n, at, h in hasher.phrases(lang, tokens, self.orders[-1]):
-                if heavy and n == 2:
-                    pair[at] = heavy.has(hasher.cells(h))
-                if n in self.orders:
-                    cells = hasher.cells(h[paired(n, at, pair)] if heavy else h)
-                    held.append(cells)
-                    size += len(cells)
-            if size >= FLUSH:
-                yield from self.partial(held)
-                held, size = [], 0
+        for lang, buffer in by_lang(batches):
+            for part in parts(buffer):
+                words = words_of(part)
+                pair = np.zeros(len(words.code) + 1, bool)
+                for n, at, h in phrases(words, lang, self.orders[-1]):
+                    if heavy and n == 2:
+                        pair[at] = heavy.has(cells_of(h, n, self.bits))
+                    if n in self.orders:
+                        held.append(cells_of(h[paired(n, at, pair)] if heavy else h, n, self.bits))
+                        size += len(held[-1])
+                if size >= FLUSH:
+                    yield from self.partial(held)
+                    held, size = [], 0
         if size:
             yield from self.partial(held)
 
     def partial(self, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cells, count = np.unique(np.concatenate(held), return_counts=True)
-        count = np.minimum(count, self.enough).astype(kind_of(self.enough))  # sums of what is cut at ``enough`` reach it just as well
-        chunk = cells >> np.uint64(CHUNK_BITS)
+        chunk = (cells >> np.uint64(CHUNK_BITS)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
-        low = cells.astype(np.uint16)
-        ends = [*start[1:].tolist(), len(cells)]
+        low, ends = (cells & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.uint32), np.append(start[1:], len(cells))
+        small, task = np.minimum(count, 255).astype(np.uint8), TaskContext.get().partitionId() if TaskContext.get() else 0
+        many, more = count >= 255, count[count >= 255].astype(np.uint32)  # a byte for most counts
+        before = np.append(0, np.cumsum(many))
         for i in range(0, len(start), 4096):
-            part = list(zip(start[i : i + 4096].tolist(), ends[i : i + 4096]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk[start[i : i + 4096]].astype(np.int64)), pa.array([low[s:e].tobytes() for s, e in part], pa.binary()), pa.array([count[s:e].tobytes() for s, e in part], pa.binary())],
-                names=["chunk", "cells", "counts"],
-            )
+            own = list(zip(start[i : i + 4096].tolist(), ends[i : i + 4096].tolist()))
+            columns = [[low[s:e].tobytes() for s, e in own], [small[s:e].tobytes() for s, e in own], [more[before[s] : before[e]].tobytes() for s, e in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[start[i : i + 4096]]), pa.array([task] * len(own), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["chunk", "task", "cells", "counts", "more"])
 
 
 def summed(enough: int):
-    """Sums the partial chunks, which come sorted, and returns the cells that reach ``enough``."""
+    """Sums the partial chunks, which come sorted, and returns the cells that reach ``enough``, their sums and the first
+    task of each."""
 
-    def heavy(chunk: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total >= enough) + (chunk << CHUNK_BITS))], names=["cell"])
+    def heavy(chunk: int, total: np.ndarray, task: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total >= enough)
+        return pa.RecordBatch.from_arrays([pa.array(at + (chunk << CHUNK_BITS)), pa.array(task[at]), pa.array(total[at])], names=["cell", "task", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(1 << CHUNK_BITS, np.int64)
+        at, total, first = None, np.zeros(1 << CHUNK_BITS, np.int64), np.zeros(1 << CHUNK_BITS, np.int32)
         for batch in batches:
-            for chunk, cells, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for chunk, task, cells, counts, more in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if chunk != at:
                     if at is not None:
-                        yield heavy(at, total)
+                        yield heavy(at, total, first)
                     at = chunk
                     total[:] = 0
-                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, kind_of(enough))
+                own, count = np.frombuffer(cells, np.uint32), np.frombuffer(counts, np.uint8).astype(np.int64)
+                count[count == 255] = np.frombuffer(more, np.uint32)
+                new = own[total[own] == 0]
+                first[new] = task
+                total[own] += count
         if at is not None:
-            yield heavy(at, total)
+            yield heavy(at, total, first)
 
     return run
 
 
 class Candidates:
-    """The phrases whose cells are in a slice of the heavy ones and whose pairs, where these are held, are heavy too."""
+    """The phrases in a slice of the heavy cells, each named by the cell's task, or by all."""
 
-    def __init__(self, bits: int, longest: int, slice_, gate) -> None:
-        self.bits, self.longest, self.slice, self.gate = bits, longest, slice_, gate
+    def __init__(self, bits: int, longest: int, slice_, gate, all_tasks: bool) -> None:
+        self.bits, self.longest, self.slice, self.gate, self.all_tasks = bits, longest, slice_, gate, all_tasks
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, heavy, seen = Hasher(self.bits), Heavy(self.slice.value), set()
+        cells, tasks = self.slice.value
+        heavy, seen = Heavy(cells if self.all_tasks else cells[tasks == TaskContext.get().partitionId()]), set()
         gate = Heavy(self.gate.value) if self.gate else None
-        for lang, texts in by_lang(batches):
-            tokens = tokens_of(texts)
-            pair, phrases = np.zeros(len(tokens) + 1, bool), []
-            for n, at, h in hasher.phrases(lang, tokens, self.longest):
-                cells = hasher.cells(h)
-                if gate and n == 2:
-                    pair[at] = gate.has(cells)
-                hit = heavy.has(cells)
-                if gate and n > 2:
-                    hit &= paired(n, at, pair)
-                found, first = np.unique(h[hit], return_index=True)
-                places = at[hit][first].tolist()
-                for code, i in zip(found.tolist(), places):
-                    if code not in seen:
-                        seen.add(code)
-                        phrases.append(b" ".join(tokens[i : i + n]))
-            if phrases:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+        for lang, buffer in by_lang(batches):
+            for part in parts(buffer):
+                words, found, own = words_of(part), [], []
+                text, pairs = part.tobytes(), np.zeros(len(words.code) + 1, np.uint64)
+                for n, at, h in phrases(words, lang, self.longest):
+                    cell = cells_of(h, n, self.bits)
+                    if n == 2:
+                        pairs[at] = cell
+                    hit = np.flatnonzero(heavy.has(cell))
+                    if gate and n > 2:  # what the sketch did not count is none
+                        for k in range(n - 1):
+                            hit = hit[gate.has(pairs[at[hit] + k])]
+                    codes, first = np.unique(h[hit], return_index=True)
+                    places = at[hit[first]]
+                    for code, c, s, e in zip(codes.tolist(), cell[hit[first]].tolist(), words.start[places].tolist(), words.end[places + n - 1].tolist()):
+                        if code not in seen:
+                            seen.add(code)
+                            found.append(text[s:e])
+                            own.append(c)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(own, pa.int64())], names=["lang", "phrase", "cell"])
 
 
 #: The automata of the last block of phrases, kept by a Python worker for its next task.
@@ -239,11 +274,10 @@ class Scan:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata, counts, words = self.automata(), defaultdict(Counter), Counter()
         value = itemgetter(1)
-        for lang, texts in by_lang(batches):
-            tokens = tokens_of(texts)
-            words[lang] += len(tokens) - tokens.count(_MARK)
+        for lang, buffer in by_lang(batches):
+            words[lang] += np.count_nonzero(buffer == _SPACE) - 1 - np.count_nonzero(buffer == _MARK[0])
             if lang in automata:
-                counts[lang].update(map(value, automata[lang].iter(f" {b' '.join(tokens).decode()} ")))
+                counts[lang].update(map(value, automata[lang].iter(buffer.tobytes().decode())))
         rows = [(None, self.block.value[lang][0][i], k) for lang, own in counts.items() for i, k in own.items()]
         if self.first:
             rows += [(lang, None, k) for lang, k in words.items() if k]
@@ -252,46 +286,61 @@ class Scan:
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(number, pa.int64()), pa.array(k, pa.int64())], names=["lang", "id", "k"])
 
 
-def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, longest: int = 4, heavy_limit: int = 1 << 21, automaton_limit: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, longest: int = 4, heavy_limit: int = 1 << 21, automaton_limit: int = 1 << 19, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of every phrase of one to ``longest`` words that occurs at least ``min_count`` times in
-    its language, and (lang, n), the words of each language."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    its language, and (lang, n), the words of each language.  ``bits``: of a cell's number."""
+    sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), docs[text_col].alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(44, max(CHUNK_BITS, math.ceil(math.log2(max(size, 1) / 3 + 1))))
+    bits = bits or min(56, max(CHUNK_BITS, math.ceil(math.log2(max(size, 1))) + 3))
 
     def sketch(orders: tuple[int, ...], gate=None) -> DataFrame:
-        parts = texts.mapInArrow(Sketch(orders, bits, min_count, gate), "chunk long, cells binary, counts binary")
-        parts = parts.repartition("chunk").sortWithinPartitions("chunk")
-        return written(parts.mapInArrow(summed(min_count), "cell long"), "cells")
-
-    def held(cells: DataFrame):
-        return sc.broadcast(np.fromiter((r[0] for r in cells.toLocalIterator()), np.int64).astype(np.uint64))
+        partial = texts.mapInArrow(Sketch(orders, bits, gate), "chunk long, task int, cells binary, counts binary, more binary")
+        partial = partial.repartition("chunk").sortWithinPartitions("chunk")
+        return written(partial.mapInArrow(summed(min_count), "cell long, task int, total long"), "cells")
+
+    def held(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = cells.select("cell", "task").toArrow()
+        return found["cell"].to_numpy().astype(np.uint64), found["task"].to_numpy()
+
+    def named(cells: DataFrame, all_tasks: bool) -> DataFrame:
+        """The phrases of heavy cells, of which at most about ``heavy_limit`` are held at a time."""
+        slices, found = max(1, math.ceil(cells.count() / heavy_limit)), []
+        for i in range(slices):
+            part = sc.broadcast(held(cells.where(F.pmod(F.xxhash64("cell"), F.lit(slices)) == i)))
+            own = texts.mapInArrow(Candidates(bits, longest, part, gate, all_tasks), "lang string, phrase string, cell long").distinct()
+            found.append(written(own, "named"))  # each in a job of its own, in which tasks have the numbers of the sketch's
+        return reduce(DataFrame.unionByName, found)
+
+    def exact(found: DataFrame, words: bool) -> DataFrame:
+        """How often each phrase occurs, as (id, k), and each language's words, as (lang, k)."""
+        blocks, sums = max(1, math.ceil(found.count() / automaton_limit)), None
+        for i in range(blocks):
+            block = defaultdict(lambda: ([], []))  # of about automaton_limit phrases
+            for r in found.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toLocalIterator():
+                block[r["lang"]][0].append(r["id"])
+                block[r["lang"]][1].append(r["phrase"])
+            own = texts.mapInArrow(Scan(uuid.uuid4().hex, sc.broadcast(dict(block)), words and not i), "lang string, id long, k long")
+            sums = own if sums is None else sums.unionByName(own)
+        return written(sums.groupBy("lang", "id").agg(F.sum("k").alias("k")), "sums")
+
+    def numbered(found: DataFrame) -> DataFrame:
+        return written(found.withColumn("id", F.monotonically_increasing_id()), "candidates")
 
     short = sketch((1, 2))
-    gate = held(short) if short.count() <= heavy_limit else None
-    heavy = short.unionByName(sketch(tuple(range(3, longest + 1)), gate)).distinct() if longest > 2 else short
-    heavy = written(heavy.withColumn("deal", F.xxhash64("cell")), "heavy")
-    slices = max(1, math.ceil(heavy.count() / heavy_limit))
-    found = None
-    for i in range(slices):  # a slice of at most about heavy_limit cells, 16 MB
-        part = held(heavy.where(F.pmod("deal", F.lit(slices)) == i).select("cell"))
-        own = texts.mapInArrow(Candidates(bits, longest, part, gate), "lang string, phrase string")
-        found = own if found is None else found.unionByName(own)
-    found = written(found.distinct().withColumn("id", F.monotonically_increasing_id()), "candidates")
-    blocks = max(1, math.ceil(found.count() / automaton_limit))
-    sums = None
-    for i in range(blocks):
-        block = defaultdict(lambda: ([], []))  # of about automaton_limit phrases
-        for r in found.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toLocalIterator():
-            block[r["lang"]][0].append(r["id"])
-            block[r["lang"]][1].append(r["phrase"])
-        own = texts.mapInArrow(Scan(uuid.uuid4().hex, sc.broadcast(dict(block)), not i), "lang string, id long, k long")
-        sums = own if sums is None else sums.unionByName(own)
-    sums = written(sums.groupBy("lang", "id").agg(F.sum("k").alias("k")), "sums")
-    exact = sums.where((F.col("k") >= min_count) & F.col("id").isNotNull()).select("id", F.col("k").alias("f"))
-    exact = found.join(exact, "id").select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f")
-    return written(exact, "phrases"), sums.where("id IS NULL").select("lang", F.col("k").alias("n"))
+    gate = sc.broadcast(held(short)[0]) if short.count() <= heavy_limit else None
+    heavy = short.unionByName(sketch(tuple(range(3, longest + 1)), gate)) if longest > 2 else short
+    found = numbered(named(heavy, False))
+    sums = exact(found, True)
+    counts = found.join(sums.where("id IS NOT NULL").select("id", "k"), "id").drop("id")
+    known = counts.groupBy("cell").agg(F.sum("k").alias("known"))
+    open_ = heavy.join(known, "cell", "left").where(F.col("total") - F.coalesce("known", F.lit(0)) >= min_count)
+    open_ = written(open_.select("cell", "task"), "open")
+    if open_.limit(1).count():
+        more = numbered(named(open_, True).join(found.select("lang", "phrase"), ["lang", "phrase"], "left_anti"))
+        counts = counts.unionByName(more.join(exact(more, False).select("id", "k"), "id").select(*counts.columns))
+    own = counts.where(F.col("k") >= min_count).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), F.col("k").alias("f"))
+    return written(own, "phrases"), sums.where("id IS NULL").select("lang", F.col("k").alias("n"))
 
 
 def mine(docs: DataFrame, *, min_score_unit: int = 2_000_000, inside_percent: int = 80, top: int = 2000, **options) -> DataFrame:

@@ -59,7 +59,7 @@ def plain_collocations(rows, least, top=2000, percent=80, longest=4):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"heavy_limit": 300, "automaton_limit": 200}])
+@pytest.mark.parametrize("options", [{}, {"heavy_limit": 300, "automaton_limit": 200}, {"bits": 12}, {"bits": 9, "heavy_limit": 1 << 30}])
 def test_collocations(docs, empty, options):
     found = collocations.mine(docs, min_count=5, top=150, **options)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -86,17 +86,35 @@ def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
 
 def test_sketch_bounds_are_never_too_low():
     rng = random.Random(3)
-    tokens = [rng.choice([b"a", b"b", b"c", b"."]) for _ in range(3000)]
-    for bits in (16, 30):
-        hasher = collocations.Hasher(bits)
-        for n, at, h in hasher.phrases("en", tokens, 4):
+    text = b"".join(rng.choice([b"A ", b"b\t ", "\u00e9\u00c9 ".encode(), b"x\x00 ", b". ", b";"]) for _ in range(3000))
+    buffer = collocations.prepared([text, b"", b"a b"])
+    tokens = buffer.tobytes().split(b" ")[1:-1]
+    words = collocations.words_of(buffer)
+    assert [buffer[s:e].tobytes() for s, e in zip(words.start, words.end)] == tokens
+    for bits in (20, 40):
+        for n, at, h in collocations.phrases(words, "en", 4):
             plain = Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1) if b"." not in tokens[i : i + n])
-            cells = Counter(hasher.cells(h).tolist())
+            own = collocations.cells_of(h, n, bits).tolist()
+            cells = Counter(own)
             assert len(at) == sum(plain.values())
-            for i, c in zip(at.tolist(), hasher.cells(h).tolist()):
+            for i, c in zip(at.tolist(), own):
                 assert cells[c] >= plain[tuple(tokens[i : i + n])]
 
 
+def test_parts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(collocations, "PART", 20)
+    text = b"one two three. four five; six seven eight nine ten eleven twelve, thirteen. x"
+    buffer = collocations.prepared([text])
+    found = Counter()
+    for part in collocations.parts(buffer):
+        assert part[0] == part[-1] == 32
+        words = collocations.words_of(part)
+        for n, _, h in collocations.phrases(words, "en", 3):
+            found.update((n, c) for c in h.tolist())
+    whole = Counter((n, c) for n, _, h in collocations.phrases(collocations.words_of(buffer), "en", 3) for c in h.tolist())
+    assert found == whole
+
+
 # -- 12 ----------------------------------------------------------------------------------------------------------------
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
