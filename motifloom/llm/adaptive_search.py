@@ -45,7 +45,8 @@ def rotation(n: int, seed: int = 17) -> np.ndarray:
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of a from all of b."""
-    return (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        return (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -128,7 +129,8 @@ class Scan:
         return rows["num"].to_numpy(), rows["least"].to_numpy(zero_copy_only=False), x, self.blocks(x)
 
     def blocks(self, x: np.ndarray) -> list[np.ndarray]:
-        r = (x @ rotation(x.shape[1])).astype(np.float32)
+        with np.errstate(over="ignore"):
+            r = (x @ rotation(x.shape[1])).astype(np.float32)
         return [np.ascontiguousarray(r[:, i : i + COLUMNS]) for i in range(0, r.shape[1], COLUMNS)]
 
     def ask(self, queries: pa.RecordBatch, nums: np.ndarray, least: np.ndarray, x: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +161,14 @@ class Scan:
             yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(nums[j]), pa.array(least[j], from_pandas=True).cast(pa.int64()), pa.array(d)], names=["asked", "num", "least", "d"])
 
     def passing(self, q: list[np.ndarray], x: list[np.ndarray], bound: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, candidate) that no test abandons."""
+        """Pairs (query, candidate) that no test abandons, nor finds too large for a double."""
         partial = np.maximum(squared(q[0].astype(float), x[0].astype(float)), 0)
-        i, j = np.nonzero(partial <= self.limit(bound, COLUMNS, n)[:, None])
+        i, j = np.nonzero(~(partial > self.limit(bound, COLUMNS, n)[:, None]))
         partial = partial[i, j]
         for b in range(1, len(q)):
-            partial = partial + ((q[b][i] - x[b][j]) ** 2).sum(1)
-            passed = partial <= self.limit(bound, (b + 1) * COLUMNS, n)[i]
+            with np.errstate(over="ignore", invalid="ignore"):
+                partial = partial + ((q[b][i] - x[b][j]) ** 2).sum(1)
+            passed = ~(partial > self.limit(bound, (b + 1) * COLUMNS, n)[i])
             i, j, partial = i[passed], j[passed], partial[passed]
         return i, j
 
@@ -178,8 +181,16 @@ class Scan:
 
 
 def measure(differences: np.ndarray) -> np.ndarray:
-    """Euclidean lengths, summed in the order of components."""
-    return np.sqrt(np.cumsum(differences**2, 1)[:, -1]) if len(differences) else np.empty(0)
+    """Euclidean lengths, summed in the order of components; those whose squares leave the range of doubles are scaled."""
+    if not len(differences):
+        return np.empty(0)
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt(np.cumsum(differences**2, 1)[:, -1])
+    odd = np.flatnonzero((out == 0) | np.isinf(out))
+    top = np.abs(differences[odd]).max(1, keepdims=True)
+    some = top[:, 0] > 0
+    out[odd[some]] = top[some, 0] * np.sqrt(np.cumsum((differences[odd[some]] / top[some]) ** 2, 1)[:, -1])
+    return out
 
 
 def search(vectors: DataFrame, *, every: int = 100, neighbours: int = 10, target: float = 0.97, tolerance: float = 2.5, sample: int = 20_000, fitted: int = 8, max_lists: int = 1 << 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -266,7 +277,7 @@ def search(vectors: DataFrame, *, every: int = 100, neighbours: int = 10, target
     short = written(short, "short")
     if short.limit(1).count():
         again = scanned(short.join(sizes.select("n", "list"), "n").withColumn("bound", F.lit(None).cast("double")))
-        best = best_of(best.join(short, F.col("asked") == F.col("num"), "left_anti").unionByName(again), "all")
+        best = best_of(best.join(short.select(F.col("num").alias("asked")), "asked", "left_anti").unionByName(again), "all")
 
     # a class as a query: the ids of its own others and of those found, nearest first
     near = best.join(classes.select("num", "ids"), "num").groupBy("asked").agg(F.collect_list(F.struct("d", "ids")).alias("found"))

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from motifloom.llm.shared import written
 
-SHARD = 8192
-ITEMS = 1 << 17  # roots of ranges that advance together
+SHARD = 4096
+ITEMS = 1 << 16  # roots of ranges that advance together
 NULL_ID = np.iinfo(np.int64).max
 SLICE = 256
 
