@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions.sequence import pieces, reverse_complement
-from motifloom.operators.ordered import numbered, running
+from motifloom.operators.ordered import few, numbered, running
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4, names: list[str] | None = None) -> DataFrame:
@@ -55,10 +55,15 @@ def average_ranks(df: DataFrame, value: str, keys: list[str], name: str) -> Data
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """The correlation of ranks.  Rows meet their ranks as counts of equal pairs."""
+    """The correlation of ranks.  Rows meet their ranks as counts of equal pairs; where these are few, all ranks are
+    taken beside each other, after one shuffle by keys."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double").alias("_va"), F.col(b).cast("double").alias("_vb"))
     pairs = rows.groupBy(*keys, "_va", "_vb").agg(F.count("*").cast("double").alias("_n"))
     for value, name in (("_va", "_a"), ("_vb", "_b")):
+        if few(df):
+            group = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
+            pairs = pairs.withColumn(name, F.sum("_n").over(group.rangeBetween(Window.unboundedPreceding, 0)) - (F.sum("_n").over(group.rangeBetween(0, 0)) - 1) / 2)
+            continue
         ranks = average_ranks(rows, value, keys, name).select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col(value).alias("_r"), name)
         pairs = pairs.join(ranks, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(value) == F.col("_r")]).drop("_r", *(f"_r_{k}" for k in keys))
     n, sa, sb = F.sum("_n"), F.sum(F.col("_n") * F.col("_a")), F.sum(F.col("_n") * F.col("_b"))

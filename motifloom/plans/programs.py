@@ -133,7 +133,7 @@ def matrix_of_regions(regions: DataFrame, tracks: dict[str, DataFrame]) -> DataF
 
 def rank_curve(df: DataFrame, order: list[str], cuts: list[int], a: str, b: str) -> DataFrame:
     """Rank correlation of the first rows of an order, for several numbers of rows."""
-    rows = numbered(df, [], order).withColumn("cut", F.explode(F.array(*map(F.lit, cuts)))).where(F.col("row_upto") <= F.col("cut"))
+    rows = numbered(df.orderBy(*order).limit(max(cuts)), [], order).withColumn("cut", F.explode(F.array(*map(F.lit, cuts)))).where(F.col("row_upto") <= F.col("cut"))
     return stats.spearman(rows, ["cut"], a, b)
 
 
