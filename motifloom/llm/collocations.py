@@ -1,8 +1,8 @@
 """Phrase collocations of each language, from sketch bounds and automata.
 
-Candidates come from a sketch: every phrase of one to ``longest`` words is hashed to a cell, and a cell's sum bounds the
-count of all its phrases from above.  The sketch is a table of partial cells that executors sum, so its width follows
-the text: some cells for each phrase.  Phrases of three words and more enter it only where all their pairs of words lie
+Single words are counted as they are.  Candidates come from a sketch: every phrase of two to ``longest`` words is hashed
+to a cell, and a cell's sum bounds the count of all its phrases from above.  The sketch is a table of partial cells that
+executors sum, so its width follows the text: some cells for each phrase.  Phrases of three words and more enter it only where all their pairs of words lie
 in cells that reach ``min_count``.  For each cell that reaches it one task that met the cell names the phrases of the
 cell in its texts; these are the candidates.  They are compiled into Aho-Corasick automata, with a space before and
 after each phrase and a border mark between pieces, so that matches are of whole words within a piece.  Tasks scan their
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from motifloom.llm.shared import written
 
-CHUNK_BITS = 20  # cells of a chunk, the unit in which partial sketches are summed
+CHUNKS = 11  # bits of a chunk's number, at least; partial sketches are summed by chunks
+CHUNK = 1 << 22  # cells that occur in a chunk, about, where these are more
 FLUSH = 1 << 22  # phrases that a task holds before it sends their cells
 SLICE = 256  # documents read at a time
 PART = 1 << 20  # bytes hashed at a time, but for longer pieces
@@ -152,8 +153,8 @@ def paired(n: int, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
 class Sketch:
     """Partial sketches: the cells of a task's phrases and how often each occurs."""
 
-    def __init__(self, orders: tuple[int, ...], bits: int, gate=None) -> None:
-        self.orders, self.bits, self.gate = orders, bits, gate
+    def __init__(self, orders: tuple[int, ...], bits: int, chunk_bits: int, gate=None) -> None:
+        self.orders, self.bits, self.chunk_bits, self.gate = orders, bits, chunk_bits, gate
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -176,9 +177,9 @@ class Sketch:
 
     def partial(self, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cells, count = np.unique(np.concatenate(held), return_counts=True)
-        chunk = (cells >> np.uint64(CHUNK_BITS)).astype(np.int64)
+        chunk = (cells >> np.uint64(self.chunk_bits)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
-        low, ends = (cells & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.uint32), np.append(start[1:], len(cells))
+        low, ends = (cells & np.uint64((1 << self.chunk_bits) - 1)).astype(np.uint32), np.append(start[1:], len(cells))
         small, task = np.minimum(count, 255).astype(np.uint8), TaskContext.get().partitionId() if TaskContext.get() else 0
         many, more = count >= 255, count[count >= 255].astype(np.uint32)  # a byte for most counts
         before = np.append(0, np.cumsum(many))
@@ -188,34 +189,75 @@ class Sketch:
             yield pa.RecordBatch.from_arrays([pa.array(chunk[start[i : i + 4096]]), pa.array([task] * len(own), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["chunk", "task", "cells", "counts", "more"])
 
 
-def summed(enough: int):
-    """Sums the partial chunks, which come sorted, and returns the cells that reach ``enough``, their sums and the first
+def summed(enough: int, chunk_bits: int):
+    """Sums the partial chunks, which come sorted, and returns the cells that reach ``enough``, their sums and the least
     task of each."""
 
-    def heavy(chunk: int, total: np.ndarray, task: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(total >= enough)
-        return pa.RecordBatch.from_arrays([pa.array(at + (chunk << CHUNK_BITS)), pa.array(task[at]), pa.array(total[at])], names=["cell", "task", "total"])
+    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        cells, task, count = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        start = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+        return cells[start], np.minimum.reduceat(task[order], start), np.add.reduceat(count[order], start)
+
+    def heavy(chunk: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        cells, task, total = merged(held)
+        at = total >= enough
+        return pa.RecordBatch.from_arrays([pa.array(cells[at].astype(np.int64) + (chunk << chunk_bits)), pa.array(task[at]), pa.array(total[at])], names=["cell", "task", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total, first = None, np.zeros(1 << CHUNK_BITS, np.int64), np.zeros(1 << CHUNK_BITS, np.int32)
+        at, held, size = None, [], 0
         for batch in batches:
             for chunk, task, cells, counts, more in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if chunk != at:
-                    if at is not None:
-                        yield heavy(at, total, first)
-                    at = chunk
-                    total[:] = 0
+                    if held:
+                        yield heavy(at, held)
+                    at, held, size = chunk, [], 0
                 own, count = np.frombuffer(cells, np.uint32), np.frombuffer(counts, np.uint8).astype(np.int64)
                 count[count == 255] = np.frombuffer(more, np.uint32)
-                new = own[total[own] == 0]
-                first[new] = task
-                total[own] += count
-        if at is not None:
-            yield heavy(at, total, first)
+                held.append((own, np.full(len(own), task, np.int32), count))
+                size += len(own)
+                if size > 2 * CHUNK:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+        if held:
+            yield heavy(at, held)
 
     return run
 
 
+def single_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each language and how often a task meets them."""
+    names: dict[str, dict[int, bytes]] = defaultdict(dict)
+    codes: dict[str, list[np.ndarray]] = defaultdict(list)
+    counts: dict[str, list[np.ndarray]] = defaultdict(list)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for lang, known in names.items():
+            code, at = np.unique(np.concatenate(codes[lang]), return_inverse=True)
+            total = np.bincount(at, np.concatenate(counts[lang])).astype(np.int64)
+            for i in range(0, len(code), 1 << 16):
+                own = [known[c] for c in code[i : i + (1 << 16)].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.binary()).cast(pa.string()), pa.array(total[i : i + (1 << 16)])], names=["lang", "phrase", "k"])
+        for held in (names, codes, counts):
+            held.clear()
+
+    for lang, buffer in by_lang(batches):
+        for part in parts(buffer):
+            words, text, known = words_of(part), part.tobytes(), names[lang]
+            at = np.flatnonzero(words.inside)
+            code, first, count = np.unique(words.code[at], return_index=True, return_counts=True)
+            first = at[first]
+            for c, s, e in zip(code.tolist(), words.start[first].tolist(), words.end[first].tolist()):
+                if c not in known:
+                    known[c] = text[s:e]
+            codes[lang].append(code)
+            counts[lang].append(count)
+        if sum(map(len, names.values())) > 1 << 20 or sum(len(x) for own in codes.values() for x in own) > FLUSH:
+            yield from done()
+    yield from done()
+
+
 class Candidates:
     """The phrases in a slice of the heavy cells, each named by the cell's task, or by all."""
 
@@ -254,10 +296,10 @@ _compiled: dict[str, dict] = {}
 
 
 class Scan:
-    """Counts the matches of a block of phrases, and once all words."""
+    """Counts the matches of a block of phrases."""
 
-    def __init__(self, name: str, block, first: bool) -> None:
-        self.name, self.block, self.first = name, block, first
+    def __init__(self, name: str, block) -> None:
+        self.name, self.block = name, block
 
     def automata(self) -> dict:
         if self.name not in _compiled:
@@ -272,18 +314,15 @@ class Scan:
         return _compiled[self.name]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, counts, words = self.automata(), defaultdict(Counter), Counter()
+        automata, counts = self.automata(), defaultdict(Counter)
         value = itemgetter(1)
         for lang, buffer in by_lang(batches):
-            words[lang] += np.count_nonzero(buffer == _SPACE) - 1 - np.count_nonzero(buffer == _MARK[0])
             if lang in automata:
                 counts[lang].update(map(value, automata[lang].iter(buffer.tobytes().decode())))
-        rows = [(None, self.block.value[lang][0][i], k) for lang, own in counts.items() for i, k in own.items()]
-        if self.first:
-            rows += [(lang, None, k) for lang, k in words.items() if k]
+        rows = [(self.block.value[lang][0][i], k) for lang, own in counts.items() for i, k in own.items()]
         for at in range(0, len(rows), 1 << 16):
-            lang, number, k = zip(*rows[at : at + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(number, pa.int64()), pa.array(k, pa.int64())], names=["lang", "id", "k"])
+            number, k = zip(*rows[at : at + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(k, pa.int64())], names=["id", "k"])
 
 
 def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, longest: int = 4, heavy_limit: int = 1 << 21, automaton_limit: int = 1 << 19, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -292,12 +331,13 @@ def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), docs[text_col].alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bits or min(56, max(CHUNK_BITS, math.ceil(math.log2(max(size, 1))) + 3))
+    bits = bits or min(50, max(20, math.ceil(math.log2(max(size, 1))) + 3))
+    chunk_bits = min(32, max(0, bits + 1 - max(CHUNKS, math.ceil(math.log2(max(size, 1) / CHUNK + 1)))))
 
     def sketch(orders: tuple[int, ...], gate=None) -> DataFrame:
-        partial = texts.mapInArrow(Sketch(orders, bits, gate), "chunk long, task int, cells binary, counts binary, more binary")
+        partial = texts.mapInArrow(Sketch(orders, bits, chunk_bits, gate), "chunk long, task int, cells binary, counts binary, more binary")
         partial = partial.repartition("chunk").sortWithinPartitions("chunk")
-        return written(partial.mapInArrow(summed(min_count), "cell long, task int, total long"), "cells")
+        return written(partial.mapInArrow(summed(min_count, chunk_bits), "cell long, task int, total long"), "cells")
 
     def held(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         found = cells.select("cell", "task").toArrow()
@@ -312,35 +352,33 @@ def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             found.append(written(own, "named"))  # each in a job of its own, in which tasks have the numbers of the sketch's
         return reduce(DataFrame.unionByName, found)
 
-    def exact(found: DataFrame, words: bool) -> DataFrame:
-        """How often each phrase occurs, as (id, k), and each language's words, as (lang, k)."""
+    def exact(found: DataFrame) -> DataFrame:
+        """How often each phrase occurs."""
+        found = written(found.withColumn("id", F.monotonically_increasing_id()), "candidates")
         blocks, sums = max(1, math.ceil(found.count() / automaton_limit)), None
         for i in range(blocks):
             block = defaultdict(lambda: ([], []))  # of about automaton_limit phrases
             for r in found.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toLocalIterator():
                 block[r["lang"]][0].append(r["id"])
                 block[r["lang"]][1].append(r["phrase"])
-            own = texts.mapInArrow(Scan(uuid.uuid4().hex, sc.broadcast(dict(block)), words and not i), "lang string, id long, k long")
+            own = texts.mapInArrow(Scan(uuid.uuid4().hex, sc.broadcast(dict(block))), "id long, k long")
             sums = own if sums is None else sums.unionByName(own)
-        return written(sums.groupBy("lang", "id").agg(F.sum("k").alias("k")), "sums")
-
-    def numbered(found: DataFrame) -> DataFrame:
-        return written(found.withColumn("id", F.monotonically_increasing_id()), "candidates")
+        return written(found.join(sums.groupBy("id").agg(F.sum("k").alias("k")), "id").drop("id"), "counts")
 
-    short = sketch((1, 2))
+    words = written(texts.mapInArrow(single_words, "lang string, phrase string, k long").groupBy("lang", "phrase").agg(F.sum("k").alias("k")), "words")
+    short = sketch((2,))
     gate = sc.broadcast(held(short)[0]) if short.count() <= heavy_limit else None
     heavy = short.unionByName(sketch(tuple(range(3, longest + 1)), gate)) if longest > 2 else short
-    found = numbered(named(heavy, False))
-    sums = exact(found, True)
-    counts = found.join(sums.where("id IS NOT NULL").select("id", "k"), "id").drop("id")
+    found = named(heavy, False)
+    counts = exact(found)
     known = counts.groupBy("cell").agg(F.sum("k").alias("known"))
     open_ = heavy.join(known, "cell", "left").where(F.col("total") - F.coalesce("known", F.lit(0)) >= min_count)
     open_ = written(open_.select("cell", "task"), "open")
     if open_.limit(1).count():
-        more = numbered(named(open_, True).join(found.select("lang", "phrase"), ["lang", "phrase"], "left_anti"))
-        counts = counts.unionByName(more.join(exact(more, False).select("id", "k"), "id").select(*counts.columns))
+        counts = counts.unionByName(exact(named(open_, True).join(found.select("lang", "phrase"), ["lang", "phrase"], "left_anti")).select(*counts.columns))
+    counts = words.unionByName(counts.drop("cell"))
     own = counts.where(F.col("k") >= min_count).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), F.col("k").alias("f"))
-    return written(own, "phrases"), sums.where("id IS NULL").select("lang", F.col("k").alias("n"))
+    return written(own, "phrases"), words.groupBy("lang").agg(F.sum("k").alias("n"))
 
 
 def mine(docs: DataFrame, *, min_score_unit: int = 2_000_000, inside_percent: int = 80, top: int = 2000, **options) -> DataFrame:
