@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -273,6 +273,8 @@ class Candidates:
                 words, found, own = words_of(part), [], []
                 text, pairs = part.tobytes(), np.zeros(len(words.code) + 1, np.uint64)
                 for n, at, h in phrases(words, lang, self.longest):
+                    if n == 1:
+                        continue
                     cell = cells_of(h, n, self.bits)
                     if n == 2:
                         pairs[at] = cell
@@ -295,8 +297,11 @@ class Candidates:
 _compiled: dict[str, dict] = {}
 
 
+COUNTS = 1 << 14  # counts of phrases in a row of partial ones
+
+
 class Scan:
-    """Counts the matches of a block of phrases."""
+    """Counts the matches of a block of phrases: of each task an array of counts, in pieces."""
 
     def __init__(self, name: str, block) -> None:
         self.name, self.block = name, block
@@ -305,24 +310,45 @@ class Scan:
         if self.name not in _compiled:
             _compiled.clear()
             built = {}
-            for lang, (_, phrases) in self.block.value.items():
+            for lang, (_, phrases) in self.block.value[1].items():
                 automaton = built[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                for i, phrase in enumerate(phrases):  # its integers have 32 bits, ids more
+                for i, phrase in enumerate(phrases):
                     automaton.add_word(f" {phrase} ", i)
                 automaton.make_automaton()
             _compiled[self.name] = built
         return _compiled[self.name]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, counts = self.automata(), defaultdict(Counter)
-        value = itemgetter(1)
+        automata, (ids, phrases) = self.automata(), self.block.value
+        counts, value = np.zeros(len(ids), np.int64), itemgetter(1)
         for lang, buffer in by_lang(batches):
             if lang in automata:
-                counts[lang].update(map(value, automata[lang].iter(buffer.tobytes().decode())))
-        rows = [(self.block.value[lang][0][i], k) for lang, own in counts.items() for i, k in own.items()]
-        for at in range(0, len(rows), 1 << 16):
-            number, k = zip(*rows[at : at + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(k, pa.int64())], names=["id", "k"])
+                first, own = phrases[lang]
+                found = np.fromiter(map(value, automata[lang].iter(buffer.tobytes().decode())), np.int32)
+                counts[first : first + len(own)] += np.bincount(found, minlength=len(own))
+        for at in range(0, len(counts), COUNTS):
+            part = counts[at : at + COUNTS]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "counts"])
+
+    def total(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums the pieces, which come sorted by place."""
+        ids = self.block.value[0]
+
+        def known(at: int, counts: np.ndarray) -> pa.RecordBatch:
+            own = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(ids[at + own]), pa.array(counts[own])], names=["id", "k"])
+
+        place, sums = None, np.zeros(0, np.int64)
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at != place:
+                    if place is not None:
+                        yield known(place, sums)
+                    place, sums = at, np.zeros(len(counts) // 8, np.int64)
+                sums += np.frombuffer(counts, np.int64)
+        if place is not None:
+            yield known(place, sums)
 
 
 def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, longest: int = 4, heavy_limit: int = 1 << 21, automaton_limit: int = 1 << 19, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -357,13 +383,18 @@ def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
         found = written(found.withColumn("id", F.monotonically_increasing_id()), "candidates")
         blocks, sums = max(1, math.ceil(found.count() / automaton_limit)), None
         for i in range(blocks):
-            block = defaultdict(lambda: ([], []))  # of about automaton_limit phrases
+            block, ids = defaultdict(list), []  # of about automaton_limit phrases
             for r in found.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toLocalIterator():
-                block[r["lang"]][0].append(r["id"])
-                block[r["lang"]][1].append(r["phrase"])
-            own = texts.mapInArrow(Scan(uuid.uuid4().hex, sc.broadcast(dict(block))), "id long, k long")
+                block[r["lang"]].append((r["id"], r["phrase"]))
+            phrases = {}
+            for lang, rows in block.items():
+                phrases[lang] = (len(ids), [p for _, p in rows])
+                ids += [k for k, _ in rows]
+            scan = Scan(uuid.uuid4().hex, sc.broadcast((np.array(ids, np.int64), phrases)))
+            pieces = texts.mapInArrow(scan, "at long, counts binary").repartition("at").sortWithinPartitions("at")
+            own = pieces.mapInArrow(scan.total, "id long, k long")
             sums = own if sums is None else sums.unionByName(own)
-        return written(found.join(sums.groupBy("id").agg(F.sum("k").alias("k")), "id").drop("id"), "counts")
+        return written(found.join(sums, "id").drop("id"), "counts")
 
     words = written(texts.mapInArrow(single_words, "lang string, phrase string, k long").groupBy("lang", "phrase").agg(F.sum("k").alias("k")), "words")
     short = sketch((2,))
