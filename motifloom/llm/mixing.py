@@ -6,10 +6,11 @@ target t has sent t tokens at time 1.  The sent documents of all sources, sorted
 total budget is spent.  A document that would start after its source has reached its target is not sent; so a source
 takes its target to within one document.
 
-Null sources are a source of their own, after all others; null texts have size 0 and are never taken.  Identical rows
-stand next to each other in the shuffled order and are counted one by one; which of them is taken once more is open,
-the rows returned are the same.  Rows of one id and size are ordered by a hash of their texts, equal finish times by the
-source's number.  Very long texts are documents like others: a source takes its target to within one.  An empty table
+Null sources are a source of their own, after all others; null texts have size 0 and are never taken.  The shuffled
+order is that of hashes of ids and texts, null ones included, so null and repeated ids are spread over it.  Rows equal in
+both stand next to each other and are counted one by one; which of them is taken once more is open, the rows returned are
+the same.  Where there are more than a slice of such rows they have hashes by number and are spread as well.  Equal
+finish times are ordered by the source's number.  Very long texts are documents like others: a source takes its target to within one.  An empty table
 gives no rows.  Other columns are carried along, whatever their names.
 """
 
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifloom.llm.shared import checkpoint
+from motifloom.llm.shared import checkpoint, told_apart
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source's order that one task is to sum up.
@@ -73,9 +74,10 @@ def mix(docs: DataFrame, weights: dict | None = None, *, seed: int = 17, max_epo
 
     ``with_row``: the row itself is the struct ``row``; otherwise only its id is returned."""
     carried = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if with_row else [docs[id_col]]
-    sized = docs.select(*carried, docs[source_col].alias("source"), words(docs[text_col]).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit("-")))).alias("draw"), F.xxhash64(docs[text_col]).alias("tie"))
+    sized = docs.select(*carried, docs[source_col].alias("source"), words(docs[text_col]).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.coalesce(F.md5(docs[text_col].cast("binary")), F.lit("-")))).alias("draw"))
     if not with_row:
         sized = checkpoint(sized)  # narrow; the texts are read and counted once
+    sized = told_apart(sized, "draw", ROWS_PER_SLICE)
     slim = sized.select("source", "size", "draw")
     sources = slim.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     placed, total = targets(sources, weights, max_epochs=max_epochs)
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, weights: dict | None = None, *, seed: int = 17, max_epo
     rows = sized.join(hinted, sized.source.eqNullSafe(placed.source)).drop(placed.source).withColumn("slice", slice_)
     by_slice = rows.groupBy("place", "slice").agg(F.sum("size").alias("slice_size"))
     earlier = sums_before(by_slice)
-    order = Window.partitionBy("place", "slice").orderBy("draw", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("place", "slice").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0)
     upto = rows.withColumn("within", F.sum("size").over(order)).join(earlier, ["place", "slice"]).withColumn("upto", F.col("earlier") + F.col("within"))
     upto = upto.select(*(["row"] if with_row else [id_col]), "place", "size", "source_size", "target", "upto")
     if not with_row:

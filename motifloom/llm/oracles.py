@@ -45,7 +45,7 @@ SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.r) AS n_links, least(v.
 """
 
 OP6 = rf"""
-WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5('17:' || coalesce(doc_id::VARCHAR, '-')) AS draw FROM documents),
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5('17:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(md5(text), '-')) AS draw FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM docs GROUP BY source),
 weighed AS (SELECT *, place % 3 + 1 AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM sources),
 levels AS (SELECT *, (total - coalesce(sum(cap) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level FROM weighed WINDOW before AS (ORDER BY cap / weight::DOUBLE, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

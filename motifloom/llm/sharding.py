@@ -8,7 +8,8 @@ are ever listed.  After the last round rows take the labels of their group in or
 ones, leave shards that are too full; the counts of the shards end at most one apart (law ``rows``).
 
 Null texts are linked with nothing and have no bytes; empty texts are equal texts.  Identical rows are linked rows and
-take different slots, in any order; an empty table gives no rows.  Shards that hold equally many rows of a group are
+take different slots, in any order; more of them than a slice holds are told apart by numbers first, as are rows without
+id and text.  An empty table gives no rows.  Shards that hold equally many rows of a group are
 told apart by a hash.  Very long texts are rows like others: counts are balanced, not bytes.  Other columns are not read,
 whatever their names.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifloom.llm.shared import checkpoint
+from motifloom.llm.shared import checkpoint, told_apart
 
 #: Rows that one task is to number.
 ROWS_PER_SLICE = 20_000
@@ -76,10 +77,12 @@ def shard(docs: DataFrame, n_shards: int = 40, *, max_rounds: int = 16, seed: in
         docs[id_col],
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(group, F.concat(F.lit("null:"), row)).alias("group"),
+        group.alias("text"),
         row.alias("row"),
     )
-    rows = checkpoint(rows.withColumn("start", F.floor(_unit(F.col("row")) * n_shards).cast("int")))
+    rows = told_apart(checkpoint(rows), "row", ROWS_PER_SLICE)
+    rows = rows.withColumn("group", F.coalesce("text", F.concat(F.lit("null:"), F.col("row")))).drop("text")
+    rows = rows.withColumn("start", F.floor(_unit(F.col("row")) * n_shards).cast("int"))
     total = rows.count()
     cap = -(-total // n_shards)
     by_start = rows.where("group not like 'null:%'").groupBy("group", F.col("start").alias("shard")).agg(F.count("*").alias("n"))
