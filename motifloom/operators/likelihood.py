@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions.physics import RT, root
@@ -160,6 +160,18 @@ class Objective:
         run = Pass(np.stack([m.ddg for m in models]), np.array([m.reference for m in models]), self.potentials, self.soft, gradient)
         return self.rows.mapInArrow(run, "m int, r int, b int, cell int, x double").groupBy("m", "r", "b", "cell").agg(F.sum("x").alias("x"))
 
+    def terms(self, models: list[Model]) -> DataFrame:
+        """(m, round, n, numerator, denominator) of each model's number and round, of which the likelihood is the sum of
+        numerator - n * denominator."""
+        sums = self.sums(models, False)
+        value, count = (F.sum(F.when(F.col("cell") == c, F.col("x"))) for c in (VALUE, COUNT))
+        own = sums.where("r >= 0").groupBy("m", F.col("r").alias("round")).agg(count.alias("n"), value.alias("numerator"))
+        parts = sums.where("r < 0").groupBy("m", (-1 - F.col("r")).alias("round"), "b").agg(count.alias("count"), value.alias("part"))
+        top = F.max("b").over(Window.partitionBy("m", "round"))  # of a few buckets
+        parts = parts.withColumn("top", top).withColumn("part", F.col("part") * F.exp((F.col("b") - F.col("top")) * BUCKET))
+        back = parts.groupBy("m", "round").agg((F.ln(F.sum("part")) + F.max("top") * BUCKET + self.length * math.log(4) - F.ln(F.sum("count"))).alias("denominator"))
+        return own.join(back, ["m", "round"])
+
     def evaluate(self, models: list[Model], gradient: bool = True) -> list[tuple[float, np.ndarray | None]]:
         """The log-likelihood of each model and its gradient by the matrix, in one job."""
         found = self.sums(models, gradient).collect()  # rounds x matrices x cells

@@ -5,7 +5,7 @@ Sequences stay in Spark; the driver holds matrices of a motif's size.  Each roun
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions.physics import RT, root
@@ -144,5 +144,10 @@ def embed(n: int, length: int, motif: str, spark, *, central: bool = False, seed
     """Random sequences with a motif at a uniform place, or in the middle."""
     room = length - len(motif)
     at = F.lit(room // 2) if central else F.pmod(F.xxhash64("seq_id", F.lit(seed + 7)), F.lit(room + 1)).cast("int")
-    base = pool(spark, n, length, seed).withColumn("at", at)
-    return base.select("seq_id", "at", F.concat(F.substr("seq", F.lit(1), F.col("at")), F.lit(motif), F.substr("seq", F.col("at") + len(motif) + 1, F.lit(length))).alias("seq"))
+    return embedded(pool(spark, n, length, seed), motif, at)
+
+
+def embedded(seqs: DataFrame, motif: str, at: Column) -> DataFrame:
+    """Sequences with a motif in place of what is there."""
+    base = seqs.withColumn("at", at)
+    return base.select("seq_id", "at", F.concat(F.substr("seq", F.lit(1), F.col("at")), F.lit(motif), F.substr("seq", F.col("at") + len(motif) + 1, F.length("seq"))).alias("seq"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motifloom.functions import physics, sequence
 from motifloom.operators import catalog, coverage, intervals, labels, metrics, models, motif, sampling, selex, stats
-from motifloom.plans import programs, sequence_queries, table_queries, views  # noqa: F401 (these two enter their queries)
+from motifloom.plans import fit_queries, programs, sequence_queries, table_queries, views  # noqa: F401 (these enter their queries)
 from motifloom.plans.registry import in_text, oracle_sql, queries, query, rounded  # noqa: F401
 from motifloom.plans.views import sql, table
 
@@ -286,9 +286,10 @@ def word_indices(s, d):
     return views.sequences(s, d).select(F.explode(sequence.word_index(F.col("seq"), 3)).alias("word")).withColumn("word", F.col("word").cast("long")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("SELECT substr('ACGT', CAST(i // 64 % 4 AS INTEGER) + 1, 1) || substr('ACGT', CAST(i // 16 % 4 AS INTEGER) + 1, 1) || substr('ACGT', CAST(i // 4 % 4 AS INTEGER) + 1, 1) || substr('ACGT', CAST(i % 4 AS INTEGER) + 1, 1) AS word FROM (SELECT unnest(range(256)) AS i)")
+@query(sql("seqs", "SELECT word, count(k) AS n FROM (SELECT " + " || ".join(f"substr('ACGT', CAST(i // {4**k} % 4 AS INTEGER) + 1, 1)" for k in (3, 2, 1, 0)) + " AS word FROM (SELECT unnest(range(256)) AS i)) LEFT JOIN (SELECT substr(seq, CAST(i AS INTEGER) + 1, 4) AS k FROM (SELECT seq, unnest(range(length(seq) - 3)) AS i FROM seqs WHERE length(seq) >= 4)) ON k = word GROUP BY 1"))
 def all_words(s, d):
-    return sequence.all_kmers(s, 4)
+    counts = stats.kmer_counts(views.sequences(s, d), 4, both_strands=False).withColumnRenamed("kmer", "word")
+    return sequence.all_kmers(s, 4).join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # -- motifs ------------------------------------------------------------------------------------------------------------
@@ -588,12 +589,7 @@ def rank_curve(s, d):
     return rounded(programs.rank_curve(table(s, d, "part"), ["p_partkey"], [50, 100, 200], "p_size", "p_retailprice"), "spearman")
 
 
-@query()
-def word_partition(s, d):
-    return rounded(programs.word_partition(s, views.ENERGIES[:6], -2.0), "mean_occupancy")
-
-
-# -- models and simulation: no SQL form --------------------------------------------------------------------------------
+# -- models: no SQL form --------------------------------------------------------------------------------
 
 
 @query()
@@ -609,13 +605,14 @@ def boosted_trees(s, d):
     return rounded(models.boosted_correlation(rows.where("p_partkey % 4 <> 0"), rows.where("p_partkey % 4 = 0"), ["size", "f2"], "y", rounds=5), "spearman")
 
 
-@query()
+@query(sql("seqs offsets lowest rounds", "SELECT round, count(*) AS n, round(avg(e), 6) AS mean_energy FROM lowest JOIN rounds USING (seq_id) GROUP BY 1"))
 def selex_rounds(s, d):
-    rounds = selex.simulate(s, views.ENERGIES, n_pool=1000, sizes=[200, 200])
-    parts = [selex.energies(r, views.ENERGIES).agg(F.lit(i + 1).alias("round"), F.avg("energy").alias("mean_energy"), F.count("*").alias("n")) for i, r in enumerate(rounds)]
-    return rounded(parts[0].unionByName(parts[1]), "mean_energy")
+    seqs = fit_queries.in_rounds(s, d)
+    scored = selex.energies(seqs.where("length(seq) >= 8"), views.ENERGIES).join(seqs.select("seq_id", "round"), "seq_id")
+    return rounded(scored.groupBy("round").agg(F.count("*").alias("n"), F.avg("energy").alias("mean_energy")), "mean_energy")
 
 
-@query()
+@query(sql("seqs", "SELECT seq_id, (seq_id * 7) % (length(seq) - 5) AS at, substr(seq, 1, CAST((seq_id * 7) % (length(seq) - 5) AS INTEGER)) || 'CACGTG' || substr(seq, CAST((seq_id * 7) % (length(seq) - 5) + 7 AS INTEGER)) AS seq FROM seqs WHERE length(seq) >= 6"))
 def embedded_motifs(s, d):
-    return selex.embed(500, 60, "CACGTG", s, seed=1)
+    seqs = views.sequences(s, d).where("length(seq) >= 6")
+    return selex.embedded(seqs, "CACGTG", F.pmod(F.col("seq_id") * 7, F.length("seq") - 5))

@@ -105,23 +105,6 @@ def chemical_affinity(sites: DataFrame, keys: list[str], fragment: int, limit: i
     return best.select(*keys, (-F.greatest(F.lit(0.0), F.least(F.lit(float(limit)), F.col("x.c")))).alias("affinity"), F.col("x.cost").alias("cost"))
 
 
-def word_partition(spark: SparkSession, ddg: np.ndarray, mu: float) -> DataFrame:
-    """The partition function over all words of the matrix's length, by enumeration where words are generated."""
-    n = len(ddg)
-    words = sequence.all_kmers(spark, n)
-    return words.select(motif.site_score(F.col("word"), F.lit(0), ddg).alias("e")).agg(F.avg(physics.occupancy(F.lit(mu), F.col("e"))).alias("mean_occupancy"), F.count("*").alias("n"))
-
-
-def convolved_partition(ddg: np.ndarray, mu: float, step: float = 0.001) -> float:
-    """The same by convolving the rows' distributions over energy bins; it checks the enumeration."""
-    dist = np.ones(1)
-    for row in np.round(np.asarray(ddg) / step).astype(int):
-        part = np.zeros(row.max() + 1)
-        np.add.at(part, row, 0.25)
-        dist = np.convolve(dist, part)
-    return float(np.sum(dist / (1 + np.exp((np.arange(len(dist)) * step - mu) / physics.RT))))
-
-
 def matrix_of_regions(regions: DataFrame, tracks: dict[str, DataFrame]) -> DataFrame:
     """C11, K3: 0 or 1 for every region and named set of intervals that it touches."""
     out = regions.select("row_id")

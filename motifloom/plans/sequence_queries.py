@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from motifloom.functions import physics, sequence
@@ -47,12 +48,18 @@ def masked_energy_scan(s, d):
     return rounded(x.agg(F.count("*").alias("n"), F.avg("site_score").alias("mean"), F.min("site_score").alias("low"), F.sum((F.col("site_score") == MODEL.mean).cast("long")).alias("unknown")), "mean", "low", digits=4)
 
 
-_ROWS = ", ".join(f"({i}, {', '.join(map(repr, r))})" for i, r in enumerate(views.SHARES.tolist()))
+_SHARES = ", ".join(f"avg((substr(seq, CAST(pos AS INTEGER) + 1, 1) = '{b}')::INTEGER) AS {b.lower()}" for b in "ACGT")
 
 
-@query(f"WITH p AS (SELECT * FROM (VALUES {_ROWS}) t(pos, a, c, g, t)), l AS (SELECT pos, -ln((5e-4 + 0.999 * a) / (1 - (5e-4 + 0.999 * a))) AS a, -ln((5e-4 + 0.999 * c) / (1 - (5e-4 + 0.999 * c))) AS c, -ln((5e-4 + 0.999 * g) / (1 - (5e-4 + 0.999 * g))) AS g, -ln((5e-4 + 0.999 * t) / (1 - (5e-4 + 0.999 * t))) AS t FROM p), z AS (SELECT pos, a - least(a, c, g, t) AS a, c - least(a, c, g, t) AS c, g - least(a, c, g, t) AS g, t - least(a, c, g, t) AS t FROM l), k AS (SELECT 1.5 * count(*) / sum((a + c + g + t) / 4) AS k, -2 - 1.5 * count(*) AS consensus FROM z) SELECT pos, round(a * k, 6) AS a, round(c * k, 6) AS c, round(g * k, 6) AS g, round(t * k, 6) AS t, round(consensus::DOUBLE, 6) AS consensus FROM z, k")
+@query(sql("seqs", f", p AS (SELECT pos, {_SHARES} FROM seqs CROSS JOIN (SELECT unnest(range(8)) AS pos) WHERE length(seq) >= 8 GROUP BY 1), l AS (SELECT pos, -ln((5e-4 + 0.999 * a) / (1 - (5e-4 + 0.999 * a))) AS a, -ln((5e-4 + 0.999 * c) / (1 - (5e-4 + 0.999 * c))) AS c, -ln((5e-4 + 0.999 * g) / (1 - (5e-4 + 0.999 * g))) AS g, -ln((5e-4 + 0.999 * t) / (1 - (5e-4 + 0.999 * t))) AS t FROM p), z AS (SELECT pos, a - least(a, c, g, t) AS a, c - least(a, c, g, t) AS c, g - least(a, c, g, t) AS g, t - least(a, c, g, t) AS t FROM l), k AS (SELECT 1.5 * count(*) / sum((a + c + g + t) / 4) AS k, -2 - 1.5 * count(*) AS consensus FROM z) SELECT CAST(pos AS INTEGER) AS pos, round(a * k, 6) AS a, round(c * k, 6) AS c, round(g * k, 6) AS g, round(t * k, 6) AS t, round(consensus::DOUBLE, 6) AS consensus FROM z, k"))
 def energy_model(s, d):
-    rows = [(i, *map(float, r), MODEL.consensus) for i, r in enumerate(MODEL.ddg)]
+    """Of the bases that sequences begin with."""
+    words = views.sequences(s, d).where("length(seq) >= 8").select(F.substring("seq", 1, 8).alias("site"))
+    shares = np.zeros((8, 4))
+    for r in stats.position_counts(words, 8).collect():  # a matrix
+        shares[r["pos"], "ACGT".index(r["base"])] = r["share"]
+    model = physics.energies_of_pwm(shares)
+    rows = [(i, *map(float, r), model.consensus) for i, r in enumerate(model.ddg)]
     return rounded(s.createDataFrame(rows, "pos int, a double, c double, g double, t double, consensus double"), "a", "c", "g", "t", "consensus")
 
 

@@ -302,14 +302,6 @@ def test_stream_equals_batch(spark):
 # -- programs ----------------------------------------------------------------------------------------------------------
 
 
-def test_partition_functions_agree(spark):
-    from motifloom.plans import programs
-
-    ddg = np.round(np.abs(np.random.default_rng(5).normal(size=(5, 4))), 3)
-    row = programs.word_partition(spark, ddg, -1.0).first()
-    assert row["n"] == 4**5 and row["mean_occupancy"] == pytest.approx(programs.convolved_partition(ddg, -1.0), rel=1e-6)
-
-
 def test_features_and_folds(spark):
     from motifloom.plans import programs
 
