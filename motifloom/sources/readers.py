@@ -9,19 +9,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifloom.sources.genome import numbered_lines
+
 NARROW_PEAK = "contig string, start long, stop long, summit long, score double, signal_value double, p_value double, q_value double, idr_value double, seq string"
 
 
 def narrow_peak(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Intervals of white-space separated lines; ``track`` lines are skipped, missing columns are -1, a missing
-    summit is the middle.  ``limit`` takes exactly so many intervals."""
+    summit is the middle.  ``limit`` takes the first intervals in the order of files and lines."""
     v = F.split(F.trim("value"), r"\s+")
     number = lambda i: F.coalesce(F.try_element_at(v, F.lit(i + 1)).cast("double"), F.lit(-1.0))
-    lines = spark.read.text(path).where(~F.startswith("value", F.lit("track")) & (F.trim("value") != ""))
+    text = spark.read.text(path) if limit is None else numbered_lines(spark, path)
+    lines = text.where(~F.startswith("value", F.lit("track")) & (F.trim("value") != ""))
+    if limit is not None:
+        lines = lines.orderBy("file", "line").limit(limit)
     start, stop = v[1].cast("long"), v[2].cast("long")
     summit = F.coalesce(F.try_element_at(v, F.lit(10)).cast("double").cast("long"), F.floor((stop - start) / 2))
-    out = lines.select(v[0].alias("contig"), start.alias("start"), stop.alias("stop"), summit.alias("summit"), number(4).alias("score"), number(6).alias("signal_value"), number(7).alias("p_value"), number(8).alias("q_value"), F.lit(-1.0).alias("idr_value"), F.lit(None).cast("string").alias("seq"))
-    return out if limit is None else out.limit(limit)
+    return lines.select(v[0].alias("contig"), start.alias("start"), stop.alias("stop"), summit.alias("summit"), number(4).alias("score"), number(6).alias("signal_value"), number(7).alias("p_value"), number(8).alias("q_value"), F.lit(-1.0).alias("idr_value"), F.lit(None).cast("string").alias("seq"))
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
