@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from motifloom.functions import physics, sequence
-from motifloom.operators import coverage, intervals, labels, metrics, models, motif, sampling, stats
+from motifloom.operators import convolution, coverage, intervals, labels, metrics, models, motif, sampling, stats
 from motifloom.operators.ordered import numbered
 
 
@@ -37,11 +38,11 @@ def cross_validate(features: DataFrame, columns: list[str], n: int = 5, **option
 
 
 def region_summary(regions: DataFrame, reads: DataFrame, fragment: int) -> DataFrame:
-    """Length, mean and largest smoothed coverage of the positions of each region."""
-    cov = coverage.fragment_coverage(reads, fragment, ["contig"])
-    points = cov.select("contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"), "cov")
-    pairs = intervals.overlap_join(regions.select("row_id", "contig", "start", "stop"), points, bin_width=4096)
-    found = pairs.groupBy("row_id").agg(F.sum("r_cov").alias("total"), F.max("r_cov").alias("cov_max"))
+    """Length, mean and largest smoothed coverage of the positions of each region, from runs of equal coverage."""
+    runs = coverage.coverage_runs(reads, fragment, ["contig"])
+    pairs = intervals.overlap_join(regions.select("row_id", "contig", "start", "stop"), runs, bin_width=4096)
+    shared = F.least("stop", "r_stop") - F.greatest("start", "r_start")
+    found = pairs.groupBy("row_id").agg(F.sum(shared * F.col("r_cov")).alias("total"), F.max("r_cov").alias("cov_max"))
     length = F.col("stop") - F.col("start")
     return regions.join(found, "row_id", "left").select("row_id", length.alias("length"), (F.coalesce("total", F.lit(0.0)) / length).alias("cov_mean"), F.coalesce("cov_max", F.lit(0.0)).alias("cov_max"))
 
@@ -51,7 +52,9 @@ def sample_dataset(peaks: DataFrame, files: DataFrame, tfs: list[str], *, n_peak
     that they need are left out."""
     ok = labels.eligible(files, include_ambiguous)
     rows = sampling.top_per_group(peaks.join(ok, "sample_id", "left_semi"), ["sample_id"], [F.desc("signal_value"), F.col("row_id")], n_peaks)
-    pairs = intervals.overlap_join(rows, files.select("contig", "start", "stop", "tf_id", "pk_type", "sample_id")).where("sample_id = r_sample_id").withColumn("hit", (intervals.overlap_fraction() > 0.5).cast("int"))
+    # intervals meet within their sample: sample and contig are one key
+    place = F.struct("sample_id", "contig").alias("contig")
+    pairs = intervals.overlap_join(rows.select("row_id", place, "start", "stop"), files.select(place, "start", "stop", "tf_id", "pk_type")).withColumn("hit", (intervals.overlap_fraction() > 0.5).cast("int"))
     per_tf = pairs.groupBy("row_id", F.col("r_tf_id").alias("tf_id")).agg(F.max(F.when(F.col("r_pk_type") == "optimal", F.col("hit")).otherwise(0)).alias("o"), F.max(F.when(F.col("r_pk_type") == "relaxed", F.col("hit")).otherwise(0)).alias("r"))
     label = F.when(F.col("o") == 1, 1).when(F.col("r") == 1, -1).otherwise(0)
     wide = per_tf.withColumn("label", label).groupBy("row_id").pivot("tf_id", tfs).agg(F.max("label"))
@@ -90,19 +93,30 @@ def best_affinity(sites: DataFrame, grid: list[float], keys: list[str]) -> DataF
 def chemical_affinity(sites: DataFrame, keys: list[str], fragment: int, limit: int, motif_length: int) -> DataFrame:
     """Minus the affinity 0, 1, 2, ... up to ``limit`` under which the occupancy of a region's positions, weighted
     by accessibility, as shares of their sum and smoothed over twice a fragment, explains the reads best; the first of
-    equal ones.  ``sites``: pos, score, access and cov; the first motif_length + 1 positions have no score."""
-    part = Window.partitionBy(*keys)
-    rows = sites.withColumn("_i", F.row_number().over(part.orderBy("pos"))).where(F.col("_i") > motif_length + 1)
-    rows = rows.withColumn("weight", F.col("access") / F.max("access").over(part)).withColumn("c", F.explode(F.array(*(F.lit(float(i)) for i in range(limit)))))
-    rows = rows.withColumn("occ", physics.logistic(-F.col("c") + F.col("score") / physics.RT) * F.col("weight"))
-    rows = rows.withColumn("share", F.col("occ") / F.sum("occ").over(Window.partitionBy(*keys, "c")))
+    equal ones.  ``sites``: pos, score, access and cov; the first motif_length + 1 positions have no score.
+
+    All affinities are columns of the arrays that chunks are convolved as, so rows are positions and halos only."""
+    rows = sites.select(*keys, F.col("pos").cast("long").alias("pos"), *(F.col(c).cast("double").alias(c) for c in ("score", "access", "cov")))
+    rows = coverage.behind_first(rows, keys, motif_length + 1)
+    rows = coverage.with_sums(rows, keys, _top=F.max("access")).withColumn("weight", F.col("access") / F.col("_top")).drop("_top")
+    occ = [physics.logistic(F.col("score") / physics.RT - float(c)) * F.col("weight") for c in range(limit)]
+    totals = [f"_t{c}" for c in range(limit)]
+    rows = coverage.with_sums(rows, keys, **{t: F.sum(o) for t, o in zip(totals, occ)})
+    rows = rows.select(*keys, "pos", "score", "weight", "cov", F.array(*totals).alias("_totals"))
+    rows = rows.select(*keys, "pos", "cov", *((o / F.col("_totals")[c]).alias(f"_s{c}") for c, o in enumerate(occ)))
     n = 2 * fragment
-    window = np.bartlett(n) / np.bartlett(n).sum()
-    offsets = F.posexplode(F.lit([float(w) for w in window]))
-    spread = rows.select(*keys, "c", "pos", "share", offsets.alias("_d", "_w")).groupBy(*keys, "c", (F.col("pos") + F.col("_d") - (n - 1) // 2).alias("pos")).agg(F.sum(F.col("share") * F.col("_w")).alias("smooth"))
-    cost = rows.select(*keys, "c", "pos", "cov").join(spread, [*keys, "c", "pos"], "left").groupBy(*keys, "c").agg((-F.sum(F.ln(F.coalesce("smooth", F.lit(0.0)) + 1e-12) * F.col("cov"))).alias("cost"))
+    kernel = np.bartlett(n) / np.bartlett(n).sum()
+    ahead = (n - 1) // 2
+
+    def run(x: np.ndarray, own: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+        smooth = convolution.same(x[:, 1:], kernel)[own]
+        cost = -(np.log(np.maximum(smooth, 0.0) + 1e-12) * x[own, :1]).sum(0)
+        return [np.arange(limit), cost]
+
+    parts = convolution.in_chunks(rows, keys, ["cov", *(f"_s{c}" for c in range(limit))], (n - 1 - ahead, ahead), run, [("c", LongType()), ("cost", DoubleType())])
+    cost = parts.groupBy(*keys, "c").agg(F.sum("cost").alias("cost"))
     best = cost.groupBy(*keys).agg(F.min(F.struct("cost", "c")).alias("x"))
-    return best.select(*keys, (-F.greatest(F.lit(0.0), F.least(F.lit(float(limit)), F.col("x.c")))).alias("affinity"), F.col("x.cost").alias("cost"))
+    return best.select(*keys, (-F.col("x.c").cast("double")).alias("affinity"), F.col("x.cost").alias("cost"))
 
 
 def matrix_of_regions(regions: DataFrame, tracks: dict[str, DataFrame]) -> DataFrame:
