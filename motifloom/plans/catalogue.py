@@ -420,9 +420,9 @@ def array_aggregate(s, d):
     return in_text(catalog.listed(table(s, d, "nation"), ["n_regionkey"], "n_name"), "values")
 
 
-@query("SELECT c_mktsegment, string_agg(DISTINCT c_nationkey::VARCHAR, ',' ORDER BY c_nationkey::VARCHAR) AS matches, count(DISTINCT c_nationkey)::INTEGER AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1")
+@query("SELECT c_mktsegment, string_agg(DISTINCT c_nationkey::VARCHAR, ',' ORDER BY c_nationkey::VARCHAR) AS matches, count(DISTINCT c_nationkey)::INTEGER AS n FROM customer GROUP BY 1")
 def one_or_list(s, d):
-    rows = table(s, d, "customer").where("c_acctbal > 5000").withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
+    rows = table(s, d, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
     return in_text(catalog.one_or_list(rows, ["c_mktsegment"], "c_nationkey"), "matches")
 
 
@@ -433,10 +433,10 @@ def find_or_insert(s, d):
     return catalog.find_or_insert(n.where("id < 10"), new, ["name"]).select("id", "name")
 
 
-@query("WITH a AS (SELECT s_nationkey AS k, min(s_suppkey) AS f FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1), b AS (SELECT c_nationkey AS k, min(c_custkey) AS f FROM customer WHERE c_acctbal > 9000 GROUP BY 1 HAVING count(DISTINCT c_custkey) = 1), c AS (SELECT c_nationkey AS k, min(c_custkey) AS f FROM (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY 1) GROUP BY 1) SELECT n_nationkey AS k, coalesce(a.f, b.f, c.f) AS found FROM nation LEFT JOIN a ON a.k = n_nationkey LEFT JOIN b ON b.k = n_nationkey LEFT JOIN c ON c.k = n_nationkey")
+@query("WITH a AS (SELECT s_nationkey AS k, min(s_suppkey) AS f FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1), b AS (SELECT c_nationkey AS k, min(c_custkey) AS f FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey) = 1), c AS (SELECT c_nationkey AS k, min(c_custkey) AS f FROM (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY 1) GROUP BY 1) SELECT n_nationkey AS k, coalesce(a.f, b.f, c.f) AS found FROM nation LEFT JOIN a ON a.k = n_nationkey LEFT JOIN b ON b.k = n_nationkey LEFT JOIN c ON c.k = n_nationkey")
 def fallback_match(s, d):
     c = table(s, d, "customer")
-    steps = [table(s, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("found")), c.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("found")), c.groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_custkey").alias("found"))]
+    steps = [table(s, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("found")), c.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("found")), c.groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_custkey").alias("found"))]
     return catalog.by_fallback(table(s, d, "nation").select(F.col("n_nationkey").alias("k")), steps, "k", "found")
 
 
@@ -458,11 +458,11 @@ def optional_filters(s, d):
     return catalog.where_all(first, p_size=list(range(10, 20)), p_type=None).select("p_partkey", "p_brand", "p_size")
 
 
-@query("SELECT 'except' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'union', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'all', count(*) FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier)")
+@query("SELECT 'except' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'union', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'all', count(*) FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier)")
 def set_operations(s, d):
     c, p = table(s, d, "customer"), table(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))
     count = lambda left, kind: catalog.set_operation(left.select("c_nationkey"), p, kind).agg(F.count("*").alias("n")).select(F.lit(kind).alias("op"), "n")
-    return count(c.where("c_acctbal > 9000"), "except").unionByName(count(c, "intersect")).unionByName(count(c, "union")).unionByName(count(c, "all"))
+    return count(c, "except").unionByName(count(c, "intersect")).unionByName(count(c, "union")).unionByName(count(c, "all"))
 
 
 @query("SELECT n_regionkey, string_agg(urls, ';' ORDER BY role) AS matrix FROM (SELECT n_regionkey, n_nationkey % 2 AS role, string_agg(n_name, ',' ORDER BY n_name) AS urls FROM nation GROUP BY 1, 2) GROUP BY 1")

@@ -15,7 +15,7 @@ MODEL = physics.energies_of_pwm(views.SHARES)
 CHUNK = 1024
 
 views.SQL["masked"] = "masked AS (SELECT seq_id, upper(seq) AS seq, pos FROM (SELECT seq_id, seq, unnest(range(length(seq) - 7)) AS pos FROM (SELECT doc_id AS seq_id, regexp_replace(lower(text), '[^acgtn]', '', 'g') AS seq FROM documents) WHERE length(seq) >= 8))"
-views.SQL["spots"] = "spots AS (SELECT e.event_id AS row_id, s.seq_id, substr(s.seq, CAST(e.event_id * 13 % 2000 + 1 AS INTEGER), 50) AS part FROM events e JOIN seqs s ON s.seq_id = e.user_id WHERE (e.event_id * 13 % 2000) // 1024 * 1024 < length(s.seq))"
+views.SQL["spots"] = "spots AS (SELECT e.event_id AS row_id, s.seq_id, substr(s.seq, CAST(e.event_id * 7919 % length(s.seq) + 1 AS INTEGER), 50) AS part FROM events e JOIN seqs s ON s.seq_id = e.user_id WHERE length(s.seq) > 0)"
 views.SQL["sites"] = f"sites AS (SELECT seq_id, seq, pos, f, r FROM (SELECT seq_id, seq, pos, {site_sql(views.WEIGHTS)} AS f, {site_sql(physics.flipped(views.WEIGHTS))} AS r FROM offsets))"
 
 
@@ -24,13 +24,22 @@ def masked(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.lower("text"), "[^acgtn]", "").alias("seq"))
 
 
+def genome(s, d):
+    """The documents' sequences as a genome of chunks."""
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.substr("seq", i + 1, F.lit(CHUNK)))
+    return views.sequences(s, d).select(F.col("seq_id").alias("contig"), F.posexplode(pieces).alias("chunk", "seq")).where("seq <> ''")
+
+
+def places(s, d):
+    """Fifty bases from a place anywhere in a sequence, for every event."""
+    lengths = views.sequences(s, d).select(F.col("seq_id").alias("contig"), F.length("seq").alias("length")).where("length > 0")
+    start = F.col("event_id") * 7919 % F.col("length")
+    events = table(s, d, "events").select(F.col("event_id"), F.col("user_id").alias("contig")).join(lengths, "contig")
+    return events.select(F.col("event_id").alias("row_id"), "contig", start.alias("start"), (start + 50).alias("stop"))
+
+
 def spots(s, d):
-    """Fifty bases at a place of a sequence for every event, fetched from a genome of chunks."""
-    seqs = views.sequences(s, d)
-    genome = seqs.select(F.col("seq_id").alias("contig"), F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.substr("seq", i + 1, F.lit(CHUNK)))).alias("chunk", "seq")).where("seq <> ''")
-    start = F.col("event_id") * 13 % 2000
-    regions = table(s, d, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("contig"), start.alias("start"), (start + 50).alias("stop"))
-    return intervals.fetch(genome, regions, chunk=CHUNK)
+    return intervals.fetch(genome(s, d), places(s, d), chunk=CHUNK)
 
 
 _N = "instr(substr(seq, CAST(pos AS INTEGER) + 1, 8), 'N') > 0"
@@ -112,11 +121,7 @@ def flanking_bases(s, d):
 
 @query(sql("seqs spots", f"SELECT row_id, round(max(greatest(f, r)), 6) AS ebox, round(max(greatest(g, h)), 6) AS energy FROM (SELECT row_id, {site_sql(views.WEIGHTS)} AS f, {site_sql(physics.flipped(views.WEIGHTS))} AS r, {site_sql(views.ENERGIES)} AS g, {site_sql(physics.flipped(views.ENERGIES))} AS h FROM (SELECT row_id, part AS seq, unnest(range(43)) AS pos FROM spots WHERE length(part) = 50)) GROUP BY 1"))
 def motif_features(s, d):
-    seqs = views.sequences(s, d)
-    genome = seqs.select(F.col("seq_id").alias("contig"), F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.substr("seq", i + 1, F.lit(CHUNK)))).alias("chunk", "seq")).where("seq <> ''")
-    start = F.col("event_id") * 13 % 2000
-    windows = table(s, d, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("contig"), start.alias("start"), (start + 50).alias("stop"))
-    return rounded(programs.tf_feature_table(windows, genome, {"ebox": views.WEIGHTS, "energy": views.ENERGIES}, chunk=CHUNK), "ebox", "energy")
+    return rounded(programs.tf_feature_table(places(s, d), genome(s, d), {"ebox": views.WEIGHTS, "energy": views.ENERGIES}, chunk=CHUNK), "ebox", "energy")
 
 
 # -- regions and labels ------------------------------------------------------------------------------------------------

@@ -16,14 +16,14 @@ def upserted_names(s, d):
     return catalog.upsert(old, table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name")), ["id"])
 
 
-_TARGETS = "WITH names AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT n_name FROM nation UNION SELECT 'k' || n_nationkey FROM nation), special AS (SELECT n_name AS name, 'special' AS tf_id FROM nation WHERE n_nationkey = 3), byid AS (SELECT 'k' || n_nationkey AS name, 'T' || n_nationkey AS tf_id FROM nation WHERE n_nationkey < 20), alias AS (SELECT name, min(tf_id) AS tf_id FROM (SELECT n_name AS name, 'T' || n_nationkey AS tf_id FROM nation UNION SELECT 'k' || (n_nationkey + 10), 'T' || n_nationkey FROM nation UNION SELECT p_brand, 'T' || (p_size % 25) FROM part WHERE p_size < 25 AND p_partkey < 40) GROUP BY 1 HAVING count(DISTINCT tf_id) = 1), found AS (SELECT n.name, coalesce(s.tf_id, b.tf_id, a.tf_id) AS tf_id FROM names n LEFT JOIN special s USING (name) LEFT JOIN byid b USING (name) LEFT JOIN alias a USING (name))"
+_TARGETS = "WITH names AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT n_name FROM nation UNION SELECT 'k' || n_nationkey FROM nation), special AS (SELECT n_name AS name, 'special' AS tf_id FROM nation WHERE n_nationkey = 3), byid AS (SELECT 'k' || n_nationkey AS name, 'T' || n_nationkey AS tf_id FROM nation WHERE n_nationkey < 20), alias AS (SELECT name, min(tf_id) AS tf_id FROM (SELECT n_name AS name, 'T' || n_nationkey AS tf_id FROM nation UNION SELECT 'k' || (n_nationkey + 10), 'T' || n_nationkey FROM nation UNION SELECT p_brand, 'T' || (CAST(substr(p_brand, 7) AS INTEGER) % 25) FROM part) GROUP BY 1 HAVING count(DISTINCT tf_id) = 1), found AS (SELECT n.name, coalesce(s.tf_id, b.tf_id, a.tf_id) AS tf_id FROM names n LEFT JOIN special s USING (name) LEFT JOIN byid b USING (name) LEFT JOIN alias a USING (name))"
 
 
 def _targets(s, d):
     n, p = table(s, d, "nation"), table(s, d, "part")
     names = p.select(F.col("p_brand").alias("name")).union(n.select("n_name")).union(n.select(F.concat(F.lit("k"), "n_nationkey"))).distinct()
     key = F.concat(F.lit("T"), F.col("n_nationkey"))
-    brands = p.where("p_size < 25 AND p_partkey < 40").groupBy((F.col("p_size") % 25).alias("k")).agg(F.collect_set("p_brand").alias("brands"))
+    brands = p.groupBy((F.substring("p_brand", 7, 9).cast("int") % 25).alias("k")).agg(F.collect_set("p_brand").alias("brands"))
     own = n.join(brands, F.col("n_nationkey") == F.col("k"), "left")
     aliases = F.concat(F.array("n_name", F.concat(F.lit("k"), F.col("n_nationkey") + 10)), F.coalesce("brands", F.array().cast("array<string>")))
     targets = own.select(key.alias("tf_id"), F.when(F.col("n_nationkey") < 20, F.concat(F.lit("id:k"), F.col("n_nationkey"))).alias("dbid"), aliases.alias("aliases"))
