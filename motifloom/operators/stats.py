@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,11 +112,70 @@ def running_minimum_cdf(hist: DataFrame, n_sites: int) -> DataFrame:
     return cdf.select("bin", (F.col("cdf") - F.coalesce(F.lag("cdf").over(w), F.lit(0.0))).alias("weight"))
 
 
+CODES = np.full(256, -1, np.int64)
+CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+
+def counted_words(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, Counter]:
+    """The words of k letters A, C, G, T of some texts as numbers, how often each occurs, and counts of other words."""
+    codes = CODES[np.frombuffer("\n".join(texts).encode("ascii", "replace"), np.uint8)]
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), Counter()
+    number, known = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(k):
+        number = number * 4 + codes[i : i + n]
+        known &= codes[i : i + n] >= 0
+    words, counts = np.unique(number[known], return_counts=True)
+    other: Counter = Counter()
+    if known.sum() < sum(max(0, len(t) - k + 1) for t in texts):
+        plain = set("ACGT")
+        for t in texts:
+            if not plain.issuperset(t):
+                other.update(w for w in (t[i : i + k] for i in range(len(t) - k + 1)) if not plain.issuperset(w))
+    return words, counts, other
+
+
 def kmer_counts(seqs: DataFrame, k: int, seq_col: str = "seq", both_strands: bool = True) -> DataFrame:
-    """Counts of all words, over both strands.  Words are counted on one strand; the other strand's counts are the
-    same numbers under the reverse complements."""
-    words = pieces(seqs.select(F.upper(seq_col).alias("_seq")), "_seq", k).select(F.substr("piece", F.col("within") + 1, F.lit(k)).alias("kmer"))
-    counts = words.groupBy("kmer").agg(F.count("*").alias("n"))
+    """Counts of all words, over both strands.  Words are counted on one strand as numbers, each task sums up its
+    own; the other strand's counts are the same numbers under the reverse complements."""
+    if k > 31:
+        raise ValueError("words of at most 31 letters")
+    letters = np.frombuffer(b"ACGT", np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        other: Counter = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+            for i in range(0, len(words), 1 << 16):
+                digits = words[i : i + (1 << 16), None] // 4 ** np.arange(k - 1, -1, -1) % 4
+                names = letters[digits].tobytes().decode()
+                yield pa.RecordBatch.from_arrays([pa.array([names[j : j + k] for j in range(0, len(names), k)], pa.string()), pa.array(counts[i : i + (1 << 16)])], names=["kmer", "n"])
+            if other:
+                yield pa.RecordBatch.from_arrays([pa.array(list(other), pa.string()), pa.array(list(other.values()), pa.int64())], names=["kmer", "n"])
+            held.clear()
+            other.clear()
+
+        for batch in batches:
+            texts, size, part = [t for t in batch.column(0).to_pylist() if t], 0, []
+            for t in [*texts, None]:
+                if t is not None:
+                    part.append(t)
+                    size += len(t)
+                if part and (t is None or size > 1 << 20):
+                    words, counts, rest = counted_words(part, k)
+                    held.append((words, counts))
+                    other.update(rest)
+                    part, size = [], 0
+            if sum(len(w) for w, _ in held) + len(other) > 1 << 22:
+                yield from out()
+        if held:
+            yield from out()
+
+    counts = seqs.select(F.upper(seq_col).alias("seq")).mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
     if not both_strands:
         return counts
     strand = F.explode(F.array(F.col("kmer"), reverse_complement(F.col("kmer"))))

@@ -325,3 +325,16 @@ def test_small_program_helpers(spark):
     assert programs.upsampled(seqs, 3).count() == 3 and programs.upsampled(seqs, 16).count() == 16
     pairs = programs.zipped(frame(spark, [(2, "b"), (1, "a")], "i int, x string"), frame(spark, [(9, "z"), (8, "y")], "j int, y string"), "i", "j")
     assert sorted((r["x"], r["y"]) for r in pairs.collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_words_with_other_letters_are_counted(spark):
+    import collections
+
+    seqs = ["ACGTNACGTRR", "", None, "AC", "acgtacgt", "é" * 5 + "ACG", "ACG" * 1000]
+    want = collections.Counter(s.upper()[i : i + 3] for s in seqs if s for i in range(len(s) - 2))
+    got = {r["kmer"]: r["n"] for r in stats.kmer_counts(frame(spark, [(s,) for s in seqs], "seq string"), 3, both_strands=False).collect()}
+    assert got == want
+    long = {r["kmer"]: r["n"] for r in stats.kmer_counts(frame(spark, [("ACGT" * 10,), ("ACGT" * 9,)], "seq string"), 31, both_strands=False).collect()}
+    assert sum(long.values()) == 10 + 6 and all(len(k) == 31 for k in long)
+    with pytest.raises(ValueError):
+        stats.kmer_counts(frame(spark, [("A",)], "seq string"), 32)
