@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from motifloom.functions import physics, sequence
-from motifloom.operators import likelihood, partition, selex, stats
+from motifloom.functions import physics
+from motifloom.operators import likelihood, partition, shape, stats
 from motifloom.plans import views
 from motifloom.plans.registry import query, rounded
 from motifloom.plans.views import site_sql, sql, table
@@ -91,3 +92,31 @@ _PRODUCT = [" * ".join(f"1 / (1 + exp((bin * {STEP}::DOUBLE - ({mu!r})) / {physi
 def partition_denominators(s, d):
     found = partition.partition_functions(matrices(s, d), ["source"], step=STEP, method="fft")
     return rounded(partition.denominators(found, ["source"], POTENTIALS, 12), "log_sum")
+
+
+# -- shapes ------------------------------------------------------------------------------------------------------------
+
+FEATURES = ["strong", "share"]
+DIFFERENCES = np.round(np.diff(views.ENERGIES[:, :], axis=1).cumsum(1).T, 6)
+SHAPE = np.array([[0.2, -0.1, 0.0, 0.3, -0.2, 0.1, 0.05, -0.05], [3.0, 0.0, -2.0, 1.0, 0.5, 0.0, -1.0, 2.0]])
+
+views.SQL["fives"] = "fives AS (SELECT word, (length(word) - length(replace(replace(word, 'C', ''), 'G', '')))::DOUBLE AS strong, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 9) AS share FROM (SELECT substr(seq, CAST(i AS INTEGER) + 1, 5) AS word FROM (SELECT seq, unnest(range(length(seq) - 4)) AS i FROM seqs WHERE length(seq) >= 5)) GROUP BY 1)"
+
+
+def words_of_five(s, d):
+    """Features of the words of five bases, from the documents: how many of them are C or G, and the word's share."""
+    counts = stats.kmer_counts(views.sequences(s, d), 5, both_strands=False)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # of 1024 rows
+    strong = F.length(F.regexp_replace("kmer", "[AT]", "")).cast("double")
+    return counts.select(F.col("kmer").alias("word"), strong.alias("strong"), F.round(F.col("n") / total, 9).alias("share"))
+
+
+@query(sql("seqs fives", "SELECT seq_id, round(sum(f.strong), 6) AS strong_fwd, round(sum(f.share), 6) AS share_fwd, round(sum(coalesce(r.strong, 0)), 6) AS strong_rc, round(sum(coalesce(r.share, 0)), 6) AS share_rc FROM (SELECT seq_id, substr(seq, CAST(i AS INTEGER) + 1, 5) AS word FROM (SELECT seq_id, seq, unnest(range(length(seq) - 4)) AS i FROM seqs WHERE length(seq) >= 5)) w JOIN fives f USING (word) LEFT JOIN fives r ON r.word = translate(reverse(w.word), 'ACGT', 'TGCA') GROUP BY 1"))
+def shape_sums(s, d):
+    sums = shape.shape_sums(views.sequences(s, d).where("length(seq) >= 5"), words_of_five(s, d), FEATURES)
+    return rounded(sums, *(f"{f}_{k}" for f in FEATURES for k in ("fwd", "rc")))
+
+
+@query(sql("seqs offsets", f"SELECT seq_id, round(min(least(f, r)) - ({float(views.ENERGIES[:, 0].sum())!r}), 6) AS energy FROM (SELECT seq_id, {site_sql(views.ENERGIES)} AS f, {site_sql(physics.flipped(views.ENERGIES))} AS r FROM offsets) GROUP BY 1"))
+def difference_energies(s, d):
+    return rounded(shape.affinities(views.sequences(s, d).where("length(seq) >= 8"), DIFFERENCES), "energy")
