@@ -18,8 +18,13 @@ from motifloom.operators.ordered import few, numbered, running
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], alpha: float = 0.4, beta: float = 0.4, names: list[str] | None = None) -> DataFrame:
     """Exact quantiles by plotting positions, a column ``q<prob>`` (or of ``names``) each.
 
-    Equal values are counted first; the two order statistics that a quantile lies between are picked from running counts
-    by conditional aggregates."""
+    Where little is read, from the sorted values of each group.  Otherwise equal values are counted first, and the two
+    order statistics that a quantile lies between are picked from running counts by conditional aggregates."""
+    if few(df):
+        names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
+        values = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_all"))
+        some = lambda p: F.when(F.size("_all") > 0, sorted_quantile(F.col("_all"), p, alpha, beta))
+        return values.select(*keys, *(some(p).alias(n) for p, n in zip(probs, names)))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
     rows = running(counts, keys, ["x"], {"i": F.col("c")})
     n, out = F.col("i_total"), []
@@ -59,17 +64,20 @@ def average_ranks(df: DataFrame, value: str, keys: list[str], name: str) -> Data
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """The correlation of ranks.  Rows meet their ranks as counts of equal pairs; where these are few, all ranks are
+    """The correlation of ranks.  Rows meet their ranks as counts of equal pairs; where little is read, ranks are
     taken beside each other, after one shuffle by keys."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double").alias("_va"), F.col(b).cast("double").alias("_vb"))
-    pairs = rows.groupBy(*keys, "_va", "_vb").agg(F.count("*").cast("double").alias("_n"))
-    for value, name in (("_va", "_a"), ("_vb", "_b")):
-        if few(df):
-            group = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
-            pairs = pairs.withColumn(name, F.sum("_n").over(group.rangeBetween(Window.unboundedPreceding, 0)) - (F.sum("_n").over(group.rangeBetween(0, 0)) - 1) / 2)
-            continue
-        ranks = average_ranks(rows, value, keys, name).select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col(value).alias("_r"), name)
-        pairs = pairs.join(ranks, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(value) == F.col("_r")]).drop("_r", *(f"_r_{k}" for k in keys))
+    if few(df):
+        all_ = F.count("*").over(Window.partitionBy(*(keys or [F.lit(0)])))
+        pairs = rows.withColumn("_n", F.lit(1.0)).withColumn("_all", all_)
+        for value, name in (("_va", "_a"), ("_vb", "_b")):  # from the first to the last rank of equal values
+            order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)
+            pairs = pairs.withColumn(name, (F.rank().over(order) + F.round(F.cume_dist().over(order) * F.col("_all"))) / 2)
+    else:
+        pairs = rows.groupBy(*keys, "_va", "_vb").agg(F.count("*").cast("double").alias("_n"))
+        for value, name in (("_va", "_a"), ("_vb", "_b")):
+            ranks = average_ranks(rows, value, keys, name).select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col(value).alias("_r"), name)
+            pairs = pairs.join(ranks, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(value) == F.col("_r")]).drop("_r", *(f"_r_{k}" for k in keys))
     n, sa, sb = F.sum("_n"), F.sum(F.col("_n") * F.col("_a")), F.sum(F.col("_n") * F.col("_b"))
     # mean and deviation of ranks are of one order, so nothing cancels in these sums
     sums = pairs.groupBy(*keys).agg(n.alias("_n"), sa.alias("_sa"), sb.alias("_sb"), F.sum(F.col("_n") * F.col("_a") * F.col("_a")).alias("_aa"), F.sum(F.col("_n") * F.col("_b") * F.col("_b")).alias("_bb"), F.sum(F.col("_n") * F.col("_a") * F.col("_b")).alias("_ab"))
