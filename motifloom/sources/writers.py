@@ -13,8 +13,10 @@ def features(df: DataFrame, path: str, compression: str = "gzip", header: bool =
 
 
 def matrix(df: DataFrame, path: str, rows: str, columns: str, value: str, names: list[str]) -> None:
-    """A row for each ``rows``, a column for each name."""
+    """A row for each ``rows``, a column for each name; the names, sorted, are lines of text in ``path.tfnames``."""
     df.groupBy(rows).pivot(columns, names).agg(F.max(value)).write.parquet(path)
+    lines = df.sparkSession.createDataFrame([(n,) for n in sorted(names)], "value string")
+    lines.coalesce(1).write.text(f"{path}.tfnames")
 
 
 def scores(df: DataFrame, path: str) -> None:

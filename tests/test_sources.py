@@ -94,3 +94,10 @@ def test_written_tracks_and_intervals(spark, tmp_path):
     for _ in range(2):
         assert readers.cached(spark, str(tmp_path), "a/b c", make).count() == 20
     assert calls == [1]
+
+
+def test_label_matrix_has_its_names_beside_it(spark, tmp_path):
+    df = spark.createDataFrame([(1, "B", 1), (1, "A", 0), (2, "B", -1)], "row_id long, tf_id string, label int")
+    writers.matrix(df, str(tmp_path / "m"), "row_id", "tf_id", "label", ["B", "A"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "m.tfnames")).collect()] == ["A", "B"]
+    assert spark.read.parquet(str(tmp_path / "m")).columns == ["row_id", "B", "A"]
