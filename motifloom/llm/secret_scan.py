@@ -3,7 +3,10 @@
 Candidates of the battery are all maximal runs of ``MIN_RUN`` or more characters of base64 and its URL form.  From its
 characters each gets an encoding (hexadecimal, base32, alphanumeric, base64), and under that encoding three tests of
 uniform randomness: chi-squared of the symbol counts, the runs test about the median, and the serial correlation of
-neighbours, combined by Fisher's rule.  A candidate that the battery rejects is no secret.
+neighbours, combined by Fisher's rule.  A candidate that the battery rejects is no secret.  A run with marks, as a prefix
+or groups make them, that is rejected whole gets a second reading: its longest part between marks if that is long enough,
+as in ``kind_<token>``, else all its letters and digits without marks, as in a UUID.  The second reading's evidence is
+halved, so that two readings count as one test; its span is the part, or the run.
 
 For those that it does not reject, the p-value under the hypothesis "ordinary text" is the bound 1 / LR of Wald, LR
 being the likelihood ratio of uniform symbols against the character frequencies of the whole corpus (case folded), so
@@ -133,6 +136,19 @@ def uniform_folded(k: int) -> np.ndarray:
     return np.r_[np.full(26, 2 / k), np.full(10, 1 / k)]
 
 
+def second_reading(token: np.ndarray) -> tuple[int, int, np.ndarray] | None:
+    """(start, end, codes) of another reading of a run with marks, if one is long enough."""
+    marks = _is["mark"][token]
+    if not marks.any():
+        return None
+    start, end = runs_of(token, _run & ~_is["mark"], MIN_RUN)
+    if len(start):
+        i = int(np.argmax(end - start))
+        return int(start[i]), int(end[i]), token[start[i] : end[i]]
+    rest = token[~marks]
+    return (0, len(token), rest) if len(rest) >= MIN_RUN else None
+
+
 def base_spans(text: str, codes: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) of the base patterns, in order."""
     found = []
@@ -164,7 +180,7 @@ def scan(docs: DataFrame, *, fdr: float = 0.01, alpha: float = 0.001, id_col: st
     ``alpha``: the battery rejects below it.  A random span that touches a base span is not added."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    candidate = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("size", pa.int16()), ("token", pa.string())])
+    candidate = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("size", pa.int16()), ("token", pa.string()), ("ways", pa.int8())])
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +198,16 @@ def scan(docs: DataFrame, *, fdr: float = 0.01, alpha: float = 0.001, id_col: st
                     start, end = runs_of(codes, _run, MIN_RUN)
                     if len(start):
                         encoding, p = battery([codes[s:e] for s, e in zip(start, end)])
-                        for s, e, c, q, hit in zip(start.tolist(), end.tolist(), encoding.tolist(), p.tolist(), touched(start, end, base).tolist()):
-                            if c >= 0 and not hit:
-                                own.append({"start": s, "end": e, "size": ENCODINGS[c][0] if q >= alpha else 0, "token": text[s:e]})
+                        free = np.flatnonzero((encoding >= 0) & ~touched(start, end, base)).tolist()
+                        again = {i: x for i in free if p[i] < alpha and (x := second_reading(codes[start[i] : end[i]]))}
+                        other = dict(zip(again, zip(*(x.tolist() for x in battery([x[2] for x in again.values()]))))) if again else {}
+                        for i in free:
+                            s, e, size, token, ways = int(start[i]), int(end[i]), ENCODINGS[encoding[i]][0] if p[i] >= alpha else 0, text[start[i] : end[i]], 1
+                            c, q = other.get(i, (-1, 0.0))
+                            if c >= 0 and q >= alpha:
+                                a, b, rest = again[i]
+                                s, e, size, token, ways = s + a, s + b, ENCODINGS[c][0], rest.astype("<u4").tobytes().decode("utf-32-le"), 2
+                            own.append({"start": s, "end": e, "size": size, "token": token, "ways": ways})
                     random.append(own)
                 n = [[sum(k == j for _, k, _ in x) for x in spans] for j in range(3)]
                 rows = pa.RecordBatch.from_arrays(
@@ -196,7 +219,7 @@ def scan(docs: DataFrame, *, fdr: float = 0.01, alpha: float = 0.001, id_col: st
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(rows.schema)[:-1]), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=names)
 
     names = [id_col, "n_assign", "n_access", "n_hex", "base", "candidates", "chars"]
-    schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base string, candidates array<struct<start:int,end:int,size:smallint,token:string>>, chars array<long>"
+    schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base string, candidates array<struct<start:int,end:int,size:smallint,token:string,ways:tinyint>>, chars array<long>"
     read = docs.select(id_col, text_col).mapInArrow(first_pass, schema)
     read = checkpoint(read)
     # 36 sums: the corpus frequencies of letters and digits, smoothed by one
@@ -204,12 +227,12 @@ def scan(docs: DataFrame, *, fdr: float = 0.01, alpha: float = 0.001, id_col: st
     text = np.array([(x or 0) + 1.0 for x in sums])
     gain = {k: np.log(uniform_folded(k) / (text / text.sum())) for k, _ in ENCODINGS}
 
-    def depth(size: int, token: str) -> int:
-        """Floor of -ln p in steps of the grid; 0 for what the battery rejects."""
+    def depth(size: int, token: str, ways: int) -> int:
+        """Floor of -ln p in steps of the grid, p times the number of readings; 0 for what the battery rejects."""
         if not size:
             return 0
         folded = FOLDED[np.frombuffer(token.encode(), np.uint8)]
-        return int(GRID * min(DEEPEST, max(0.0, gain[size][folded[folded >= 0]].sum())))
+        return int(GRID * min(DEEPEST, max(0.0, gain[size][folded[folded >= 0]].sum() - math.log(ways))))
 
     def stratum(n: int) -> int:
         return sum(n >= x for x in STRATA)
@@ -219,7 +242,7 @@ def scan(docs: DataFrame, *, fdr: float = 0.01, alpha: float = 0.001, id_col: st
         for batch in batches:
             for own in batch.column(0).to_pylist():
                 for c in own:
-                    total[stratum(c["end"] - c["start"]), depth(c["size"], c["token"])] += 1
+                    total[stratum(len(c["token"])), depth(c["size"], c["token"], c["ways"])] += 1
         s, d = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d), pa.array(total[s, d])], names=["s", "d", "n"])
 
@@ -231,7 +254,7 @@ def scan(docs: DataFrame, *, fdr: float = 0.01, alpha: float = 0.001, id_col: st
         for batch in batches:
             base, spans, found = batch.column(4).to_pylist(), [], []
             for b, own in zip(base, batch.column(5).to_pylist()):
-                more = [(c["start"], 3, c["end"]) for c in own if depth(c["size"], c["token"]) >= least[stratum(c["end"] - c["start"])]]
+                more = [(c["start"], 3, c["end"]) for c in own if depth(c["size"], c["token"], c["ways"]) >= least[stratum(len(c["token"]))]]
                 all_ = [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in b.split(",") if x)] + more
                 spans.append(joined(sorted(all_)))
                 found.append(len(more))

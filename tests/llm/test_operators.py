@@ -9,6 +9,7 @@ import math
 import random
 import re
 import time
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -310,22 +311,26 @@ def plain_random(texts, fdr=0.01, alpha=0.001):
         for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t):
             judged = plain_battery(m[0])
             if judged and not any(a < m.end() and m.start() < b for a, _, b in base):
-                found.append((i, m, *judged))
+                found.append((i, m[0], (m.start(), 3, m.end()), *judged, 1))
+                part = max(re.finditer("[A-Za-z0-9]{16,}", m[0]), key=lambda x: len(x[0]), default=None)
+                word, at = (part[0], (m.start() + part.start(), 3, m.start() + part.end())) if part else (re.sub("[+/_-]", "", m[0]), (m.start(), 3, m.end()))
+                if judged[1] < alpha and word != m[0] and len(word) >= 16 and (other := plain_battery(word)) and other[1] >= alpha:
+                    found[-1] = (i, word, at, *other, 2)
     symbols = "abcdefghijklmnopqrstuvwxyz0123456789"
     total = sum(chars.values()) + 36
     scored = []
-    for i, m, k, p in found:
+    for i, word, at, k, p, ways in found:
         one = {16: lambda c: 1 / 16 if c in "abcdef0123456789" else 1e-9, 32: lambda c: 1e-9 if c in "0189" else 1 / 32, 36: lambda c: 1 / 36}.get(k, lambda c: (2 if c.isalpha() else 1) / k)  # noqa: B023
-        ratio = sum(math.log(one(c) / ((chars[c] + 1) / total)) for c in m[0].lower() if c in symbols)
-        scored.append((sum(len(m[0]) >= x for x in (24, 32, 48)), int(20 * min(300, max(0, ratio))) if p >= alpha else 0, i, m))
+        ratio = sum(math.log(one(c) / ((chars[c] + 1) / total)) for c in word.lower() if c in symbols) - math.log(ways)
+        scored.append((sum(len(word) >= x for x in (24, 32, 48)), int(20 * min(300, max(0, ratio))) if p >= alpha else 0, i, at))
     out = collections.defaultdict(list)
     for stratum in range(4):
         own = [x for x in scored if x[0] == stratum]
         deep = sorted((d for _, d, _, _ in own), reverse=True)
         ok = [d for d in deep if d > 0 and math.exp(-d / 20) * len(own) <= fdr * sum(e >= d for e in deep)]
-        for _, d, i, m in own:
+        for _, d, i, at in own:
             if ok and d >= min(ok):
-                out[i].append((m.start(), 3, m.end()))
+                out[i].append(at)
     return out
 
 
@@ -340,9 +345,12 @@ def test_random_spans_against_a_plain_battery(spark):
             assert secret_scan.ENCODINGS[e][0] == want[0] and q == pytest.approx(want[1], rel=1e-6, abs=1e-200)
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     texts += [f"the key {t} is here and_some_long_identifier_name too" for t in tokens] + [base64.b64encode(rng.randbytes(33)).decode() for _ in range(30)]
+    texts += [f"id {str(uuid.UUID(bytes=rng.randbytes(16), version=4)).upper()} and billing_service_key_{rng.randbytes(20).hex().upper()}" for _ in range(30)]
     found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     random_ = plain_random(texts)
     assert sum(map(len, random_.values())) > 40
+    assert sum(t[s:e].count("-") == 4 for i, t in enumerate(texts) for s, _, e in random_[i]) > 25  # the grouped ones, whole
+    assert sum(e - s == 40 and t[s - 4 : s] == "key_" for i, t in enumerate(texts) for s, _, e in random_[i]) > 25  # without its prefix
     assert found == {i: secret_scan.joined(sorted(plain_spans(t) + random_[i])) for i, t in enumerate(texts)}
 
 
