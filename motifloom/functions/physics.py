@@ -75,6 +75,16 @@ def log_abs_penalty(row: Column) -> Column:
     return F.log1p(F.aggregate(row, F.lit(0.0), lambda a, x: a + F.abs(x)))
 
 
+def absolute_penalty(row: Column) -> Column:
+    """L15 of an array: the sum of absolute values."""
+    return F.aggregate(row, F.lit(0.0), lambda a, x: a + F.abs(x))
+
+
+def negative_penalty(row: Column) -> Column:
+    """L15 of an array: the sum of what lies below 0, (|x| - x) / 2."""
+    return F.aggregate(row, F.lit(0.0), lambda a, x: a + (F.abs(x) - x) / 2)
+
+
 def mole_fraction(concentration: float, volume: float = 1.0) -> float:
     """Moles in a volume per mole of water."""
     return concentration * volume / 55.5

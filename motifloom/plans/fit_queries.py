@@ -120,3 +120,10 @@ def shape_sums(s, d):
 @query(sql("seqs offsets", f"SELECT seq_id, round(min(least(f, r)) - ({float(views.ENERGIES[:, 0].sum())!r}), 6) AS energy FROM (SELECT seq_id, {site_sql(views.ENERGIES)} AS f, {site_sql(physics.flipped(views.ENERGIES))} AS r FROM offsets) GROUP BY 1"))
 def difference_energies(s, d):
     return rounded(shape.affinities(views.sequences(s, d).where("length(seq) >= 8"), DIFFERENCES), "energy")
+
+
+@query("SELECT vec_id, round(sum(abs(x)), 5) AS absolute, round(sum((abs(x) - x) / 2), 5) AS negative, round(ln(1 + sum(abs(x))), 6) AS log_absolute FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")
+def penalties(s, d):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    rows = table(s, d, "embeddings").select("vec_id", physics.absolute_penalty(x).alias("absolute"), physics.negative_penalty(x).alias("negative"), physics.log_abs_penalty(x).alias("log_absolute"))
+    return rounded(rounded(rows, "log_absolute"), "absolute", "negative", digits=5)

@@ -29,11 +29,23 @@ def motif_features(windows: DataFrame, seqs: DataFrame, matrix: np.ndarray, *, s
     return rows.join(motif.region_scores(scored, ["row_id"]), "row_id")
 
 
-def cross_validate(features: DataFrame, columns: list[str], n: int = 5, **options) -> DataFrame:
-    """Measures of a forest for every fold of contigs, trained on the other contigs."""
+def with_imputed(scored: DataFrame, peak_score: str, num: int = 20) -> DataFrame:
+    """Ambiguous labels (-1) of scored rows become 1 above a threshold of their peaks' scores and 0 at or below it:
+    that of ``num`` thresholds under which the calls (scores above 0.5) have the largest F1.  They stay where there is no
+    ambiguous row or no such threshold."""
+    rows = scored.withColumn("called", (F.col("score") > 0.5).cast("int")).withColumn("_votes", F.col("score")).withColumn("score", F.col(peak_score).cast("double"))
+    best = metrics.best_threshold(rows, metrics.threshold_grid(rows, num)).first()
+    return scored if best is None else scored.withColumn("label", labels.imputed(F.col("label"), F.col(peak_score), best["threshold"]))
+
+
+def cross_validate(features: DataFrame, columns: list[str], n: int = 5, *, peak_score: str | None = None, **options) -> DataFrame:
+    """Measures of a forest for every fold of contigs, trained on the clean labels of the other
+    contigs; with a column ``peak_score`` the ambiguous labels of each fold are imputed first (``with_imputed``)."""
     folds = sampling.folds(features.where(~F.col("contig").isin(*labels.TEST_CONTIGS)), "contig", n)
     rows = features.join(folds, "contig")
     parts = [models.forest_scores(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), columns, **options) for i in range(n)]
+    if peak_score:
+        parts = [with_imputed(p, peak_score) for p in parts]
     return metrics.evaluate(reduce(DataFrame.unionByName, parts), ["fold"])
 
 

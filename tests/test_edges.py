@@ -338,3 +338,26 @@ def test_words_with_other_letters_are_counted(spark):
     assert sum(long.values()) == 10 + 6 and all(len(k) == 31 for k in long)
     with pytest.raises(ValueError):
         stats.kmer_counts(frame(spark, [("A",)], "seq string"), 32)
+
+
+def test_ambiguous_labels_are_imputed_by_calls(spark):
+    from motifloom.plans import programs
+
+    clean = [(0.9, 1, 50.0)] * 10 + [(0.1, 0, 1.0)] * 10
+    ambiguous = [(0.8, -1, 30.0 + i) for i in range(5)] + [(0.2, -1, 10.0 + i) for i in range(5)]  # called where peaks are high
+    rows = frame(spark, clean + ambiguous, "score double, label int, peak double")
+    got = sorted((r["peak"], r["label"]) for r in programs.with_imputed(rows, "peak").collect() if r["peak"] not in (50.0, 1.0))
+    assert got == [(10.0 + i, 0) for i in range(5)] + [(30.0 + i, 1) for i in range(5)]
+    none = frame(spark, [(0.1, -1, 3.0), (0.2, 0, 1.0)], "score double, label int, peak double")  # nothing is called
+    assert sorted(r["label"] for r in programs.with_imputed(none, "peak").collect()) == [-1, 0]
+
+
+def test_folds_with_imputed_labels(spark):
+    from motifloom.plans import programs
+
+    rng = random.Random(3)
+    rows = [(i, f"chr{3 + i % 10}", float(x), -1 if rng.random() < 0.3 else int(x > 0.5), 100 * x + rng.random()) for i, x in enumerate(rng.random() for _ in range(400))]
+    df = frame(spark, rows, "row_id long, contig string, f double, label int, peak double")
+    plain, imputed = (programs.cross_validate(df, ["f"], 2, peak_score=p, depth=3, trees=5).collect() for p in (None, "peak"))
+    assert len(plain) == len(imputed) == 2
+    assert sum(r["p"] + r["n"] for r in imputed) > sum(r["p"] + r["n"] for r in plain)  # ambiguous rows count as well
