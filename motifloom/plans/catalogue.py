@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motifloom.functions import physics, sequence
 from motifloom.operators import catalog, coverage, intervals, labels, metrics, models, motif, sampling, selex, stats
-from motifloom.plans import fit_queries, programs, sequence_queries, table_queries, views  # noqa: F401 (these enter their queries)
+from motifloom.plans import file_queries, fit_queries, programs, sequence_queries, table_queries, views  # noqa: F401 (these enter their queries)
 from motifloom.plans.registry import in_text, oracle_sql, queries, query, rounded  # noqa: F401
 from motifloom.plans.views import sql, table
 

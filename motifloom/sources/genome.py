@@ -21,21 +21,22 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line, value): every line with its number in its file, from 0.
+def numbered_lines(spark: SparkSession, path: str | list[str], *, across: bool = False) -> DataFrame:
+    """(file, line, value): every line with its number in its file, or in all files in the order of their names, from 0.
 
     Lines of a split have successive numbers of rows, so a line's number is that of its row less the split's first, and
     the lines of the splits before."""
     rows = lines(spark, path).withColumn("row", F.monotonically_increasing_id())
     splits = rows.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")  # a row for each split
+    order = Window.partitionBy(F.lit(0)).orderBy("file", "block") if across else Window.partitionBy("file").orderBy("block")
+    before = F.sum("n").over(order) - F.col("n")  # a row for each split
     splits = written(splits.select("file", "block", (before - F.col("first")).alias("shift")), "splits")
     return rows.join(splits, ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("line"), "value")
 
 
 def zipped_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
-    """(line, left, right) of two files, as far as both go."""
-    one, other = (numbered_lines(spark, p).select("line", F.col("value").alias(name)) for p, name in ((left, "left"), (right, "right")))
+    """(line, left, right) of two files, or folders of files in the order of their names, as far as both go."""
+    one, other = (numbered_lines(spark, p, across=True).select("line", F.col("value").alias(name)) for p, name in ((left, "left"), (right, "right")))
     return one.join(other, "line")
 
 
