@@ -68,7 +68,7 @@ def flank_entropies(s, d):
     return rounded(likelihood.flank_entropies(likelihood.flank_counts(views.sequences(s, d), views.ENERGIES)), "entropy")
 
 
-@query(sql("words matrices", "SELECT source, pos, a, c, g, t FROM matrices"))
+@query(sql("words matrices", "SELECT source, CAST(pos AS INTEGER) AS pos, a, c, g, t FROM matrices"))
 def source_matrices(s, d):
     return matrices(s, d)
 
