@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+PAIRS = 1 << 20  # pairs compared at a time
 
 
 def centred(peaks: DataFrame, half_width: int) -> DataFrame:
@@ -58,13 +65,115 @@ def overlap_fraction() -> Column:
     return (F.least("stop", "r_stop") - F.greatest("start", "r_start")) / (F.col("r_stop") - F.col("r_start"))
 
 
-def best_overlap(regions: DataFrame, observed: DataFrame, *, key: str = "row_id", min_fraction: float = 0.5, order: str = "id") -> DataFrame:
+class Observed:
+    """The observed intervals of a block, told apart by their places in the order of preference (row number)."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows.sort_by([("order", "descending")]).combine_chunks()  # nulls last
+        self.start, self.stop = (self.rows[c].to_numpy() for c in ("start", "stop"))
+        self.length = self.stop - self.start
+        self.by_start = np.argsort(self.start, kind="stable")
+        self.by_length = np.lexsort((self.start, self.length))
+        self.borders = np.flatnonzero(np.diff(self.length[self.by_length], prepend=-1, append=-1))
+
+    def best(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every region the largest fraction of an observed interval that it overlaps, 0 if none, and the first of
+        those that have it.  Either all overlaps are compared or one candidate for each length, whichever are fewer."""
+        sorted_start = self.start[self.by_start]
+        first, last = np.searchsorted(sorted_start, start - self.length.max(), "right"), np.searchsorted(sorted_start, stop, "left")
+        counts = np.maximum(last - first, 0)
+        if counts.sum() <= 4 * len(start) * (len(self.borders) - 1):
+            return self._by_pairs(start, stop, first, counts)
+        return self._by_lengths(start, stop)
+
+    def _by_pairs(self, start: np.ndarray, stop: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fraction, best = np.zeros(len(start)), np.full(len(start), len(self.start))
+        some = np.flatnonzero(counts)
+        for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(counts[some]) // PAIRS)) + 1) if len(some) else ():
+            n = counts[part]
+            ends = np.cumsum(n)
+            region = np.repeat(part, n)
+            at = self.by_start[np.arange(ends[-1]) + np.repeat(first[part] - ends + n, n)]
+            x = (np.minimum(stop[region], self.stop[at]) - np.maximum(start[region], self.start[at])) / self.length[at]
+            fraction[part] = np.maximum(np.maximum.reduceat(x, ends - n), 0)
+            best[part] = np.minimum.reduceat(np.where(x == fraction[region], at, len(self.start)), ends - n)
+        return fraction, best
+
+    def _by_lengths(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of intervals of one length those that begin between region start and region stop - length, in either order,
+        overlap most; if there are none, then the nearest on one of both sides.  A region is done when its fraction is
+        more than longer intervals can have."""
+        fraction, best = np.zeros(len(start)), np.full(len(start), len(self.start))
+        open_ = np.arange(len(start))
+        for lo, hi in zip(self.borders[:-1], self.borders[1:]):
+            at = self.by_length[lo:hi]
+            own, length = self.start[at], self.length[at[0]]
+            open_ = open_[fraction[open_] <= np.minimum(stop[open_] - start[open_], length) / length]
+            s, e = start[open_], stop[open_]
+            low, high, most = np.minimum(s, e - length), np.maximum(s, e - length), np.minimum(e - s, length)
+            i, j = np.searchsorted(own, low, "left"), np.searchsorted(own, high, "right")
+            before, after = np.maximum(i - 1, 0), np.minimum(i, len(own) - 1)
+            left, right = np.where(i > 0, most - (low - own[before]), 0), np.where(i < len(own), most - (own[after] - high), 0)
+            inside = np.flatnonzero(i < j)
+            overlap = np.maximum(left, right)
+            overlap[inside] = most[inside]
+            found = np.minimum(np.where(left == overlap, at[before], len(self.start)), np.where(right == overlap, at[after], len(self.start)))
+            found[inside] = lowest(at, i[inside], j[inside])
+            x = overlap / length
+            better = (overlap > 0) & ((x > fraction[open_]) | ((x == fraction[open_]) & (found < best[open_])))
+            fraction[open_[better]], best[open_[better]] = x[better], found[better]
+        return fraction, best
+
+
+def lowest(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The smallest of ``values[first:last]`` for every pair, from minima of runs whose lengths are powers of two."""
+    out, step = np.empty(len(first), values.dtype), 1
+    size = last - first
+    while (size >= step).any():
+        own = (size >= step) & (size < 2 * step)
+        out[own] = np.minimum(values[first[own]], values[last[own] - step])
+        values, step = np.minimum(values[:-step], values[step:]), 2 * step
+    return out
+
+
+def _best_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by block, observed ones first: these are held, deduplicated as they are, and the regions pass."""
+    block, held, observed = None, [], None
+    for batch in batches:
+        place = [batch["contig"].dictionary_encode().indices.to_numpy(), batch["block"].to_numpy(), batch["is_region"].to_numpy(zero_copy_only=False)]
+        borders = np.flatnonzero(np.any([np.diff(x.astype(np.int64), prepend=0, append=0) != 0 for x in place], 0))
+        for lo, hi in zip((edges := np.unique([0, *borders, len(batch)]))[:-1], edges[1:]):
+            rows = batch.slice(lo, hi - lo)
+            if (own := (rows["contig"][0].as_py(), place[1][lo])) != block:
+                block, held, observed = own, [], None
+            if not place[2][lo]:
+                held.append(rows)
+            elif held:
+                observed = observed or Observed(pa.Table.from_batches(held))
+                fraction, best = observed.best(rows["start"].to_numpy(), rows["stop"].to_numpy())
+                hit = np.flatnonzero(fraction > 0)
+                found = observed.rows.take(pa.array(best[hit]))
+                columns = [rows["key"].take(pa.array(hit)), pa.array(fraction[hit]), *(found[c].combine_chunks() for c in ("order", "score"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "fraction", "order", "score"])
+
+
+def best_overlap(regions: DataFrame, observed: DataFrame, *, key: str = "row_id", min_fraction: float = 0.5, order: str = "id", block_width: int = 1 << 14) -> DataFrame:
     """``key``, ``fraction``, ``label`` and ``score`` of every region.
 
     The observed interval of largest fraction counts, of equal ones the first by ``order``; the label is 1 where its
-    fraction is above ``min_fraction`` and the score then is its own; regions without overlap have 0."""
-    pairs = overlap_join(regions.select(key, "contig", "start", "stop"), observed.select("contig", "start", "stop", "score", order))
-    best = pairs.groupBy(key).agg(F.max(F.struct(overlap_fraction().alias("fraction"), (-F.col(f"r_{order}")).alias("order"), F.col("r_score").alias("score"))).alias("x"))
+    fraction is above ``min_fraction`` and the score then is its own; regions without overlap have 0.
+
+    No pairs are listed: equal observed intervals become one, both sides are dealt by the blocks of positions that they
+    touch, and each block finds the best of its regions as arrays.  Intervals have ``stop`` after ``start``."""
+    whole = "contig is not null and start < stop"
+    single = observed.where(whole).groupBy("contig", "start", "stop").agg(F.max(F.struct((-F.col(order)).alias("order"), "score")).alias("x")).select("contig", "start", "stop", "x.order", "x.score")
+    wanted = regions.where(whole).select("contig", "start", "stop", F.col(key).alias("key"), F.lit(True).alias("is_region"))
+    blocks = F.explode(F.sequence(F.floor(F.col("start") / block_width), F.floor((F.col("stop") - 1) / block_width)))
+    rows = single.withColumn("is_region", F.lit(False)).unionByName(wanted, allowMissingColumns=True).withColumn("block", blocks)
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "contig", "block").sortWithinPartitions("contig", "block", "is_region")
+    schema = T.StructType([T.StructField("key", regions.schema[key].dataType), T.StructField("fraction", T.DoubleType()), *(T.StructField(c, single.schema[c].dataType) for c in ("order", "score"))])
+    best = dealt.mapInArrow(_best_in_blocks, schema).groupBy(F.col("key").alias(key)).agg(F.max(F.struct("fraction", "order", "score")).alias("x"))
     hit = F.col("x.fraction") > min_fraction
     return regions.select(key).join(best, key, "left").select(key, F.coalesce("x.fraction", F.lit(0.0)).alias("fraction"), F.when(hit, 1).otherwise(0).alias("label"), F.when(hit, F.col("x.score")).otherwise(0.0).alias("score"))
 

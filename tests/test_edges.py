@@ -4,12 +4,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from motifloom import streaming
 from motifloom.functions import physics, sequence
 from motifloom.operators import catalog, coverage, intervals, labels, metrics, motif, sampling, selex, stats
+from motifloom.plans import catalogue
 
 
 def frame(spark, rows, schema):
@@ -47,6 +49,49 @@ def test_fraction_of_one_half_is_no_label(spark):
     assert got == {1: (0.5, 0, 0.0), 2: (1.0, 1, 5.0), 3: (0.0, 0, 0.0)}
 
 
+@pytest.mark.parametrize(("regions", "lengths"), [(25, 40), (3, 40), (25, 3)])
+def test_best_overlap_equals_brute_force(spark, regions, lengths):
+    """Long, short and few lengths; regions across blocks; ties by id; nulls and another contig's intervals do not count."""
+    rng = random.Random(regions * lengths)
+    place = lambda n, most: (rng.choice("ab"), s := rng.randrange(-20, 180), s + rng.randint(1, most))
+    a, b = [(i, *place(i, regions)) for i in range(150)], [(i, *place(i, lengths), rng.random()) for i in range(200)]
+    r = frame(spark, [*a, (900, None, 1, 9), (901, "z", 1, 9)], "row_id long, contig string, start long, stop long")
+    o = frame(spark, [*b, (900, None, 1, 9, 1.0)], "id long, contig string, start long, stop long, score double")
+    got = {x["row_id"]: (x["fraction"], x["label"], x["score"]) for x in intervals.best_overlap(r, o, block_width=64).collect()}
+    assert got.pop(900) == got.pop(901) == (0.0, 0, 0.0)
+    for i, contig, start, stop in a:
+        pairs = [((min(stop, t) - max(start, s)) / (t - s), -j, score) for j, c, s, t, score in b if c == contig and s < stop and start < t]
+        fraction, _, score = max(pairs, default=(0.0, 0, 0.0))
+        assert got[i] == (fraction, int(fraction > 0.5), score if fraction > 0.5 else 0.0)
+
+
+@pytest.mark.parametrize("uniform", [True, False])
+def test_best_of_a_block_by_pairs_and_by_lengths(uniform):
+    rng = np.random.default_rng(7)
+    a = np.unique(np.column_stack([rng.integers(0, 80, 60), rng.integers(1, 40, 60)]), axis=0)
+    rows = pa.table({"start": a[:, 0], "stop": a.sum(1), "order": rng.permutation(len(a)), "score": a[:, 0] * 1.0})
+    observed = intervals.Observed(rows)
+    start = rng.integers(-10, 90, 200)
+    stop = start + (12 if uniform else rng.integers(1, 30, 200))
+    x = np.maximum((np.minimum(stop[:, None], observed.stop) - np.maximum(start[:, None], observed.start)) / observed.length, 0)
+    everything = np.zeros(200, int), np.full(200, len(a))
+    for fraction, best in (observed._by_pairs(start, stop, *everything), observed._by_lengths(start, stop), observed.best(start, stop)):
+        assert fraction.tolist() == x.max(1).tolist()
+        assert best[fraction > 0].tolist() == x.argmax(1)[fraction > 0].tolist()
+
+
+#: Queries that need the best interval only.
+WITHOUT_PAIRS = [
+    "overlap_best_score",
+]
+
+
+@pytest.mark.parametrize("name", WITHOUT_PAIRS)
+def test_no_pairs_of_intervals_are_listed(spark, name):
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "r_contig" not in plan and "MapInArrow" in plan
+
+
 def test_fetch_clips_and_spans_chunks(spark):
     genome = frame(spark, [("c", 0, "ACGT"), ("c", 1, "TTGG"), ("c", 2, "CA")], "contig string, chunk long, seq string")
     r = frame(spark, [(1, "c", 2, 6), (2, "c", 8, 20), (3, "c", 0, 4)], "row_id long, contig string, start long, stop long")
