@@ -83,6 +83,7 @@ def test_best_of_a_block_by_pairs_and_by_lengths(uniform):
 #: Queries that need the best interval only.
 WITHOUT_PAIRS = [
     "overlap_best_score",
+    "peak_labels",
 ]
 
 
