@@ -84,6 +84,7 @@ def test_best_of_a_block_by_pairs_and_by_lengths(uniform):
 WITHOUT_PAIRS = [
     "overlap_best_score",
     "peak_labels",
+    "imputed_labels",
 ]
 
 
