@@ -85,6 +85,7 @@ WITHOUT_PAIRS = [
     "overlap_best_score",
     "peak_labels",
     "imputed_labels",
+    "unambiguous_labels",
 ]
 
 
