@@ -86,6 +86,7 @@ WITHOUT_PAIRS = [
     "peak_labels",
     "imputed_labels",
     "unambiguous_labels",
+    "clean_labels",
 ]
 
 
