@@ -87,6 +87,7 @@ WITHOUT_PAIRS = [
     "imputed_labels",
     "unambiguous_labels",
     "clean_labels",
+    "peak_label_counts",
 ]
 
 
