@@ -91,7 +91,9 @@ def flipped_codes(s, d):
 
 @query(sql("seqs", "SELECT kmer, count(*) AS n FROM (SELECT unnest([k, translate(reverse(k), 'ACGT', 'TGCA')]) AS kmer FROM (SELECT substr(seq, CAST(i AS INTEGER) + 1, 5) AS k FROM (SELECT seq, unnest(range(length(seq) - 4)) AS i FROM seqs WHERE length(seq) >= 5))) GROUP BY 1"))
 def enumerated_kmers(s, d):
-    return views.sequences(s, d).select(F.explode(sequence.kmers(F.col("seq"), 5)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    forward = views.sequences(s, d).select(F.explode(sequence.kmers(F.col("seq"), 5, both_strands=False)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    strands = F.explode(F.array("kmer", sequence.reverse_complement(F.col("kmer"))))  # the other strand's words are these mirrored
+    return forward.select(strands.alias("kmer"), "n").groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT CASE WHEN c IN ('A', 'a') THEN 0 WHEN c IN ('C', 'c') THEN 1 WHEN c IN ('G', 'g') THEN 2 WHEN c IN ('T', 't') THEN 3 ELSE -1 END AS i, count(*) AS n FROM (SELECT unnest(regexp_extract_all(p_name, '.')) AS c FROM part) GROUP BY 1")

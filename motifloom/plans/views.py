@@ -39,7 +39,7 @@ def observed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.upper("text"), "[^ACGT]+", "").alias("seq"))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:

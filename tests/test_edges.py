@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,8 @@ def test_sequence_functions(spark):
     assert one(spark, sequence.reverse_complement(s), "AACGTN") == "NACGTT"
     assert one(spark, sequence.kmers(s, 3), "acgt") == ["ACG", "CGT", "ACG", "CGT"]
     assert one(spark, sequence.kmers(s, 5), "ACG") == []
+    assert one(spark, sequence.kmers(s, 2), None) == []
+    assert one(spark, sequence.kmers(s, 2, both_strands=False), "a\n\U0001f9ecNa") == ["A\n", "\n\U0001f9ec", "\U0001f9ecN", "NA"]
     assert one(spark, sequence.one_hot(s, 4), "aR?") == [[1, 0, 0, 0], [0.5, 0, 0.5, 0], [0, 0, 0, 0], [0, 0, 0, 0]]
     assert one(spark, sequence.one_hot_window(s, 2), "ACG") == [[0.25] * 4] * 2
     assert one(spark, sequence.word_index(s, 2), "TAN") == [3, None]
@@ -168,6 +171,15 @@ def test_scan_over_pieces(spark, n):
         assert r["site_score"] == pytest.approx(max(f, c)) and r["is_rc"] == (c > f)
 
 
+def test_words_of_a_long_sequence_take_seconds(spark):
+    """Time follows the length: with a substring for each word 300,000 bases took minutes."""
+    words = spark.createDataFrame([("ACGTT" * 60_000,)], "s string").select(F.explode(sequence.kmers(F.col("s"), 5)).alias("w"))
+    start = time.time()
+    counts = {r["w"]: r["count"] for r in words.groupBy("w").count().collect()}
+    assert time.time() - start < 15
+    assert len(counts) == 10 and counts["ACGTT"] == counts["AACGT"] == 60_000 and sum(counts.values()) == 2 * (300_000 - 4)
+
+
 def test_scans_of_lower_case_and_unknown_bases(spark):
     """Repeat-masked bases count; a window with N stands at its middle with 0.25 L, or has the mean energy."""
     m = np.arange(12.0).reshape(3, 4)
