@@ -54,11 +54,12 @@ def scan(seqs: DataFrame, matrix: np.ndarray | dict[str, np.ndarray], *, lowest:
     and lower case; with a dict of matrices one for each of them, named ``motif``, in the same pass.
 
     ``lowest``: energies, else weights; ``constant`` is added.  Windows with another character than A, C, G, T get
-    ``unknown``, at their middle if ``centre_unknown``.  Sequences pass once, as Arrow batches; long ones are cut into
-    pieces of ``PIECE`` bases there, so that no row holds more than the scores of a piece."""
+    ``unknown``, at their middle if ``centre_unknown``; in the arrays they have no strand, so the sequence is not read
+    again.  Sequences pass once, as Arrow batches; long ones are cut into pieces of ``PIECE`` bases there, so that no row
+    holds more than the scores of a piece."""
     matrices = matrix if isinstance(matrix, dict) else {"": matrix}
     place = seqs.columns.index(seq_col)
-    names = [*seqs.columns, "_motif", "_at", "_scores", "_rcs"]
+    names = [*seqs.columns, "_motif", "_middle", "_at", "_scores", "_rcs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,18 +70,15 @@ def scan(seqs: DataFrame, matrix: np.ndarray | dict[str, np.ndarray], *, lowest:
                     values = pa.array(scores + constant, mask=bad) if unknown is None else pa.array(np.where(bad, unknown, scores + constant))
                     ends = pa.array(np.concatenate([[0], np.cumsum(sites)]), pa.int32())
                     own = batch.take(pa.array(rows))
-                    lists = [pa.ListArray.from_arrays(ends, values), pa.ListArray.from_arrays(ends, pa.array(is_rc & ~bad))]
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([name] * len(rows), pa.string()), pa.array(at, pa.int32()), *lists], names=names)
+                    lists = [pa.ListArray.from_arrays(ends, values), pa.ListArray.from_arrays(ends, pa.array(is_rc, mask=bad))]
+                    middle = pa.array([len(m) // 2 if centre_unknown else 0] * len(rows), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([name] * len(rows), pa.string()), middle, pa.array(at, pa.int32()), *lists], names=names)
 
-    schema = StructType([*seqs.schema.fields, *(StructField(n, t) for n, t in zip(names[-4:], (StringType(), IntegerType(), ArrayType(DoubleType()), ArrayType(BooleanType()))))])
+    schema = StructType([*seqs.schema.fields, *(StructField(n, t) for n, t in zip(names[-5:], (StringType(), IntegerType(), IntegerType(), ArrayType(DoubleType()), ArrayType(BooleanType()))))])
     sites = seqs.mapInArrow(run, schema).select("*", F.posexplode(F.arrays_zip("_scores", "_rcs")).alias("_i", "_x"))
-    shift = F.when(_known(F.col(seq_col), F.col("_at") + F.col("_i"), matrices), 0).otherwise(len(next(iter(matrices.values()))) // 2) if centre_unknown else F.lit(0)
+    shift = F.when(F.col("_x._rcs").isNull(), F.col("_middle")).otherwise(0)
     motif_name = [F.col("_motif").alias("motif")] if isinstance(matrix, dict) else []
-    return sites.select(*seqs.columns, *motif_name, (F.col("_at") + F.col("_i") + shift).cast("int").alias("offset"), F.col("_x._rcs").alias("is_rc"), F.col("_x._scores").alias("site_score"))
-
-
-def _known(seq: Column, at: Column, matrices: dict[str, np.ndarray]) -> Column:
-    return F.substr(seq, at + 1, F.lit(len(next(iter(matrices.values()))))).rlike("^[ACGTacgt]+$")
+    return sites.select(*seqs.columns, *motif_name, (F.col("_at") + F.col("_i") + shift).cast("int").alias("offset"), F.coalesce("_x._rcs", F.lit(False)).alias("is_rc"), F.col("_x._scores").alias("site_score"))
 
 
 def _scanned(texts: list[str | None], matrix: np.ndarray, lowest: bool) -> Iterator[tuple]:

@@ -21,7 +21,7 @@ views.SQL["sites"] = f"sites AS (SELECT seq_id, seq, pos, f, r FROM (SELECT seq_
 
 def masked(s, d):
     """Lower-case sequences in which n stands for an unknown base."""
-    return table(s, d, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.lower("text"), "[^acgtn]", "").alias("seq"))
+    return table(s, d, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.lower("text"), "[^acgtn]+", "").alias("seq"))
 
 
 def genome(s, d):

@@ -188,6 +188,11 @@ def test_scans_of_lower_case_and_unknown_bases(spark):
     row = lambda x: sorted((r["offset"], r["is_rc"], r["site_score"]) for r in x.collect())
     assert row(motif.scan(df, m))[:2] == row(motif.scan(upper, m))
     assert row(motif.weight_scan(df, m)) == sorted(row(motif.scan(upper, m)) + [(3, False, 0.75), (4, False, 0.75), (5, False, 0.75)])
+    wide = {"": m, "wide": np.arange(20.0).reshape(5, 4)}
+    got = motif.scan(frame(spark, [(1, "ACGTNACGT")], "seq_id long, seq string"), wide, unknown=9.0, centre_unknown=True)
+    assert {n: sorted(r["offset"] for r in got.where(F.col("motif") == n).where("site_score = 9").collect()) for n in wide} == {"": [3, 4, 5], "wide": [2, 3, 4, 5, 6]}
+    plan = motif.weight_scan(df, m).agg(F.sum("offset"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr" not in plan and "RLIKE" not in plan  # no walk through the sequence for every offset
     model = physics.EnergyModel(m, -3.0, 7.0)
     assert row(motif.energy_scan(df, model)) == [(o, rc, s - 3.0) for o, rc, s in row(motif.scan(upper, m, lowest=True))] + [(o, False, 7.0) for o in (2, 3, 4)]
     with pytest.raises(Exception, match="shorter"):
