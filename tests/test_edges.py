@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -98,6 +99,45 @@ def test_no_pairs_of_intervals_are_listed(spark, name):
     assert "r_contig" not in plan and "MapInArrow" in plan
 
 
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """Events repeated 2 and 24 times by shifted keys; copies of an interval begin at one place and differ in length."""
+    place = tmp_path_factory.mktemp("copies")
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    for n in (2, 24):
+        again = e.crossJoin(spark.range(n).withColumnRenamed("id", "i"))
+        again.withColumns({"event_id": F.col("event_id") + F.col("i") * 100003, "user_id": F.col("user_id") + F.col("i") * 1501}).drop("i").write.parquet(f"{place}/{n}/events.parquet")
+    return place
+
+
+def most_rows(node):
+    """The rows that the largest step of a plan that ran has put out."""
+    name, rows = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return max([rows.get().value() if rows.isDefined() else 0, *map(most_rows, below)])
+
+
+#: Queries whose steps are measured on copies.
+LINEAR = [
+    "peak_labels",
+]
+
+
+@pytest.mark.parametrize("name", LINEAR)
+def test_no_step_grows_faster_than_the_input(spark, copies, name):
+    most = {}
+    for n in (2, 24):
+        df = catalogue.queries()[name](spark, f"{copies}/{n}")
+        columns = sorted(df.columns)
+        df = df.select(*columns)
+        got = sorted(map(tuple, df.collect()))
+        most[n] = most_rows(df._jdf.queryExecution().executedPlan())
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW events AS FROM '{copies}/{n}/events.parquet/*.parquet'")
+        assert got == sorted(duck.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall())
+    assert 0 < most[24] <= 12 * most[2]
+
+
 def test_fetch_clips_and_spans_chunks(spark):
     genome = frame(spark, [("c", 0, "ACGT"), ("c", 1, "TTGG"), ("c", 2, "CA")], "contig string, chunk long, seq string")
     r = frame(spark, [(1, "c", 2, 6), (2, "c", 8, 20), (3, "c", 0, 4)], "row_id long, contig string, start long, stop long")
