@@ -120,6 +120,7 @@ def most_rows(node):
 #: Queries whose steps are measured on copies.
 LINEAR = [
     "peak_labels",
+    "imputed_labels",
 ]
 
 
