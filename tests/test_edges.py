@@ -122,6 +122,7 @@ LINEAR = [
     "peak_labels",
     "imputed_labels",
     "unambiguous_labels",
+    "clean_labels",
 ]
 
 
