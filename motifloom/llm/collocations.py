@@ -2,14 +2,16 @@
 
 Single words are counted as they are.  Candidates come from a sketch: every phrase of two to ``longest`` words is hashed
 to a cell, and a cell's sum bounds the count of all its phrases from above.  The sketch is a table of partial cells that
-executors sum, so its width follows the text: some cells for each phrase.  Phrases of three words and more enter it only where all their pairs of words lie
-in cells that reach ``min_count``.  For each cell that reaches it one task that met the cell names the phrases of the
-cell in its texts; these are the candidates.  They are compiled into Aho-Corasick automata, with a space before and
-after each phrase and a border mark between pieces, so that matches are of whole words within a piece.  Tasks scan their
-texts and count all matches, overlaps included; the sums are exact, and thresholds are applied to them.  A cell whose sum
-its candidates do not explain, but for less than ``min_count``, may hold a phrase that its task did not have; all tasks
-name the phrases of such cells, and these are counted as well.  At most ``automaton_limit`` phrases are compiled, and
-``heavy_limit`` cells held, at a time; more of them are dealt by hash and take further scans.
+executors sum, so its width follows the text: some cells for each phrase.  Phrases of three words and more enter it only
+where all their pairs of words lie in cells that reach ``min_count``.  The cells that reach it become two tables of bits,
+one for pairs and one for longer phrases; a phrase whose bits are set is a candidate.  Every task compiles the candidates
+of its own texts into Aho-Corasick automata, some megabytes of text at a time, with a space before and after each phrase
+and a border mark between pieces, so that matches are of whole words within a piece.  It scans these texts once and
+counts all matches, overlaps included.  All tasks see the same bits, so no occurrence of a candidate is missed; the
+counts of tasks are summed by phrase, and thresholds are applied to the exact sums.  A text is read as often whatever
+the number of candidates, and no task, nor the driver, holds the candidates of all texts.  At most ``automaton_limit``
+phrases are compiled at a time.  The tables have 16 bits or more for each of ``heavy_limit`` cells; of more cells, more
+phrases are candidates by chance, which costs work and changes no result.
 
 Texts are lower-cased from A to Z only and split into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into words at spaces and tabs.
 A null text is empty, a null language is ``und``; texts without words add nothing and an empty table gives no rows.
@@ -20,18 +22,16 @@ texts and words are read whole.  Other columns are not read, whatever their name
 from __future__ import annotations
 
 import math
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 from operator import itemgetter
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +40,13 @@ from motifloom.llm.shared import written
 CHUNKS = 11  # bits of a chunk's number, at least; partial sketches are summed by chunks
 CHUNK = 1 << 22  # cells that occur in a chunk, about, where these are more
 FLUSH = 1 << 22  # phrases that a task holds before it sends their cells
-SLICE = 256  # documents read at a time
+SLICE = 1 << 22  # bytes of texts read at a time, but for longer texts
 PART = 1 << 20  # bytes hashed at a time, but for longer pieces
+BLOCK = 1 << 23  # bytes of text, about, for which automata are made
+HELD = 1 << 19  # counted phrases that a task holds before it sends them
+GROUPS = 512  # groups of phrases in which counts are summed, at least
+GROUP = 1 << 26  # bytes of text for each group, where these are more
+PIECE = 1 << 15  # words of 64 bits in a piece of a table of bits
 SALTS = 64  # parts in which the best phrases of a language are chosen before they are ranked
 
 _MARK = b"."
@@ -111,35 +116,73 @@ def phrases(words: Words, lang: str, longest: int) -> Iterator[tuple[int, np.nda
         yield n, at, h ^ (h >> np.uint64(29))
 
 
-class Heavy:
-    """The cells of a bounded set, for lookups: a table of low bits before a binary search."""
+@dataclass(frozen=True)
+class Bits:
+    """A table of bits for the cells of a set, of 2 ** ``width`` words: a cell has two bits of one word.  Cells of the set
+    are always found, others by chance."""
+
+    width: int
+    words: np.ndarray
 
-    def __init__(self, cells: np.ndarray) -> None:
-        self.sorted = np.sort(cells)
-        self.mask = np.uint64((1 << min(25, max(10, 4 + len(cells).bit_length()))) - 1)
-        self.table = np.zeros(int(self.mask) + 1, bool)
-        self.table[cells & self.mask] = True
+    @staticmethod
+    def of(cells: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of cells and their bits there."""
+        cells = cells >> np.uint64(1)
+        high, one, low = cells >> np.uint64(width), np.uint64(1), np.uint64(63)
+        return (cells & np.uint64((1 << width) - 1)).astype(np.int64), (one << (high & low)) | (one << ((high >> np.uint64(6)) & low))
 
     def has(self, cells: np.ndarray) -> np.ndarray:
-        out = self.table[cells & self.mask]
-        some = np.flatnonzero(out)
-        if len(some):
-            at = np.searchsorted(self.sorted, cells[some])
-            at[at == len(self.sorted)] = 0
-            out[some] = self.sorted[at] == cells[some]
-        return out
+        at, own = self.of(cells, self.width)
+        return self.words[at] & own == own
+
+
+class Pieces:
+    """The pieces of a table of bits from its cells, which come sorted by piece."""
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words = None, None
+        for batch in batches:
+            piece, cells = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
+            for own in np.unique(piece).tolist():
+                if own != at:
+                    if words is not None:
+                        yield self.row(at, words)
+                    at, words = own, np.zeros(min(PIECE, 1 << self.width), np.uint64)
+                place, bits = Bits.of(cells[piece == own], self.width)
+                np.bitwise_or.at(words, place % len(words), bits)
+        if words is not None:
+            yield self.row(at, words)
+
+    def row(self, piece: int, words: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([words.tobytes()], pa.binary())], names=["piece", "words"])
+
+
+def bits_of(cells: DataFrame, room: int) -> Bits:
+    """The table of bits of ``cells``: executors make its pieces."""
+    width = max(10, (min(cells.count(), room) // 4).bit_length())
+    piece = F.expr(f"cast((cell div 2) % {1 << width} div {PIECE} AS long)").alias("piece")
+    made = cells.select(piece, "cell").repartition("piece").sortWithinPartitions("piece").mapInArrow(Pieces(width), "piece long, words binary").toArrow()
+    words = np.zeros(1 << width, np.uint64)
+    for piece, own in zip(made["piece"].to_pylist(), made["words"].to_pylist()):
+        words[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(own, np.uint64)
+    return Bits(width, words)
 
 
 def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
     """The prepared texts of each language, some documents at a time."""
+    found, size = defaultdict(list), 0
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            found = defaultdict(list)
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                if text:
-                    found[lang].append(text)
-            yield from ((lang, prepared(own)) for lang, own in found.items())
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            if text := text.as_py():
+                found[lang].append(text)
+                size += len(text)
+                if size >= SLICE:
+                    yield from ((lang, prepared(own)) for lang, own in found.items())
+                    found, size = defaultdict(list), 0
+    yield from ((lang, prepared(own)) for lang, own in found.items())
 
 
 def paired(n: int, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -158,7 +201,7 @@ class Sketch:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        heavy = Heavy(self.gate.value) if self.gate else None
+        heavy = self.gate.value if self.gate else None
         for lang, buffer in by_lang(batches):
             for part in parts(buffer):
                 words = words_of(part)
@@ -180,42 +223,40 @@ class Sketch:
         chunk = (cells >> np.uint64(self.chunk_bits)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
         low, ends = (cells & np.uint64((1 << self.chunk_bits) - 1)).astype(np.uint32), np.append(start[1:], len(cells))
-        small, task = np.minimum(count, 255).astype(np.uint8), TaskContext.get().partitionId() if TaskContext.get() else 0
+        small = np.minimum(count, 255).astype(np.uint8)
         many, more = count >= 255, count[count >= 255].astype(np.uint32)  # a byte for most counts
         before = np.append(0, np.cumsum(many))
         for i in range(0, len(start), 4096):
             own = list(zip(start[i : i + 4096].tolist(), ends[i : i + 4096].tolist()))
             columns = [[low[s:e].tobytes() for s, e in own], [small[s:e].tobytes() for s, e in own], [more[before[s] : before[e]].tobytes() for s, e in own]]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[start[i : i + 4096]]), pa.array([task] * len(own), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["chunk", "task", "cells", "counts", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[start[i : i + 4096]]), *(pa.array(c, pa.binary()) for c in columns)], names=["chunk", "cells", "counts", "more"])
 
 
 def summed(enough: int, chunk_bits: int):
-    """Sums the partial chunks, which come sorted, and returns the cells that reach ``enough``, their sums and the least
-    task of each."""
+    """Sums the partial chunks, which come sorted, and returns the cells that reach ``enough``."""
 
     def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        cells, task, count = (np.concatenate(x) for x in zip(*held))
+        cells, count = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(cells, kind="stable")
         cells = cells[order]
         start = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-        return cells[start], np.minimum.reduceat(task[order], start), np.add.reduceat(count[order], start)
+        return cells[start], np.add.reduceat(count[order], start)
 
     def heavy(chunk: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        cells, task, total = merged(held)
-        at = total >= enough
-        return pa.RecordBatch.from_arrays([pa.array(cells[at].astype(np.int64) + (chunk << chunk_bits)), pa.array(task[at]), pa.array(total[at])], names=["cell", "task", "total"])
+        cells, total = merged(held)
+        return pa.RecordBatch.from_arrays([pa.array(cells[total >= enough].astype(np.int64) + (chunk << chunk_bits))], names=["cell"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0
         for batch in batches:
-            for chunk, task, cells, counts, more in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for chunk, cells, counts, more in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if chunk != at:
                     if held:
                         yield heavy(at, held)
                     at, held, size = chunk, [], 0
                 own, count = np.frombuffer(cells, np.uint32), np.frombuffer(counts, np.uint8).astype(np.int64)
                 count[count == 255] = np.frombuffer(more, np.uint32)
-                held.append((own, np.full(len(own), task, np.int32), count))
+                held.append((own, count))
                 size += len(own)
                 if size > 2 * CHUNK:
                     held = [merged(held)]
@@ -226,132 +267,151 @@ def summed(enough: int, chunk_bits: int):
     return run
 
 
-def single_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each language and how often a task meets them."""
-    names: dict[str, dict[int, bytes]] = defaultdict(dict)
-    codes: dict[str, list[np.ndarray]] = defaultdict(list)
-    counts: dict[str, list[np.ndarray]] = defaultdict(list)
-
-    def done() -> Iterator[pa.RecordBatch]:
-        for lang, known in names.items():
-            code, at = np.unique(np.concatenate(codes[lang]), return_inverse=True)
-            total = np.bincount(at, np.concatenate(counts[lang])).astype(np.int64)
-            for i in range(0, len(code), 1 << 16):
-                own = [known[c] for c in code[i : i + (1 << 16)].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.binary()).cast(pa.string()), pa.array(total[i : i + (1 << 16)])], names=["lang", "phrase", "k"])
-        for held in (names, codes, counts):
-            held.clear()
-
-    for lang, buffer in by_lang(batches):
-        for part in parts(buffer):
-            words, text, known = words_of(part), part.tobytes(), names[lang]
-            at = np.flatnonzero(words.inside)
-            code, first, count = np.unique(words.code[at], return_index=True, return_counts=True)
-            first = at[first]
-            for c, s, e in zip(code.tolist(), words.start[first].tolist(), words.end[first].tolist()):
-                if c not in known:
-                    known[c] = text[s:e]
-            codes[lang].append(code)
-            counts[lang].append(count)
-        if sum(map(len, names.values())) > 1 << 20 or sum(len(x) for own in codes.values() for x in own) > FLUSH:
-            yield from done()
-    yield from done()
+class Totals:
+    """What a task counted: the phrases of each language, sent in groups by a hash, a row for each group and language."""
 
+    def __init__(self, groups: int) -> None:
+        self.groups, self.counts, self.size = groups, defaultdict(dict), 0
 
-class Candidates:
-    """The phrases in a slice of the heavy cells, each named by the cell's task, or by all."""
+    def add(self, lang: str, phrases: list[bytes], counts: list[int]) -> None:
+        own = self.counts[lang]
+        before = len(own)
+        for phrase, k in zip(phrases, counts):
+            own[phrase] = own.get(phrase, 0) + k
+        self.size += len(own) - before
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        for lang, own in self.counts.items():
+            phrases, counts = list(own), np.fromiter(own.values(), np.int64, len(own))
+            group = np.fromiter(map(crc32, phrases), np.int64, len(phrases)) % self.groups
+            order = np.argsort(group, kind="stable")
+            group, counts, names = group[order], counts[order], [phrases[i] for i in order.tolist()]
+            start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            own = list(zip(start.tolist(), [*start[1:].tolist(), len(group)]))
+            columns = [[b"\n".join(names[s:e]) for s, e in own], [counts[s:e].tobytes() for s, e in own]]  # no phrase holds a line feed
+            yield pa.RecordBatch.from_arrays([pa.array(group[start]), pa.array([lang] * len(own), pa.string()), *(pa.array(c, pa.binary()) for c in columns)], names=["group", "lang", "phrases", "counts"])
+        self.counts.clear()
+        self.size = 0
+
+
+def totals(least: int):
+    """Sums the groups of counts, which come sorted by group and language, and returns the phrases that reach ``least``."""
 
-    def __init__(self, bits: int, longest: int, slice_, gate, all_tasks: bool) -> None:
-        self.bits, self.longest, self.slice, self.gate, self.all_tasks = bits, longest, slice_, gate, all_tasks
+    def rows(lang: str, own: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        found = [(phrase, k) for phrase, k in own.items() if k >= least]
+        for i in range(0, len(found), 1 << 14):
+            phrases, counts = zip(*found[i : i + (1 << 14)])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, {}
+        for batch in batches:
+            for group, lang, phrases, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (group, lang) != at:
+                    if at:
+                        yield from rows(at[1], own)
+                    at, own = (group, lang), {}
+                for phrase, k in zip(phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist()):
+                    own[phrase] = own.get(phrase, 0) + k
+        if at:
+            yield from rows(at[1], own)
+
+    return run
+
+
+class SingleWords:
+    """The words of each language and how often a task meets them."""
+
+    def __init__(self, groups: int) -> None:
+        self.groups = groups
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, tasks = self.slice.value
-        heavy, seen = Heavy(cells if self.all_tasks else cells[tasks == TaskContext.get().partitionId()]), set()
-        gate = Heavy(self.gate.value) if self.gate else None
+        found = Totals(self.groups)
         for lang, buffer in by_lang(batches):
             for part in parts(buffer):
-                words, found, own = words_of(part), [], []
-                text, pairs = part.tobytes(), np.zeros(len(words.code) + 1, np.uint64)
-                for n, at, h in phrases(words, lang, self.longest):
-                    if n == 1:
-                        continue
-                    cell = cells_of(h, n, self.bits)
-                    if n == 2:
-                        pairs[at] = cell
-                    hit = np.flatnonzero(heavy.has(cell))
-                    if gate and n > 2:  # what the sketch did not count is none
-                        for k in range(n - 1):
-                            hit = hit[gate.has(pairs[at[hit] + k])]
-                    codes, first = np.unique(h[hit], return_index=True)
-                    places = at[hit[first]]
-                    for code, c, s, e in zip(codes.tolist(), cell[hit[first]].tolist(), words.start[places].tolist(), words.end[places + n - 1].tolist()):
-                        if code not in seen:
-                            seen.add(code)
-                            found.append(text[s:e])
-                            own.append(c)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(own, pa.int64())], names=["lang", "phrase", "cell"])
-
-
-#: The automata of the last block of phrases, kept by a Python worker for its next task.
-_compiled: dict[str, dict] = {}
-
-
-COUNTS = 1 << 14  # counts of phrases in a row of partial ones
-
-
-class Scan:
-    """Counts the matches of a block of phrases: of each task an array of counts, in pieces."""
-
-    def __init__(self, name: str, block) -> None:
-        self.name, self.block = name, block
-
-    def automata(self) -> dict:
-        if self.name not in _compiled:
-            _compiled.clear()
-            built = {}
-            for lang, (_, phrases) in self.block.value[1].items():
-                automaton = built[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                for i, phrase in enumerate(phrases):
-                    automaton.add_word(f" {phrase} ", i)
-                automaton.make_automaton()
-            _compiled[self.name] = built
-        return _compiled[self.name]
+                words, text = words_of(part), part.tobytes()
+                at = np.flatnonzero(words.inside)
+                _, first, count = np.unique(words.code[at], return_index=True, return_counts=True)
+                first = at[first]
+                found.add(lang, [text[s:e] for s, e in zip(words.start[first].tolist(), words.end[first].tolist())], count.tolist())
+                if found.size >= HELD:
+                    yield from found.sent()
+        yield from found.sent()
+
+
+@dataclass
+class Block:
+    """Texts of a language and the candidates in them, by hash."""
+
+    texts: list[bytes] = field(default_factory=list)
+    names: dict[int, bytes] = field(default_factory=dict)
+
+
+class Candidates:
+    """Counts the phrases whose bits are set, with automata of the candidates in the texts at hand."""
+
+    def __init__(self, bits: int, longest: int, pairs, longer, groups: int, limit: int) -> None:
+        self.bits, self.longest, self.pairs, self.longer, self.groups, self.limit = bits, longest, pairs, longer, groups, limit
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, (ids, phrases) = self.automata(), self.block.value
-        counts, value = np.zeros(len(ids), np.int64), itemgetter(1)
-        for lang, buffer in by_lang(batches):
-            if lang in automata:
-                first, own = phrases[lang]
-                found = np.fromiter(map(value, automata[lang].iter(buffer.tobytes().decode())), np.int32)
-                counts[first : first + len(own)] += np.bincount(found, minlength=len(own))
-        for at in range(0, len(counts), COUNTS):
-            part = counts[at : at + COUNTS]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "counts"])
-
-    def total(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums the pieces, which come sorted by place."""
-        ids = self.block.value[0]
-
-        def known(at: int, counts: np.ndarray) -> pa.RecordBatch:
-            own = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(ids[at + own]), pa.array(counts[own])], names=["id", "k"])
-
-        place, sums = None, np.zeros(0, np.int64)
-        for batch in batches:
-            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if at != place:
-                    if place is not None:
-                        yield known(place, sums)
-                    place, sums = at, np.zeros(len(counts) // 8, np.int64)
-                sums += np.frombuffer(counts, np.int64)
-        if place is not None:
-            yield known(place, sums)
+        blocks, size, named, found = defaultdict(Block), 0, 0, Totals(self.groups)
 
+        def scanned() -> Iterator[pa.RecordBatch]:
+            for lang, block in blocks.items():
+                names = sorted(block.names.values())  # neighbours in the trie follow one another
+                for at in range(0, len(names), self.limit):
+                    found.add(lang, own := names[at : at + self.limit], matches(own, block.texts).tolist())
+                    if found.size >= HELD:
+                        yield from found.sent()
+            blocks.clear()
 
-def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, longest: int = 4, heavy_limit: int = 1 << 21, automaton_limit: int = 1 << 19, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+        for lang, buffer in by_lang(batches):
+            for part in parts(buffer):
+                text = part.tobytes()
+                named += self.name(lang, part, text, blocks[lang])
+                size += len(text)
+                if size >= BLOCK or named >= self.limit:
+                    yield from scanned()
+                    size = named = 0
+        yield from scanned()
+        yield from found.sent()
+
+    def name(self, lang: str, part: np.ndarray, text: bytes, block: Block) -> int:
+        """Adds a part and its candidates to a block; how many of these are new there."""
+        words = words_of(part)
+        pair, known = np.zeros(len(words.code) + 1, bool), block.names
+        before = len(known)
+        block.texts.append(text)
+        for n, at, h in phrases(words, lang, self.longest):
+            if n == 1:
+                continue
+            if n == 2:
+                pair[at] = self.pairs.value.has(cells_of(h, n, self.bits))
+            hit = np.flatnonzero(paired(n, at, pair))  # what the sketch did not count is none
+            if n > 2:
+                hit = hit[self.longer.value.has(cells_of(h[hit], n, self.bits))]
+            codes, first = np.unique(h[hit], return_index=True)
+            places = at[hit[first]]
+            for code, s, e in zip(codes.tolist(), words.start[places].tolist(), words.end[places + n - 1].tolist()):
+                if code not in known:
+                    known[code] = text[s:e]
+        return len(known) - before
+
+
+def matches(names: list[bytes], texts: list[bytes]) -> np.ndarray:
+    """How often each phrase occurs in the texts, in which bytes stand for characters."""
+    automaton, value = ahocorasick.Automaton(ahocorasick.STORE_INTS), itemgetter(1)
+    for i, name in enumerate(names):
+        automaton.add_word(f" {name.decode('latin-1')} ", i)
+    automaton.make_automaton()
+    counts = np.zeros(len(names), np.int64)
+    for text in texts:
+        found = np.fromiter(map(value, automaton.iter(text.decode("latin-1"))), np.int32)
+        counts += np.bincount(found, minlength=len(names))
+    return counts
+
+
+def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, longest: int = 4, heavy_limit: int = 1 << 26, automaton_limit: int = 1 << 19, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of every phrase of one to ``longest`` words that occurs at least ``min_count`` times in
     its language, and (lang, n), the words of each language.  ``bits``: of a cell's number."""
     sc = docs.sparkSession.sparkContext
@@ -359,56 +419,26 @@ def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bits or min(50, max(20, math.ceil(math.log2(max(size, 1))) + 3))
     chunk_bits = min(32, max(0, bits + 1 - max(CHUNKS, math.ceil(math.log2(max(size, 1) / CHUNK + 1)))))
+    groups = max(GROUPS, size // GROUP)
 
-    def sketch(orders: tuple[int, ...], gate=None) -> DataFrame:
-        partial = texts.mapInArrow(Sketch(orders, bits, chunk_bits, gate), "chunk long, task int, cells binary, counts binary, more binary")
+    def sketch(orders: tuple[int, ...], gate=None):
+        """The table of bits of the cells that reach ``min_count``."""
+        partial = texts.mapInArrow(Sketch(orders, bits, chunk_bits, gate), "chunk long, cells binary, counts binary, more binary")
         partial = partial.repartition("chunk").sortWithinPartitions("chunk")
-        return written(partial.mapInArrow(summed(min_count, chunk_bits), "cell long, task int, total long"), "cells")
-
-    def held(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = cells.select("cell", "task").toArrow()
-        return found["cell"].to_numpy().astype(np.uint64), found["task"].to_numpy()
-
-    def named(cells: DataFrame, all_tasks: bool) -> DataFrame:
-        """The phrases of heavy cells, of which at most about ``heavy_limit`` are held at a time."""
-        slices, found = max(1, math.ceil(cells.count() / heavy_limit)), []
-        for i in range(slices):
-            part = sc.broadcast(held(cells.where(F.pmod(F.xxhash64("cell"), F.lit(slices)) == i)))
-            own = texts.mapInArrow(Candidates(bits, longest, part, gate, all_tasks), "lang string, phrase string, cell long").distinct()
-            found.append(written(own, "named"))  # each in a job of its own, in which tasks have the numbers of the sketch's
-        return reduce(DataFrame.unionByName, found)
-
-    def exact(found: DataFrame) -> DataFrame:
-        """How often each phrase occurs."""
-        found = written(found.withColumn("id", F.monotonically_increasing_id()), "candidates")
-        blocks, sums = max(1, math.ceil(found.count() / automaton_limit)), None
-        for i in range(blocks):
-            block, ids = defaultdict(list), []  # of about automaton_limit phrases
-            for r in found.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toLocalIterator():
-                block[r["lang"]].append((r["id"], r["phrase"]))
-            phrases = {}
-            for lang, rows in block.items():
-                phrases[lang] = (len(ids), [p for _, p in rows])
-                ids += [k for k, _ in rows]
-            scan = Scan(uuid.uuid4().hex, sc.broadcast((np.array(ids, np.int64), phrases)))
-            pieces = texts.mapInArrow(scan, "at long, counts binary").repartition("at").sortWithinPartitions("at")
-            own = pieces.mapInArrow(scan.total, "id long, k long")
-            sums = own if sums is None else sums.unionByName(own)
-        return written(found.join(sums, "id").drop("id"), "counts")
-
-    words = written(texts.mapInArrow(single_words, "lang string, phrase string, k long").groupBy("lang", "phrase").agg(F.sum("k").alias("k")), "words")
-    short = sketch((2,))
-    gate = sc.broadcast(held(short)[0]) if short.count() <= heavy_limit else None
-    heavy = short.unionByName(sketch(tuple(range(3, longest + 1)), gate)) if longest > 2 else short
-    found = named(heavy, False)
-    counts = exact(found)
-    known = counts.groupBy("cell").agg(F.sum("k").alias("known"))
-    open_ = heavy.join(known, "cell", "left").where(F.col("total") - F.coalesce("known", F.lit(0)) >= min_count)
-    open_ = written(open_.select("cell", "task"), "open")
-    if open_.limit(1).count():
-        counts = counts.unionByName(exact(named(open_, True).join(found.select("lang", "phrase"), ["lang", "phrase"], "left_anti")).select(*counts.columns))
-    counts = words.unionByName(counts.drop("cell"))
-    own = counts.where(F.col("k") >= min_count).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), F.col("k").alias("f"))
+        return sc.broadcast(bits_of(written(partial.mapInArrow(summed(min_count, chunk_bits), "cell long"), "cells"), heavy_limit))
+
+    def exact(count, least: int, name: str) -> DataFrame:
+        """(lang, phrase, k) of what ``count`` counts, where it reaches ``least``."""
+        partial = texts.mapInArrow(count, "group long, lang string, phrases binary, counts binary")
+        partial = partial.repartition("group").sortWithinPartitions("group", "lang")
+        return written(partial.mapInArrow(totals(least), "lang string, phrase string, k long"), name)
+
+    words = exact(SingleWords(groups), 1, "words")
+    pairs = sketch((2,))
+    longer = sketch(tuple(range(3, longest + 1)), pairs) if longest > 2 else pairs
+    counts = exact(Candidates(bits, longest, pairs, longer, groups, automaton_limit), min_count, "counts")
+    counts = words.where(F.col("k") >= min_count).unionByName(counts)
+    own = counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), F.col("k").alias("f"))
     return written(own, "phrases"), words.groupBy("lang").agg(F.sum("k").alias("n"))
 
 

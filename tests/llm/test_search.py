@@ -76,6 +76,33 @@ def test_collocations_of_other_lengths(docs):
         assert got == plain_collocations(rows, least, longest=longest)
 
 
+def test_texts_are_read_as_often_whatever_the_candidates(spark, docs):
+    rows = spark.sparkContext.accumulator(0)
+
+    def reads(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    watched, read = docs.select("text", "lang").mapInArrow(reads, "text string, lang string"), []
+    for options in ({}, {"automaton_limit": 200}, {"heavy_limit": 300}):
+        before = rows.value
+        found, words = collocations.counted(watched, min_count=5, **options)
+        assert found.where("size > 1").count() > 600 and words.count() > 3
+        read.append(rows.value - before)
+    assert read[0] == read[1] == read[2] == 5 * docs.count()
+
+
+def test_bits_find_all_their_cells_and_few_others():
+    cells = np.unique(np.random.default_rng(5).integers(0, 1 << 34, 60_000, np.uint64))
+    own, others, width = cells[::2], cells[1::2], 13
+    words = np.zeros(1 << width, np.uint64)
+    at, bits = collocations.Bits.of(own, width)
+    np.bitwise_or.at(words, at, bits)
+    table = collocations.Bits(width, words)
+    assert table.has(own).all() and table.has(others).mean() < 0.03
+
+
 def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
     big = 9 * 10**15
     f = spark.createDataFrame([("en", "a", 1, big), ("en", "b", 1, big - 1), ("en", "a b", 2, big - 2)], "lang string, phrase string, size int, f long")
